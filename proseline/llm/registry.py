@@ -2,9 +2,13 @@
 
 from . import sql
 from .decontaminate import op1_decontamination
+from .mixing import op3_mixing
+from .tokens import op9_token_counts
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_mixing": op3_mixing,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL = {
     "op1_decontamination": sql.OP1,
