@@ -5,8 +5,9 @@ fractions are rounded dependently. Two documents meet; a random amount of words
 them holds none or all of its own words, so the sum of words stays as it is and each document's expected copies stay its
 rate. The one that is still fractional goes on to meet the next. Chunks of documents (dealt by a hash of the row, so a
 hot source is spread evenly) are folded in an ``aggregate`` expression; their residuals meet in chunks of chunks, level by
-level, until each source has one residual, which is rounded at random. The words taken from a source therefore differ
-from its target by less than the size of one document.
+level, until each source has one residual, which is rounded at random. The words taken from a source then differ from its
+target by less than the size of one document. As that document can be a long one, those settled in the source's last chunk
+(at most 63) are gone through from the longest down, and one flips where that brings the words nearer to the target.
 
 Scale: one pass over the texts for the sizes (map-side aggregated to rows of id, source, size), then narrow rows only. Each
 level shuffles at most 1/64 of the level before, plus one row for each source and chunk. Source statistics are grouped
@@ -70,6 +71,19 @@ def _fold(seed: int) -> str:
       END)"""
 
 
+def _settle(seed: int) -> str:
+    """SQL: all documents of a source's last chunk, from its fold ``r``: the residual rounded, then flips towards the target."""
+    last = f"CASE WHEN {_uniform('r.cur.doc_id', 'r.cur.dup', f'{seed + 2}L')} * r.cur.size < r.cur.x THEN 1 ELSE 0 END"
+    flip = "named_struct('doc_id', e.doc_id, 'dup', e.dup, 'size', e.size, 'copies', 1 - e.copies)"
+    off = "acc.off + CASE WHEN e.copies = 0 THEN e.size ELSE -e.size END"
+    return f"""array_append(aggregate(
+      array_sort(r.done, (a, b) -> CASE WHEN a.size > b.size THEN -1 WHEN a.size < b.size THEN 1 WHEN a.doc_id < b.doc_id THEN -1 WHEN a.doc_id > b.doc_id THEN 1 ELSE a.dup - b.dup END),
+      named_struct('off', ({last}) * r.cur.size - r.cur.x, 'docs', slice(r.done, 1, 0)),
+      (acc, e) -> CASE WHEN abs({off}) < abs(acc.off) THEN named_struct('off', {off}, 'docs', array_append(acc.docs, {flip}))
+                       ELSE named_struct('off', acc.off, 'docs', array_append(acc.docs, e)) END).docs,
+      named_struct('doc_id', r.cur.doc_id, 'dup', r.cur.dup, 'size', r.cur.size, 'copies', {last}))"""
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: one row for each document."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -92,13 +106,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     while True:
         folded = level.groupBy(*keys, "node").agg(F.array_sort(F.collect_list("doc")).alias("docs")).select(*keys, "node", F.expr(fold).alias("r"))
         folded = scratch.save(folded)
-        done.append(folded.select(*keys, F.explode("r.done").alias("d")).select("d.doc_id", *keys, "d.size", "d.copies"))
+        settled = "r.done" if width > 1 else F.expr(_settle(seed))
+        done.append(folded.select(*keys, F.explode(settled).alias("d")).select("d.doc_id", *keys, "d.size", "d.copies"))
         if width == 1:
             break
         width = -(-width // FAN)
         level = folded.select(*keys, F.floor(F.col("node") / FAN).alias("node"), F.col("r.cur").alias("doc"))
-    last = F.expr(f"CASE WHEN {_uniform('r.cur.doc_id', 'r.cur.dup', f'{seed + 2}L')} * r.cur.size < r.cur.x THEN 1 ELSE 0 END")
-    done.append(folded.select(F.col("r.cur.doc_id").alias("doc_id"), *keys, F.col("r.cur.size").alias("size"), last.alias("copies")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
