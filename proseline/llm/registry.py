@@ -2,13 +2,17 @@
 
 from . import sql
 from .decontaminate import op1_decontamination
+from .langid import op8_language_id
 from .mixing import op3_mixing
 from .tokens import op9_token_counts
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_mixing": op3_mixing,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
     "op1_decontamination": sql.OP1,
