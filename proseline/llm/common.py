@@ -185,6 +185,17 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_extents(low, begin, end), doc
 
 
+def word_parts(column: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """As word_hashes, with hashes of each word's first bytes (for every length, at most 8, in prefixes)."""
+    data, starts, ends = utf8(column)
+    low = LOWER[data]
+    begin, end, doc = extents(WORD[low], starts, ends)
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    head = np.ndarray((len(low) + 1,), np.dtype("<u8"), padded.data, 0, (1,))[begin] if len(begin) else np.zeros(0, np.uint64)
+    size = end - begin
+    return hash_extents(low, begin, end), [mix64((head & _MASK[np.minimum(size, k)]) + np.uint64(k)) for k in prefixes], doc
+
+
 # --- Connected components --------------------------------------------------------------------------------------------
 
 
