@@ -6,9 +6,11 @@ from .langid import op8_language_id
 from .mixing import op3_mixing
 from .tokens import op9_token_counts
 from .toxicity import op10_toxicity
+from .warc import op2_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
@@ -16,4 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_decontamination": sql.OP1,
+    "op2_warc": sql.OP2,
 }
