@@ -4,6 +4,7 @@ from . import sql
 from .decontaminate import op1_decontamination
 from .langid import op8_language_id
 from .mixing import op3_mixing
+from .neardup import op4_near_duplicates
 from .tokens import op9_token_counts
 from .toxicity import op10_toxicity
 from .warc import op2_warc
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
