@@ -7,6 +7,7 @@ from .mixing import op3_mixing
 from .neardup import op4_near_duplicates
 from .tokens import op9_token_counts
 from .toxicity import op10_toxicity
+from .vectors import op7_embedding_duplicates
 from .warc import op2_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
