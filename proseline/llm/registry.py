@@ -3,6 +3,7 @@
 from . import sql
 from .decontaminate import op1_decontamination
 from .langid import op8_language_id
+from .lattice import op5_lm_scores
 from .mixing import op3_mixing
 from .neardup import op4_near_duplicates
 from .tokens import op9_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_lm_scores": op5_lm_scores,
     "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
