@@ -4,6 +4,7 @@ from . import sql
 from .decontaminate import op1_decontamination
 from .langid import op8_language_id
 from .lattice import op5_lm_scores
+from .licences import op6_licences
 from .mixing import op3_mixing
 from .neardup import op4_near_duplicates
 from .tokens import op9_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_lm_scores": op5_lm_scores,
+    "op6_licences": op6_licences,
     "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
@@ -25,4 +27,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontamination": sql.OP1,
     "op2_warc": sql.OP2,
+    "op6_licences": sql.op6(),
 }

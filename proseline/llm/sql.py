@@ -26,3 +26,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
        CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.digest = f.digest
 """
+
+
+def op6() -> str:
+    from .licences import THRESHOLD, flat, TEMPLATES
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, b))}])" for n, b in flat(TEMPLATES))
+    return rf"""
+WITH t(licence, b) AS (VALUES {rows}),
+u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents
+      UNION ALL SELECT doc_id, u FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS u FROM documents) WHERE contains(u, chr(10))
+      UNION ALL SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\n[ \t\r]*\n')),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(u), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM u),
+s AS (SELECT doc_id, row_number() OVER () AS unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w WHERE len(w) >= 2),
+r AS (SELECT doc_id, unit, licence, 2.0 * len(list_intersect(s, b)) / (len(s) + len(b)) AS dice FROM s, t),
+m AS (SELECT *, max(dice) OVER (PARTITION BY unit) AS top FROM r WHERE dice >= {THRESHOLD}),
+h AS (SELECT doc_id, licence, max(dice) AS dice FROM m WHERE dice = top GROUP BY doc_id, licence),
+k AS (SELECT doc_id, count(*) AS n, string_agg(licence, ',' ORDER BY licence) AS ids, max(dice) AS best FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licences, coalesce(ids, '') AS licences, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best_dice
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
