@@ -36,13 +36,13 @@ def score(df: DataFrame, text_col: str = "text", patterns: PatternSet = STANDARD
         "_readability": readability(t),
         "_prose": prose(t),
         "_lazy": lazy(t, patterns),
-        "_lint": lint_counts(t, hp or LintConfig()) if lint_on else F.struct(F.lit(50).cast("long").alias("score"), F.lit("unavailable").alias("band"), F.lit(0).cast("long").alias("total_penalty")),
+        "_lint": lint_counts(t, hp or LintConfig()) if lint_on else F.struct(F.lit(50).cast("long").alias("score"), F.lit("unavailable").alias("band"), F.lit(0).cast("long").alias("n_violations")),
     })
     lint_score = F.when(some, F.col("_lint.score").cast("double")).otherwise(50.0)
     out = staged.withColumns({
         "lint_score": lint_score,
         "lint_band": F.when(some, F.col("_lint.band")).otherwise("unknown"),
-        "lint_penalty": F.when(some, F.col("_lint.total_penalty")).otherwise(0),
+        "lint_violations": F.when(some, F.col("_lint.n_violations")).otherwise(F.lit(0).cast("long")),
     })
     columns = [c for c in df.columns]
     metrics = [f"_repetition.{k}" for k in ("repetition_penalty", "token_repetition_rate", "bigram_repetition_rate", "trigram_repetition_rate", "consecutive_repetition_score", "sentence_duplicate_ratio", "sequence_repetition_score")]
@@ -52,4 +52,4 @@ def score(df: DataFrame, text_col: str = "text", patterns: PatternSet = STANDARD
     metrics += [f"_lazy.{k}" for k in ("lazy_score", "has_lazy_text", "lazy_pattern_count", "lazy_patterns_found")]
     quality = composite(F.col("_coherence.coherence_score"), F.col("_readability.readability_score"), F.col("_lazy.lazy_score"), F.col("lint_score"), F.col("_repetition.repetition_penalty"), F.col("_prose.prose_penalty"))
     quality = F.when(some, quality).otherwise(0.0)
-    return out.select(*columns, *[F.col(m).alias(m.split(".")[1]) for m in metrics], "lint_score", "lint_band", "lint_penalty", quality.alias("quality_score"), quality.alias("overall_quality"))
+    return out.select(*columns, *[F.col(m).alias(m.split(".")[1]) for m in metrics], "lint_score", "lint_band", "lint_violations", quality.alias("quality_score"), quality.alias("overall_quality"))
