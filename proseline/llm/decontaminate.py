@@ -17,6 +17,7 @@ columns of the documents are left alone; a name that clashes with a result colum
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,9 +178,9 @@ _STATE = T.StructType([
 ])
 
 
-def blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, most: int) -> list[Block]:
-    """The benchmark in blocks of at most ``most`` words (read in one streamed pass)."""
-    out, now, count = [], [], 0
+def blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, most: int) -> Iterator[Block]:
+    """The benchmark in blocks of at most ``most`` words, one after the other (read in one streamed pass)."""
+    now, count = [], 0
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
     for name, text in rows.toLocalIterator():
         words, _ = word_hashes(pa.array([text], pa.string()))
@@ -189,11 +190,11 @@ def blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, most:
             if not len(part):
                 continue
             if now and count + len(part) > most:
-                out.append(Block(now, window))
+                yield Block(now, window)
                 now, count = [], 0
             now.append((name or "", part))
             count += len(part)
-    return [*out, Block(now, window)]
+    yield Block(now, window)
 
 
 def find_contamination(

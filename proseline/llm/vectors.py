@@ -28,7 +28,7 @@ from .common import Scratch, components, table
 
 THRESHOLD, RECALL = 0.95, 0.999
 SAMPLE, QUERIES, CHUNK = 20_000, 256, 2048
-MAX_CODEWORDS, MAX_DIMS, LEAST_CELLS = 512, 16, 4
+MAX_CODEWORDS, MAX_DIMS, LEAST_CELLS = 2048, 16, 4
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -66,10 +66,16 @@ class MultiIndex:
 
     def visit(self, x: np.ndarray, t: int) -> np.ndarray:
         """The first t cells of each row's traversal (fewer columns if there are fewer cells); the first is its own."""
-        d = self.distances(x)
         t = min(t, len(self.books[0]) * self.width)
-        near = [np.argsort(a, axis=1, kind="stable")[:, :t] for a in d]
-        far = [np.take_along_axis(a, o, 1) for a, o in zip(d, near, strict=True)]
+        if len(x) > 1024:
+            return np.concatenate([self.visit(x[at : at + 1024], t) for at in range(0, len(x), 1024)])
+        near, far = [], []
+        for d in self.distances(x):
+            k = min(t, d.shape[1])
+            some = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(k), (len(x), 1))
+            order = np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable")
+            near.append(np.take_along_axis(some, order, 1))
+            far.append(np.take_along_axis(d, near[-1], 1))
         pairs = [(i, j) for i in range(near[0].shape[1]) for j in range(min(near[1].shape[1], t // (i + 1)))]
         i, j = (np.array(p) for p in zip(*pairs, strict=True))
         total = far[0][:, i] + far[1][:, j]
