@@ -8,9 +8,10 @@ signature (documents that leave a coordinate empty double their rank). Two docum
 probability of their weighted Jaccard index. The signature is cut into bands; equal bands make candidates.
 
 Scale. Exact copies (equal word sequences) are first reduced to their smallest id, map-side aggregated. Buckets are not expanded
-into pairs: in each round a bucket's members meet one pivot, unless they are already in its component; pairs are
-verified exactly on the texts, and links contracted to components before the next round. What is then still apart within a
-bucket is compared across components, filtered by the sizes that 0.8 allows. Only texts of candidates are shuffled.
+into pairs: each member is tied to its bucket's smallest id, and what such ties connect is a family. Within a family every
+pair is compared exactly, so no link is lost to a choice of pivots: its texts are dealt into chunks of ``CHUNK`` and every two
+chunks meet in a task of their own, which counts common shingles through posting lists and hands over only links that span
+what it found linked. A hot family is many tasks' work, and its texts travel once for each of its chunks. Other texts are not shuffled.
 
 Defined results: the answer has one row for each input row. A text without words (null, empty, punctuation) links with nothing.
 A text of one to four words is one shingle. Ties go to the smallest id. Rows with the same id count as one document whose texts
@@ -29,7 +30,8 @@ from .common import MIX3, Scratch, components, mix64, shards, table, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-STAR_ROUNDS = 2
+CHUNK = 512
+FILTER_BITS = 1 << 26
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,22 +98,54 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Weighted Jaccard indices of texts, pair by pair."""
-    n = len(a)
-    parts = [shingles(*word_hashes(x), n) for x in (a, b)]
-    h, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    side = np.repeat([0, 1], [len(parts[0][0]), len(parts[1][0])])
-    order = np.lexsort((h, own))
-    h, own, side = h[order], own[order], side[order]
-    if not len(h):
-        return np.zeros(n)
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]))
-    n_b = np.add.reduceat(side, first)
-    n_a = np.diff(np.append(first, len(h))) - n_b
-    both = np.bincount(own[first], np.minimum(n_a, n_b), n)
-    either = np.bincount(own[first], np.maximum(n_a, n_b), n)
-    return both / np.maximum(either, 1)
+def units(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A hash for each unit of weight (a shingle and how many of it came before); h and own as from shingles()."""
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])) if len(h) else np.zeros(0, np.int64)
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return mix64(h + nth.astype(np.uint64) * MIX3)
+
+
+def links(texts: pa.Array, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of a text in left and another in right) whose weighted Jaccard index is at least the threshold.
+
+    Units are sets whose plain Jaccard index is the weighted one; their common elements are counted through posting lists."""
+    n = len(texts)
+    h, own = shingles(*word_hashes(texts), n)
+    size = np.bincount(own, minlength=n)
+    _, number = np.unique(units(h, own), return_inverse=True)
+    start = np.cumsum(size) - size
+    among = np.isin(own, right)
+    order = np.argsort(number[among], kind="stable")
+    posted, key = own[among][order], number[among][order]
+    begin = np.searchsorted(key, np.arange(number.max(initial=-1) + 2))
+    found_a, found_b = [], []
+    for x in left:
+        mine = number[start[x] : start[x] + size[x]]
+        at, count = begin[mine], begin[mine + 1] - begin[mine]
+        place = np.arange(count.sum()) + np.repeat(at - (np.cumsum(count) - count), count)
+        both = np.bincount(posted[place], minlength=n)
+        ok = np.flatnonzero(both >= threshold * (size + size[x] - both) - 1e-9)
+        ok = ok[(ok != x) & (both[ok] > 0)]
+        found_a.append(np.full(len(ok), x))
+        found_b.append(ok)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
+
+
+def _block(batch: pa.Table, threshold: float) -> pa.Table:
+    """Links a, b that span what is linked between the two chunks of a block (or within the one)."""
+    ids = batch.column("id").combine_chunks()
+    side = batch.column("side").to_numpy()
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    a, b = links(batch.column("text").combine_chunks(), left, right, threshold)
+    label = np.arange(len(ids))
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        if (before == label).all():
+            break
+    tied = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.table({"a": ids.take(pa.array(tied)), "b": ids.take(pa.array(label[tied]))})
 
 
 def _prepare(docs: DataFrame) -> DataFrame:
@@ -143,19 +177,16 @@ def _prepare(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs a, b whose texts are similar enough. Both joins are on the id; AQE splits a hot pivot's."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = texts.join(ids, "id", "left_semi")
-    both = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def run(batches):
-        for batch in shards(batches, "text_a", 2_000_000):
-            for part in shards([batch], "text_b", 4_000_000):
-                ok = similarity(part.column(2), part.column(3)) >= threshold
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok))
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those rows whose id's hash is set in a bitmap of the ids' hashes: all that are among the ids and some that aren't.
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, T.StructType([T.StructField(c, pairs.schema["a"].dataType) for c in "ab"]))
+    It keeps other texts out of the shuffle. The bitmap has FILTER_BITS bits in pieces of 32768, at most 8 MB, whatever the number of ids."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bits = ids.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 32768).alias("piece")).agg(F.bitmap_construct_agg((F.col("spot") % 32768)).alias("bits"))
+    at = F.col("spot") % 32768
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumn("spot", spot).withColumn("piece", F.floor(F.col("spot") / 32768)).join(F.broadcast(bits), "piece")
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
@@ -164,52 +195,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(_prepare(docs))
     some = rows.where("n_words > 0 AND doc_id IS NOT NULL")
-    groups = scratch.save(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.first("bands", ignorenulls=True).alias("bands")))
+    groups = scratch.save(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("bands", ignorenulls=True).alias("bands")))
     # copies keep their smallest id; ids of rows with several texts link those texts
     same = some.join(groups.select("f1", "f2", "id"), ["f1", "f2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     several = groups.groupBy("id").count().where("count > 1").limit(1).count() or some.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("k")).where("k > 1").limit(1).count()
-    members = groups.select("id", "n_words", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = scratch.save(members.join(shared, "key"))
-    texts = docs.withColumnRenamed("doc_id", "id").join(groups.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]) if several else docs.withColumnRenamed("doc_id", "id").where("id IS NOT NULL")
-    size = lambda x: F.greatest(F.col(x) - (SHINGLE - 1), F.lit(1))
-    fits = F.least(size("n_a"), size("n_b")) >= F.greatest(size("n_a"), size("n_b")) * F.lit(threshold - 1e-9)
-    links, roots, tried = None, None, None
-
-    def grouped() -> DataFrame:
-        own = members.withColumn("root", F.col("id")) if roots is None else members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        return own.select("key", "id", "n_words", "root")
-
-    for round_ in range(STAR_ROUNDS + 1):
-        now = grouped()
-        if roots is not None:
-            mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-            now = scratch.save(now.join(mixed, "key"))
-        if round_ < STAR_ROUNDS:
-            order = F.col("id") if round_ == 0 else F.xxhash64("id", "key")
-            pivots = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n_words", "root")).alias("p"))
-            pairs = now.join(pivots, "key").where("id <> p.id AND root <> p.root").select("id", F.col("p.id").alias("other"), F.col("n_words").alias("n_a"), F.col("p.n_words").alias("n_b"))
-        else:
-            right = now.select("key", F.col("id").alias("other"), F.col("n_words").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = now.withColumnRenamed("n_words", "n_a").join(right, "key").where("id < other AND root <> root_b")
-        pairs = pairs.where(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.save(_verify(pairs, texts, threshold))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links, scratch)
+    members = groups.select("id", F.explode("bands").alias("key"))
+    ties = members.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    ties = members.join(ties, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    families = components(ties, scratch)
+    sized = families.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    placed = families.join(sized, "root").select(F.col("node").alias("id"), "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("side"))
+    texts = _likely(docs.select(F.col("doc_id").alias("id"), "text"), families.select(F.col("node").alias("id"))).join(placed, "id")
+    if several:
+        texts = texts.dropDuplicates(["id", "text"])
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))
+    blocks = texts.select("root", "id", "side", "text", F.explode(meets).alias("m")).groupBy("root", "m.i", "m.j")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = scratch.save(blocks.applyInArrow(lambda batch: _block(batch, threshold), f"a {kind}, b {kind}"))
+    roots = components(found, scratch)
     if several:
-        links = same if links is None else links.unionByName(same)
-        roots = components(links, scratch)
+        roots = components(found.unionByName(same), scratch)
         out = rows.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
     else:
-        heads = groups.select("f1", "f2", "id")
-        if roots is not None:
-            heads = heads.join(roots, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("root", "id").alias("id"))
+        heads = groups.select("f1", "f2", "id").join(roots, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("root", "id").alias("id"))
         keyed = F.col("n_words") > 0
         out = rows.join(heads.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "id"), keyed & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
         out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("component_id"))
