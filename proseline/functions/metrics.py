@@ -39,7 +39,7 @@ def _zero() -> Column:
 
 def _repeated(values: Column) -> Column:
     """Number of distinct values that occur more than once."""
-    return let(F.array_sort(values), lambda s: F.size(F.filter(s, lambda x, i: (F.get(s, i - 1) == x) & ~F.get(s, i - 2).eqNullSafe(x))))
+    return let(F.sort_array(values), lambda s: F.size(F.filter(s, lambda x, i: (F.get(s, i - 1) == x) & ~F.get(s, i - 2).eqNullSafe(x))))
 
 
 def repetition(text: Column) -> Column:

@@ -51,7 +51,8 @@ def alpha_words(text: Column) -> Column:
 
 def bare_words(text: Column) -> Column:
     """Words without outer punctuation, lowered."""
-    return F.filter(F.transform(words(text), lambda x: F.lower(F.regexp_replace(x, rx(r"\A[^\w]+|[^\w]+\z"), F.lit("")))), lambda x: x != "")
+    outer = r"(?<![^\s\x1c-\x1f])[^\w\s\x1c-\x1f]+|[^\w\s\x1c-\x1f]+(?![^\s\x1c-\x1f])"
+    return words(F.regexp_replace(F.lower(text), rx(outer), F.lit("")))
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -84,7 +85,7 @@ def run_lengths(values: Column) -> Column:
         starts = F.filter(F.transform(s, lambda x, i: F.when(~F.get(s, i - 1).eqNullSafe(x), i)), lambda i: i.isNotNull())
         return let(starts, lambda b: F.transform(b, lambda x, k: F.coalesce(F.get(b, k + 1), F.size(s)) - x))
 
-    return let(F.array_sort(values), of_sorted)
+    return let(F.sort_array(values), of_sorted)
 
 
 def spread(lengths: Column) -> Column:
