@@ -42,12 +42,20 @@ def _repeated(values: Column) -> Column:
     return let(F.sort_array(values), lambda s: F.size(F.filter(s, lambda x, i: (F.get(s, i - 1) == x) & ~F.get(s, i - 2).eqNullSafe(x))))
 
 
+def _windows(t: Column, n: Column) -> Column:
+    """Hashes of all windows of 30 words, put together from hashes of 16, 8, 4 and 2 words."""
+    twice = lambda h, step: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+    whole = lambda a, b, c, d: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.get(d, i), F.get(c, i + 16), F.get(b, i + 24), F.get(a, i + 28)))
+    one = F.transform(t, lambda x: F.xxhash64(x))
+    return let(one, lambda h: let(twice(h, 1), lambda a: let(twice(a, 2), lambda b: let(twice(b, 4), lambda c: let(twice(c, 8), lambda d: whole(a, b, c, d))))))
+
+
 def repetition(text: Column) -> Column:
     def of(t: Column) -> Column:
         n = F.size(t)
         two = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
         three = let(two, lambda b: F.zip_with(F.slice(b, 1, n - 2), F.slice(t, 3, n - 2), lambda x, y: F.concat(x, F.lit(" "), y)))
-        windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(t, i, WINDOW)))
+        windows = _windows(t, n)
         return F.struct(
             F.when(n > 1, _repeated(t) / n).otherwise(0.0).alias("tok"),
             F.when(n > 1, _repeated(two) / (n - 1)).otherwise(0.0).alias("bi"),
