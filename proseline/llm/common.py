@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -20,6 +21,9 @@ _OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input. Rows with texts go to Python in smaller batches than by default, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -112,9 +116,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body, starts, ends
 
 
+def release() -> None:
+    """Hands freed memory back to the system: a worker that is used again by other operators would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shards(batches, column: str, most: int = 6_000_000):
     """Record batches cut so that the text of each has at most so many bytes (a single longer text stands alone)."""
-    for batch in batches:
+    for n, batch in enumerate(batches):
+        if n % 16 == 15:
+            release()
         i = batch.schema.get_field_index(column)
         sizes = np.zeros(len(batch), np.int64) if len(batch) == 0 else (lambda x: x[2] - x[1])(utf8(batch.column(i)))
         at, total = 0, 0
@@ -125,6 +140,7 @@ def shards(batches, column: str, most: int = 6_000_000):
             total += size
         if at < len(batch):
             yield batch.slice(at)
+    release()
 
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -64,7 +64,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 
     def run(batches):
         letters, total = letter_table(), {}
-        for batch in shards(batches, "text", 3_000_000):
+        for batch in shards(batches, "text", 1_000_000):
             langs = batch.column(1).to_pylist()
             names = sorted(set(langs))
             index = np.array([names.index(x) for x in langs], np.int64)
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: s
     def run(batches):
         names, matrix = held.value
         letters, f = letter_table(), 1 << FEATURES_LOG2
-        for batch in shards(batches, text_col, 2_000_000):
+        for batch in shards(batches, text_col, 1_000_000):
             n = len(batch)
             sums = np.tile(matrix[f], (n, 1))
             grams, owners, has = features(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), letters)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX3, Scratch, components, mix64, shards, table, word_hashes
+from .common import MIX3, Scratch, components, mix64, release, shards, table, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -145,6 +145,8 @@ def _block(batch: pa.Table, threshold: float) -> pa.Table:
         if (before == label).all():
             break
     tied = np.flatnonzero(label != np.arange(len(ids)))
+    if len(ids) >= CHUNK:
+        release()
     return pa.table({"a": ids.take(pa.array(tied)), "b": ids.take(pa.array(label[tied]))})
 
 
@@ -153,7 +155,7 @@ def _prepare(docs: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("f1", "f2", "n_words")), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        for batch in shards(batches, "text", 2_000_000):
+        for batch in shards(batches, "text", 1_000_000):
             n = len(batch)
             words, doc = word_hashes(batch.column(1))
             size = np.bincount(doc, minlength=n)
