@@ -101,14 +101,16 @@ def failures(responses: DataFrame, valid: Column) -> DataFrame:
     return responses.groupBy("trial").agg(F.count("*").alias("prompts"), F.count_if(~valid).alias("failed_prompts"), (F.count_if(valid) == 0).alias("all_failed"))
 
 
-def convergence(trials: DataFrame, patience: int, delta: float) -> DataFrame:
+def convergence(trials: DataFrame, patience: int, delta: float, chunk: int = 10_000) -> DataFrame:
     """Where a study stops: (stop_trial, best). Trials in order; only a completed one can improve, and only by more than delta over the
     best that counted; patience completed trials without improvement, or twice as many completed and pruned ones, end it.
 
-    Order-dependent, so it is a fold over the study's trials (their number is a budget, not data); stop_trial is null if it goes on.
+    Order-dependent, so it is a fold, but one that ends at the stop: it takes ``chunk`` trials at a time from the lowest up and carries its
+    state over, so no task holds more than a chunk and trials past the stop are not folded. stop_trial is null if it goes on. Each chunk
+    is a job of its own, run when this is called.
     """
     kept = trials.where("state IN ('COMPLETE', 'PRUNED')").select(F.struct("trial", "state", F.col("value").cast("double").alias("value")).alias("t"))
-    zero = F.expr("named_struct('seen', CAST(NULL AS DOUBLE), 'best', CAST(NULL AS DOUBLE), 'done', 0, 'total', 0, 'stop', CAST(NULL AS BIGINT))")
+    state = "struct<seen:double,best:double,done:int,total:int,stop:bigint>"
 
     def step(a: Column, t: Column) -> Column:
         complete = t["state"] == "COMPLETE"
@@ -120,7 +122,15 @@ def convergence(trials: DataFrame, patience: int, delta: float) -> DataFrame:
         new = F.struct(seen.alias("seen"), F.when(better, seen).otherwise(a["best"]).alias("best"), done.alias("done"), total.alias("total"), stop.alias("stop"))
         return F.when(a["stop"].isNotNull(), a).otherwise(new)
 
-    return kept.agg(F.aggregate(F.array_sort(F.collect_list("t")), zero, step).alias("r")).select(F.col("r.stop").alias("stop_trial"), "r.best")
+    carried, left, spark = (None, None, 0, 0, None), kept.where("t.trial IS NOT NULL"), trials.sparkSession
+    while carried[4] is None:
+        end = left.orderBy("t.trial").limit(chunk).agg(F.max("t.trial")).first()[0]
+        if end is None:
+            break
+        zero = F.struct(*[F.lit(v).alias(k) for k, v in zip(("seen", "best", "done", "total", "stop"), carried, strict=True)]).cast(state)
+        carried = left.where(F.col("t.trial") <= end).agg(F.aggregate(F.array_sort(F.collect_list("t")), zero, step).alias("r")).first()["r"]
+        left = kept.where(F.col("t.trial") > end)
+    return spark.createDataFrame([(carried[4], carried[1])], "stop_trial bigint, best double")
 
 
 def median_prune(steps: DataFrame, startup: int = 10, warmup: int = 1) -> DataFrame:
@@ -149,11 +159,27 @@ def budget(total: int, startup: int, finished: int, revalidated: int) -> tuple[i
     return max(0, min(startup, total) - finished), max(0, total - max(startup, finished) + revalidated)
 
 
+def _earlier(rows: DataFrame, key: str, levels: int) -> DataFrame:
+    """rows (key, best, pruned, n) with best_, pruned_ and n_ of all rows before each. Keys are whole numbers in blocks of 4,096, blocks of
+    blocks and so on; only the totals of the topmost blocks meet in one window."""
+    before = lambda w: [F.max("best").over(w).alias("best_"), F.sum("pruned").over(w).alias("pruned_"), F.sum("n").over(w).alias("n_")]
+    frame = lambda w: w.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    if not levels:
+        return rows.select("*", *before(frame(Window)))
+    block = f"{key}_block"
+    rows = rows.withColumn(block, F.shiftright(F.col(key).cast("long"), 12))
+    totals = rows.groupBy(block).agg(F.max("best").alias("best"), F.sum("pruned").alias("pruned"), F.sum("n").alias("n"))
+    outer = _earlier(totals, block, levels - 1).select(F.col(block).alias("_b"), F.col("best_").alias("_best"), F.col("pruned_").alias("_pruned"), F.col("n_").alias("_n"))
+    inner = rows.select("*", *before(frame(Window.partitionBy(block)))).join(outer, F.col(block) == F.col("_b"))
+    both = lambda k: F.coalesce(F.col(f"{k}_"), F.lit(0)) + F.coalesce(F.col(f"_{k}"), F.lit(0))
+    return inner.select(*rows.columns, F.greatest("best_", "_best").alias("best_"), both("pruned").alias("pruned_"), both("n").alias("n_"))
+
+
 def progress(trials: DataFrame, every: int = 5) -> DataFrame:
     """After every so many trials: best value so far and number pruned."""
-    order = Window.orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trials.select("trial", F.max(F.when(F.col("state") == "COMPLETE", F.col("value"))).over(order).alias("best"), F.sum((F.col("state") == "PRUNED").cast("long")).over(order).alias("pruned"), F.row_number().over(Window.orderBy("trial")).alias("n"))
-    return rows.where(F.col("n") % every == 0).drop("n")
+    rows = trials.select("trial", F.when(F.col("state") == "COMPLETE", F.col("value")).alias("best"), F.coalesce(F.col("state") == "PRUNED", F.lit(False)).cast("long").alias("pruned"), F.lit(1).cast("long").alias("n"))
+    found = _earlier(rows, "trial", 2).where((F.col("n_") + F.col("n")) % every == 0)
+    return found.select("trial", F.greatest("best", "best_").alias("best"), (F.col("pruned") + F.col("pruned_")).alias("pruned"))
 
 
 def route_parameters(parameters: Column, extra: Column, native: tuple = NATIVE_PARAMETERS) -> Column:

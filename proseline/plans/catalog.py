@@ -336,10 +336,15 @@ def revalidation(spark, sf_dir):
 @query("progress", f"""WITH {_TRIALS}, f AS (SELECT * FROM trials WHERE trial < 500), r AS (SELECT trial, max(CASE WHEN state = 'COMPLETE' THEN value END) OVER w AS best, CAST(sum(CASE WHEN state = 'PRUNED' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS pruned,
   row_number() OVER (ORDER BY trial) AS n FROM f WINDOW w AS (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT trial, round(best, 6) AS best, pruned FROM r WHERE n % 5 = 0""")
 def progress(spark, sf_dir):
-    """The first trials: a study's number of trials is a budget."""
+    """The first 500 trials, as the SQL has it; progress_all has them all."""
     return rounded(S.progress(_trials(spark, sf_dir).where("trial < 500")))
 
 
+@query("progress_all")
+def progress_all(spark, sf_dir):
+    return rounded(S.progress(_trials(spark, sf_dir)))
+
+
 @query("convergence", f"""WITH RECURSIVE {_TRIALS}, f AS (SELECT *, row_number() OVER (ORDER BY trial) AS i FROM trials WHERE trial < 400),
   fold(i, seen, best, done, total, stop) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0, 0, CAST(NULL AS BIGINT)
     UNION ALL SELECT i, seen, CASE WHEN better THEN seen ELSE best END, d, t, CASE WHEN d >= 25 OR t >= 50 THEN trial END FROM (
@@ -348,7 +353,7 @@ def progress(spark, sf_dir):
           SELECT f.i, f.trial, CASE WHEN state = 'COMPLETE' THEN 1 ELSE 0 END AS c, CASE WHEN state = 'COMPLETE' THEN greatest(coalesce(fold.seen, value), value) ELSE fold.seen END AS seen, best, done, total FROM fold JOIN f ON f.i = fold.i + 1 WHERE fold.stop IS NULL))))
   SELECT stop AS stop_trial, round(best, 6) AS best FROM fold ORDER BY i DESC LIMIT 1""")
 def convergence(spark, sf_dir):
-    return rounded(S.convergence(_trials(spark, sf_dir).where("trial < 400"), 25, 0.005))
+    return rounded(S.convergence(_trials(spark, sf_dir), 25, 0.005))
 
 
 @query("median_prune", f"""WITH {_TURNS}, r AS (SELECT trial, step, avg(quality_score) OVER w AS value FROM turns WINDOW w AS (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -370,7 +375,7 @@ def failures(spark, sf_dir):
 def select_prompts(spark, sf_dir):
     known = {f"p{i}": {"text": f"prompt {i}", "category": "Test"} for i in range(8)}
     prompts, mode, k = S.prompt_pool(spark, {}, known)
-    return S.select_prompts(_trials(spark, sf_dir).where("trial < 1000"), prompts, mode, k, "study", startup=12)
+    return S.select_prompts(_trials(spark, sf_dir), prompts, mode, k, "study", startup=12)
 
 
 # --- extension -------------------------------------------------------------------------------------------------------

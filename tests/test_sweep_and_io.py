@@ -42,6 +42,42 @@ def test_convergence(spark):
     assert tuple(stop([("FAIL", None)], 2)) == (None, None)
 
 
+def test_convergence_in_chunks(spark):
+    c, p = "COMPLETE", "PRUNED"
+    rows = [(c, 0.5), (p, None), (c, 0.505), (c, 0.6), (p, None), (c, 0.4), (c, 0.605), (c, 0.1), (c, 0.9)]
+    df = trials(spark, [(i, *r) for i, r in enumerate(rows)])
+    for chunk in (1, 2, 4, 100):
+        assert tuple(S.convergence(df, 3, 0.01, chunk).first()) == (7, 0.6)
+        assert tuple(S.convergence(df, 9, 0.01, chunk).first()) == (None, 0.9)
+
+
+def test_whole_studies(spark):
+    """Queries without SQL go over every trial, over borders of blocks too."""
+    from proseline.plans import catalog
+
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").selectExpr("o_orderkey", "o_totalprice / 1e6").collect()
+    best, pruned, want = None, 0, {}
+    for n, (trial, value) in enumerate(sorted(map(tuple, orders)), 1):
+        if trial % 4 == 3:
+            pruned += 1
+        else:
+            best = max(value, best or value)
+        if n % 5 == 0:
+            want[trial] = (round(best, 6), pruned)
+    got = {r["trial"]: (r["best"], r["pruned"]) for r in catalog.progress_all(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 2e-6 and got[k][1] == want[k][1] for k in want)
+    picked = catalog.select_prompts(spark, "/root/testdata/sf0.01")
+    assert picked.select("trial").distinct().count() == len(orders) and picked.count() == 12 + 3 * (len(orders) - 12)
+
+
+def test_convergence_after_the_first_trials(spark, tmp_path):
+    """A stop past the 400th trial, beyond what used to be read."""
+    from proseline.plans import catalog
+
+    spark.range(1000).selectExpr("id AS o_orderkey", "CASE WHEN id % 4 = 3 THEN 0 ELSE least(id, 450) * 10000.0 END AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    assert tuple(catalog.convergence(spark, str(tmp_path)).first()) == (484, 4.5)  # the 25th completed trial after 450
+
+
 def test_prune_revalidate_and_summary(spark):
     steps = spark.createDataFrame([(t, s, float(v), "COMPLETE") for t, v in enumerate([5, 6, 7, 1, 9]) for s in (0, 1)], "trial long, step long, value double, state string")
     got = {(r["trial"], r["step"]): r["prune"] for r in S.median_prune(steps, startup=3, warmup=1).collect()}
