@@ -6,10 +6,11 @@ and a logistic layer weighs them. Rows that training never touched are set to ze
 log-odds.
 
 Training uses at most ``MAX_ROWS`` labelled rows (half of them, where there are so many, of either class, the first by a hash of
-the id) and at most ``MAX_WORDS`` words in all; both are parameters. Longer texts are used whole until the words are used up. The thresholds are
-then calibrated by language on the training rows: the language is read off the text itself by its function words (the
-lang column is no input), and a group with fewer than ``MIN_GROUP`` rows of either class takes the common threshold. A score is
-the logistic of the logit less its group's threshold, so 0.5 is the threshold everywhere.
+the id) and at most ``MAX_WORDS`` words in all; both are parameters. Texts are used whole, and the words are filled up from the class that
+has fewer of them so far, so that neither class crowds the other out. The thresholds are
+then calibrated by language on all labelled rows, whose logits are counted by language, class and bins of 1 / ``BINS``: the language is
+read off the text itself by its function words (the lang column is no input), and a group with fewer than ``MIN_GROUP`` rows of either
+class takes the common threshold. A score is the logistic of the logit less its group's threshold, so 0.5 is the threshold everywhere.
 
 Scoring: filters are linear in the embeddings, so every row's contribution to every filter position is computed once and
 broadcast (a table of fixed size); a text then costs a few gathers for each word. It is a narrow pass over whole texts.
@@ -34,6 +35,8 @@ PARTS = 2 + len(PREFIXES)
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 EPOCHS, MIN_STEPS, BATCH, RATE = 6, 300, 64, 0.02
 MAX_ROWS, MAX_WORDS, MIN_GROUP = 6000, 2_500_000, 25
+#: Bins to a unit of the logit, and where the outermost bins are.
+BINS, FARTHEST = 64, 64
 #: Function words by which a text's language group is told.
 FUNCTION_WORDS = {
     "en": "the and of to in is that it with for",
@@ -91,8 +94,8 @@ class Filters:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def fit(texts: list[np.ndarray], groups: np.ndarray, toxic: np.ndarray, negative_weight: float = 1.0, seed: int = 5) -> Filters | None:
-    """texts: arrays of embedding rows (parts x words); groups: their language groups; negative_weight: how many rows of the source a clean row stands for."""
+def fit(texts: list[np.ndarray], groups: np.ndarray, toxic: np.ndarray, seed: int = 5) -> Filters | None:
+    """texts: arrays of embedding rows (parts x words); groups: their language groups. The thresholds are those of these texts."""
     if not len(texts) or toxic.min() == toxic.max():
         return None
     rng, y = np.random.default_rng(seed), toxic.astype(float)
@@ -174,27 +177,45 @@ def fit(texts: list[np.ndarray], groups: np.ndarray, toxic: np.ndarray, negative
     for at in range(0, len(texts), BATCH):
         part = texts[at : at + BATCH]
         logits[at : at + BATCH] = model.logits(np.concatenate(part, axis=1), np.repeat(np.arange(len(part)), [t.shape[1] for t in part]), len(part))
-    model.shifts[:] = _threshold(logits, toxic, negative_weight)
-    for g in range(len(model.shifts)):
-        own = groups == g
-        if min(toxic[own].sum(), (~toxic[own]).sum()) >= MIN_GROUP:
-            model.shifts[g] = _threshold(logits[own], toxic[own], negative_weight)
+    model.shifts[:] = thresholds(groups, toxic, np.floor(logits * BINS), np.ones(len(texts)))
     return model
 
 
-def _threshold(logits: np.ndarray, toxic: np.ndarray, negative_weight: float) -> float:
-    """The middle of the widest stretch of logits that gives the best F1."""
-    order = np.argsort(logits)
-    x, t = logits[order], toxic[order]
-    kept = t.sum() - np.concatenate([[0], np.cumsum(t)])  # toxic rows at or above the k-th logit
-    false = ((~t).sum() - np.concatenate([[0], np.cumsum(~t)])) * negative_weight
-    f1 = 2 * kept / np.maximum(kept + false + t.sum(), 1e-9)
-    edge = np.concatenate([[x[0] - 2], x, [x[-1] + 2]])
-    real = edge[1:] > edge[:-1]  # between equal logits there is no threshold
-    f1 = np.where(real, f1, -1)
+def thresholds(groups: np.ndarray, toxic: np.ndarray, bins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each language group the threshold, from counts n of rows by group, class and bin."""
+    out = np.full(len(FUNCTION_WORDS) + 1, _threshold(toxic, bins, n))
+    for g in range(len(out)):
+        own = groups == g
+        if min(n[own & toxic].sum(), n[own & ~toxic].sum()) >= MIN_GROUP:
+            out[g] = _threshold(toxic[own], bins[own], n[own])
+    return out
+
+
+def _threshold(toxic: np.ndarray, bins: np.ndarray, n: np.ndarray) -> float:
+    """The middle of the widest stretch between bins that gives the best F1."""
+    low, at = np.unique(bins, return_inverse=True)
+    bad, good = (np.bincount(at, n * c, len(low)) for c in (toxic, ~toxic))
+    kept = bad.sum() - np.concatenate([[0], np.cumsum(bad)])  # toxic rows in the k-th bin or above
+    false = good.sum() - np.concatenate([[0], np.cumsum(good)])
+    f1 = 2 * kept / np.maximum(kept + false + bad.sum(), 1e-9)
+    begin, end = np.append(low[0] + 1 - 2 * BINS, low + 1), np.append(low, low[-1] + 2 * BINS)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    k = best[np.argmax(edge[best + 1] - edge[best])]
-    return float((edge[k] + edge[k + 1]) / 2)
+    k = best[np.argmax((end - begin)[best])]
+    return float(begin[k] + end[k]) / 2 / BINS
+
+
+def fill(sizes: list[tuple], max_words: int) -> list:
+    """Of rows (hash, doc_id, words, toxic) the ids to train on: in order of the hash, always from the class with fewer words so far."""
+    queues = [sorted(r[:3] for r in sizes if bool(r[3]) == c)[::-1] for c in (False, True)]
+    take, words, has = [], [0, 0], [False, False]
+    while any(queues):
+        c = min((c for c in (0, 1) if queues[c]), key=lambda c: words[c])
+        _, doc_id, n = queues[c].pop()
+        if sum(words) + n <= max_words or not has[c]:
+            take.append(doc_id)
+            words[c] += n
+            has[c] = True
+    return take
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, scratch: Scratch | None = None) -> Filters | None:
@@ -204,7 +225,6 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_w
     marks = marks.withColumn("h", F.xxhash64("doc_id"))
     chosen = [marks.where(c).orderBy("h", "doc_id").limit(max_rows // 2) for c in (F.col("toxic"), ~F.col("toxic"))]
     chosen = scratch.save(chosen[0].unionByName(chosen[1]))
-    n_all = dict(marks.groupBy("toxic").count().collect())
     ids = {r["doc_id"]: (r["h"], r["toxic"]) for r in chosen.collect()}  # at most max_rows
     if not ids:
         return None
@@ -219,12 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_w
     # at most max_rows ids: small enough to send along with the scan, whatever the tables' sizes
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id")), "doc_id")
     rows = scratch.save(rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("grp", T.IntegerType()), T.StructField("rows", T.BinaryType())])).dropDuplicates(["doc_id"]))
-    sizes = sorted((ids[r["doc_id"]][0], r["doc_id"], r["n_words"]) for r in rows.select("doc_id", "n_words").collect() if r["n_words"])
-    take, total = [], 0
-    for _, doc_id, n in sizes:
-        if total + n <= max_words or not take:
-            take.append(doc_id)
-            total += n
+    sizes = [(ids[r["doc_id"]][0], r["doc_id"], r["n_words"], ids[r["doc_id"]][1]) for r in rows.select("doc_id", "n_words").collect() if r["n_words"]]
+    take = fill(sizes, max_words)
     if len(take) < len(sizes):
         rows = rows.where(F.col("doc_id").isin(take))
     got = [(*ids[r["doc_id"]], r["grp"], np.frombuffer(r["rows"], np.uint16).reshape(PARTS, -1)) for r in rows.where("n_words > 0").toLocalIterator()]
@@ -232,8 +248,26 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_w
     toxic = np.array([r[1] for r in got], bool)
     if not len(got) or toxic.all() or not toxic.any():
         return None
-    per = lambda c: n_all.get(c, 0) / max(1, (toxic == c).sum())
-    return fit([r[3] for r in got], np.array([r[2] for r in got]), toxic, max(1.0, per(False) / max(per(True), 1e-9)))
+    model = fit([r[3] for r in got], np.array([r[2] for r in got]), toxic)
+    model.shifts[:] = calibrate(docs, marks, model)
+    return model
+
+
+def calibrate(docs: DataFrame, marks: DataFrame, model: Filters) -> np.ndarray:
+    """The thresholds by all labelled rows (marks: doc_id, toxic). Texts are scored where they are; only ids and bins are joined."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = held.value
+        for batch in shards(batches, "text", 1_000_000):
+            rows, doc, groups = featurise(batch.column(1))
+            bins = np.floor(np.clip(model.logits(rows, doc, len(batch)), -FARTHEST, FARTHEST) * BINS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.int32()), pa.array(bins, pa.int32())], ["doc_id", "grp", "bin"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("grp", T.IntegerType()), T.StructField("bin", T.IntegerType())]))
+    counts = rows.join(marks.select("doc_id", "toxic"), "doc_id").groupBy("grp", "toxic", "bin").count().collect()  # at most 2 * FARTHEST * BINS + 1 bins
+    groups, toxic, bins, n = (np.array(x) for x in zip(*counts, strict=True))
+    return thresholds(groups, toxic.astype(bool), bins, n)
 
 
 def score(docs: DataFrame, model: Filters | None, *, text_col: str = "text") -> DataFrame:

@@ -82,3 +82,32 @@ def test_bounds(spark):
     texts, toxic = corpus(200, 4)
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
     assert toxicity.train(docs(spark, texts), labels, max_rows=40, max_words=500) is not None
+
+
+def test_rare_class_keeps_its_words():
+    rng = random.Random(6)
+    size = lambda: max(1, int(rng.lognormvariate(7, 0.8)))
+    common, rare = [(i, f"c{i}", size(), False) for i in range(3000)], [(10 * i, f"r{i}", size(), True) for i in range(3000)]
+    n = {r[1]: r[2] for r in common + rare}
+    take = toxicity.fill(common + rare, 2_500_000)
+    words = [sum(n[x] for x in take if x[0] == c) for c in "cr"]
+    assert sum(words) <= 2_500_000 and min(words) >= 1_200_000
+    # a class that has few words leaves the rest to the other
+    take = toxicity.fill(common + rare[:10], 2_500_000)
+    assert {r[1] for r in rare[:10]} <= set(take) and sum(n[x] for x in take) > 2_400_000
+    assert toxicity.fill([(0, "a", 9, False), (1, "b", 9, True)], 5) == ["a", "b"]
+
+
+def test_thresholds_by_all_labelled_rows(spark):
+    texts, toxic = corpus(600, 7)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts), labels, max_rows=40)
+    rows, doc, groups = toxicity.featurise(pa.array(texts))
+    logits, toxic = model.logits(rows, doc, len(texts)), np.array(toxic, bool)
+    f1 = lambda own, t: 2 * (toxic & own & (logits >= t)).sum() / max(1, (own & (logits >= t)).sum() + (toxic & own).sum())
+    for g in range(len(model.shifts)):
+        own = groups == g
+        if min((own & toxic).sum(), (own & ~toxic).sum()) < toxicity.MIN_GROUP:
+            own = groups >= 0
+        best = max(f1(own, t) for t in logits[own])
+        assert f1(own, model.shifts[g]) >= best - 0.02
