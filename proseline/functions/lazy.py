@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,7 +39,9 @@ class PatternSet:
     regexes: tuple[str, ...] = FALLBACK_REGEXES
 
 
-STANDARD = PatternSet(FALLBACK_LITERALS, STANDARD_REGEXES)
+# The literal half, one a line, repeated ones included.
+STANDARD_LITERALS = tuple((Path(__file__).parent / "literals.txt").read_text(encoding="utf-8").rstrip("\n").split("\n"))
+STANDARD = PatternSet(STANDARD_LITERALS, STANDARD_REGEXES)
 
 
 def load_patterns(path: str) -> PatternSet:
@@ -60,12 +64,23 @@ def override(patterns: PatternSet, literals=None, regexes=None, legacy=None) ->
     return PatternSet(tuple(patterns.literals if literals is None else literals), tuple(patterns.regexes if regexes is None else regexes))
 
 
+def _any_of(strings: list[str]) -> str:
+    """A regex that finds any of the strings, in which common beginnings are tried once."""
+    if "" in strings:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for s in strings:
+        heads.setdefault(s[0], []).append(s[1:])
+    branches = [re.escape(c) + _any_of(rest) for c, rest in heads.items()]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
 def _hits(low: Column, text: Column, patterns: PatternSet) -> Column:
     """array of (pattern, n), n > 0, literals first, in the patterns' order; a literal listed twice is one entry for each."""
     entry = lambda p, n: F.struct(F.lit(p).alias("pattern"), n.cast("long").alias("n"))
     seen = Counter(s.lower() for s in patterns.literals if s)
-    # one pass of a plain alternation decides whether any literal is looked for
-    gate = low.rlike("|".join(f"\\Q{s}\\E" for s in sorted(seen, key=len, reverse=True))) if seen else F.lit(False)
+    # one pass of an alternation decides whether any literal is looked for
+    gate = low.rlike(_any_of(list(seen))) if seen else F.lit(False)
     literal = F.array(*[F.struct(F.lit(s).alias("pattern"), F.lit(s.lower()).alias("low")) for s in patterns.literals if s]) if seen else None
     none = F.array().cast("array<struct<pattern:string,n:bigint>>")
     first = none

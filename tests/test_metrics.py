@@ -114,3 +114,15 @@ def test_cleaning(spark):
     long = " ".join(str(i) for i in range(601))
     assert run(spark, [long], T.excerpt)[0].split() == [str(i) for i in range(150, 650) if i < 601]
     assert run(spark, ["abcdef", "ab"], lambda t: T.truncate(t, 3)) == ["abc...", "ab"]
+
+
+def test_whole_standard_list(spark):
+    """By default every literal of the standard file counts, one listed twice for each time."""
+    assert len(Z.STANDARD.literals) == 246 and Z.STANDARD.regexes == Z.STANDARD_REGEXES
+    once = {x.lower(): sum(y.lower() == x.lower() for y in Z.STANDARD.literals) for x in Z.STANDARD.literals}
+    texts = ["As an AI I cannot. Elara was ethereal.", "nothing of the kind here", *once]
+    got = run(spark, texts, Z.lazy)
+    want = [sum(t.lower().count(x) * n for x, n in once.items()) for t in texts]
+    names = {x.lower() for x in once}
+    have = [sum(h["n"] for h in r["lazy_patterns_found"] if h["pattern"].lower() in names) for r in got]
+    assert have == want and have[0] >= 4 and have[1] == 0 and min(have[2:]) >= 1
