@@ -178,8 +178,18 @@ def responses(spark, sf_dir) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", "source", "lang", F.coalesce(F.length(t), F.lit(0)).alias("response_length"), M.coherence(t).alias("c"), M.readability(t)["readability_score"].alias("readability_score"), M.repetition(t)["repetition_penalty"].alias("repetition_penalty"))
     rows = rows.select("doc_id", "source", "lang", "response_length", F.col("c.coherence_score").alias("coherence_score"), F.col("c.sentence_count").alias("sentence_count"), "readability_score", "repetition_penalty")
     quality = composite(F.col("coherence_score"), F.col("readability_score"), F.lit(0.0), F.lit(100.0), F.col("repetition_penalty"), F.lit(0.0))
+    return _parameters(rows.withColumns({"quality_score": quality, "overall_quality": quality}))
+
+
+def full_responses(spark, sf_dir) -> DataFrame:
+    """Documents scored by all families, with derived parameters."""
+    rows = score(docs(spark, sf_dir).select("doc_id", "source", "lang", "text"))
+    return _parameters(rows.withColumn("response_length", F.coalesce(F.length("text"), F.lit(0))).drop("text"))
+
+
+def _parameters(rows: DataFrame) -> DataFrame:
     i = F.col("doc_id")
-    return rows.withColumns({"quality_score": quality, "overall_quality": quality, "temperature": 0.1 * (i % 5), "min_p": 0.05 * (i % 3), "adaptive_target": 0.25 * (i % 2), "success": i % 10 != 0})
+    return rows.withColumns({"temperature": 0.1 * (i % 5), "min_p": 0.05 * (i % 3), "adaptive_target": 0.25 * (i % 2), "success": i % 10 != 0})
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -192,21 +202,21 @@ MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("quality_score", "repet
 
 @query("best_configs", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, round(min_p, 6) AS min_p, round(adaptive_target, 6) AS adaptive_target, {MEANS}, count(*) AS n, {COMBO} AS o FROM scored GROUP BY ALL)
   SELECT * EXCLUDE o, round(o, 6) AS overall_score, row_number() OVER (ORDER BY o DESC) AS rank FROM b ORDER BY o DESC LIMIT 10""".replace("GROUP BY ALL", "GROUP BY temperature, min_p, adaptive_target"))
-def best_configs(spark, sf_dir):
-    return rounded(R.best_configs(responses(spark, sf_dir), R.CONFIG_KEYS))
+def best_configs(spark, sf_dir, rows=responses):
+    return rounded(R.best_configs(rows(spark, sf_dir), R.CONFIG_KEYS))
 
 
 @query("chat_configs", f"""{O.FULL}, b AS (SELECT source, {MEANS}, count(*) AS n, avg(quality_score * 0.4 + (1 - repetition_penalty) * 0.3 + coherence_score * 0.2 + readability_score * 0.1) AS o FROM scored WHERE source IS NOT NULL GROUP BY source)
   SELECT * EXCLUDE o, round(o, 6) AS overall_score FROM b ORDER BY o DESC LIMIT 5""")
-def chat_configs(spark, sf_dir):
-    return rounded(R.chat_configs(responses(spark, sf_dir), ["source"]))
+def chat_configs(spark, sf_dir, rows=responses):
+    return rounded(R.chat_configs(rows(spark, sf_dir), ["source"]))
 
 
 @query("summary_stats", f"""{O.FULL} SELECT count(*) AS total_requests, round(avg(CAST(success AS INT)), 6) AS success_rate, round(avg(response_length), 6) AS avg_response_length, round(median(response_length), 6) AS median_response_length,
   min(response_length) AS min_response_length, max(response_length) AS max_response_length, round(avg(quality_score), 6) AS avg_quality_score, round(avg(repetition_penalty), 6) AS avg_repetition_penalty, round(avg(coherence_score), 6) AS avg_coherence_score,
   round(avg(readability_score), 6) AS avg_readability_score, round(avg(quality_score), 6) AS avg_overall_quality, round(max(quality_score), 6) AS best_quality_score, round(min(quality_score), 6) AS worst_quality_score FROM scored""")
-def summary_stats(spark, sf_dir):
-    out = R.summary(responses(spark, sf_dir))
+def summary_stats(spark, sf_dir, rows=responses):
+    out = R.summary(rows(spark, sf_dir))
     return rounded(out.drop(*[c for c in out.columns if c.endswith("_range")]))
 
 
@@ -214,26 +224,26 @@ CORRELATED = ["quality_score", "repetition_penalty", "coherence_score", "readabi
 
 
 @query("correlations", O.FULL + " SELECT a, b, round(r, 6) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM scored" for a in CORRELATED for b in CORRELATED) + ")")
-def correlations(spark, sf_dir):
-    return rounded(R.correlations(responses(spark, sf_dir), CORRELATED))
+def correlations(spark, sf_dir, rows=responses):
+    return rounded(R.correlations(rows(spark, sf_dir), CORRELATED))
 
 
 CALIBRATED = ["quality_score", "coherence_score", "readability_score", "repetition_penalty"]
 _TALL = "t AS (" + " UNION ALL ".join(f"SELECT quality AS corpus, '{m}' AS metric, coalesce({m}, 0) AS value FROM scored JOIN labels USING (doc_id)" for m in CALIBRATED) + ")"
 
 
-def labelled(spark, sf_dir) -> DataFrame:
-    return responses(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("corpus")), "doc_id")
+def labelled(spark, sf_dir, rows=responses) -> DataFrame:
+    return rows(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("corpus")), "doc_id")
 
 
 @query("calibration", f"{O.FULL}, {_TALL} SELECT corpus, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS n FROM t GROUP BY corpus, metric")
-def calibration(spark, sf_dir):
-    return rounded(R.calibration(labelled(spark, sf_dir), "corpus", CALIBRATED)).withColumn("corpus", F.col("corpus").cast("int"))
+def calibration(spark, sf_dir, rows=responses, metrics=CALIBRATED):
+    return rounded(R.calibration(labelled(spark, sf_dir, rows), "corpus", metrics)).withColumn("corpus", F.col("corpus").cast("int"))
 
 
 @query("calibration_pivot", f"{O.FULL}, {_TALL}, m AS (SELECT metric, avg(value) FILTER (WHERE corpus = 0) AS low, avg(value) FILTER (WHERE corpus = 1) AS high FROM t GROUP BY metric) SELECT metric, round(low, 6) AS low, round(high, 6) AS high, round(high - low, 6) AS gap FROM m")
-def calibration_pivot(spark, sf_dir):
-    out = R.corpus_comparison(labelled(spark, sf_dir), "corpus", [0, 1], 1, 0, CALIBRATED)
+def calibration_pivot(spark, sf_dir, rows=responses, metrics=CALIBRATED):
+    out = R.corpus_comparison(labelled(spark, sf_dir, rows), "corpus", [0, 1], 1, 0, metrics)
     return rounded(out.select("metric", F.col("`0`").alias("low"), F.col("`1`").alias("high"), "gap"))
 
 
@@ -242,9 +252,9 @@ _BANDED = "CASE WHEN quality_score >= 0.8 THEN 'clean' WHEN quality_score >= 0.7
 
 @query("worst_band", f"""{O.FULL}, b AS (SELECT source, doc_id, {_BANDED} AS band FROM scored), rk AS (SELECT *, CASE band WHEN 'clean' THEN 0 WHEN 'light' THEN 1 WHEN 'heavy' THEN 3 ELSE 2 END AS k, CASE band WHEN 'clean' THEN 0 WHEN 'light' THEN 1 WHEN 'heavy' THEN 3 WHEN 'saturated' THEN 4 ELSE 2 END AS f FROM b)
   SELECT source, first(band ORDER BY k DESC, doc_id) AS worst_band, first(band ORDER BY f DESC, doc_id) AS worst_band_fixed FROM rk GROUP BY source""")
-def worst_band(spark, sf_dir):
+def worst_band(spark, sf_dir, rows=responses):
     """Bands cut from the quality score, so that all of them occur."""
-    return R.worst_band(responses(spark, sf_dir).withColumn("band", F.expr(_BANDED)), "source", "band", "doc_id")
+    return R.worst_band(rows(spark, sf_dir).withColumn("band", F.expr(_BANDED)), "source", "band", "doc_id")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -262,10 +272,10 @@ def running_mean(spark, sf_dir):
 
 @query("average_by_trial", f"""{O.FULL} SELECT source AS trial, round(avg(repetition_penalty), 6) AS repetition_penalty, round(avg(coherence_score), 6) AS coherence_score, round(avg(readability_score), 6) AS readability_score, round(avg(response_length), 6) AS response_length,
   CAST(sum(sentence_count) AS BIGINT) AS lazy_pattern_count, round(avg(quality_score), 6) AS mean_score, round(CASE WHEN count(*) > 1 THEN var_pop(quality_score) ELSE 0 END, 6) AS score_variance, round(min(quality_score), 6) AS score_min FROM scored GROUP BY source""")
-def average_by_trial(spark, sf_dir):
-    """Sources as trials; sentences stand for pattern hits."""
-    rows = responses(spark, sf_dir).withColumnRenamed("source", "trial").withColumn("lazy_pattern_count", F.col("sentence_count"))
-    return rounded(R.average_by_trial(rows))
+def average_by_trial(spark, sf_dir, rows=responses):
+    """Sources as trials; sentences stand for pattern hits where none were counted."""
+    found = rows(spark, sf_dir).withColumnRenamed("source", "trial")
+    return rounded(R.average_by_trial(found if "lazy_pattern_count" in found.columns else found.withColumn("lazy_pattern_count", F.col("sentence_count"))))
 
 
 _PATS = " UNION ALL ".join(f"SELECT source AS trial, doc_id, {O.q(p)} AS pattern, (len(lower(t)) - len(replace(lower(t), {O.q(p)}, ''))) // {len(p)} AS n FROM d" for p in FREQUENT.literals)
@@ -280,8 +290,8 @@ def pattern_frequency(spark, sf_dir):
 
 @query("histogram", f"""{O.FULL}, e AS (SELECT min(quality_score) AS lo, max(quality_score) AS hi FROM scored), b AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(19, CAST(floor((quality_score - lo) / ((hi - lo) / 20)) AS BIGINT)) END AS bin FROM scored, e)
   SELECT CAST(k AS BIGINT) AS bin, round(lo + k * (hi - lo) / 20, 6) AS low, round(lo + (k + 1) * (hi - lo) / 20, 6) AS high, (SELECT count(*) FROM b WHERE bin = k) AS n FROM e, (SELECT unnest(range(20)) AS k)""")
-def histogram(spark, sf_dir):
-    return rounded(R.histogram(responses(spark, sf_dir), "quality_score", 20))
+def histogram(spark, sf_dir, rows=responses):
+    return rounded(R.histogram(rows(spark, sf_dir), "quality_score", 20))
 
 
 @query("box_stats", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, quantile_cont(CAST(response_length AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(response_length AS DOUBLE), 0.5) AS median, quantile_cont(CAST(response_length AS DOUBLE), 0.75) AS q3 FROM scored GROUP BY ALL)
@@ -380,6 +390,17 @@ def select_prompts(spark, sf_dir):
 
 # --- extension -------------------------------------------------------------------------------------------------------
 @query("quality_rollup", f"{O.FULL} SELECT source, lang, round(avg(quality_score), 6) AS avg_quality, count(*) AS n FROM scored GROUP BY ROLLUP (source, lang)")
-def quality_rollup(spark, sf_dir):
+def quality_rollup(spark, sf_dir, rows=responses):
     """EXTENSION: means by source and language, by source, and overall."""
-    return rounded(responses(spark, sf_dir).rollup("source", "lang").agg(F.avg("quality_score").alias("avg_quality"), F.count("*").alias("n")))
+    return rounded(rows(spark, sf_dir).rollup("source", "lang").agg(F.avg("quality_score").alias("avg_quality"), F.count("*").alias("n")))
+
+
+# --- reports over all families; no SQL has the standard patterns' back-references ---------------------------------------
+def _full(f, **more):
+    return lambda spark, sf_dir: f(spark, sf_dir, rows=full_responses, **more)
+
+
+for _f in (best_configs, chat_configs, summary_stats, correlations, worst_band, average_by_trial, histogram, quality_rollup):
+    QUERIES[f"{_f.__name__}_full"] = _full(_f)
+QUERIES["calibration_full"] = _full(calibration, metrics=R.CALIBRATION_METRICS)
+QUERIES["calibration_pivot_full"] = _full(calibration_pivot, metrics=R.COMPARED_METRICS)
