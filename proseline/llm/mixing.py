@@ -5,13 +5,14 @@ fractions are rounded dependently. Two documents meet; a random amount of words
 them holds none or all of its own words, so the sum of words stays as it is and each document's expected copies stay its
 rate. The one that is still fractional goes on to meet the next. Chunks of documents (dealt by a hash of the row, so a
 hot source is spread evenly) are folded in an ``aggregate`` expression; their residuals meet in chunks of chunks, level by
-level, until each source has one residual, which is rounded at random. The words taken from a source then differ from its
-target by less than the size of one document. As that document can be a long one, those settled in the source's last chunk
-(at most 63) are gone through from the longest down, and one flips where that brings the words nearer to the target.
+level, until one residual is left, which is rounded at random. The words taken from a source then differ from its target by
+less than the size of one document. So that this is a short one, documents are folded by size class (powers of two): a source's
+class becomes one residual and a reserve of about 64 documents that are left aside; the classes' residuals and reserves are folded
+last, from the longest class down, so a long document's fraction is settled against many shorter ones.
 
 Scale: one pass over the texts for the sizes (map-side aggregated to rows of id, source, size), then narrow rows only. Each
-level shuffles at most 1/64 of the level before, plus one row for each source and chunk. Source statistics are grouped
-sums; ranking the sources and filling the targets is a window over one row for each source.
+level shuffles at most 1/64 of the level before; the last fold has about 64 rows for each size class of a source, whatever the
+source's size. Source statistics are grouped sums; ranking the sources and filling the targets is a window over one row for each source.
 
 Defined results: a null text has size 0; a document of size 0 takes 0 words; sources sort by code point with null last;
 repeated rows (same id, source, size) are each rounded on their own; an empty table gives an empty result; other columns are
@@ -71,19 +72,6 @@ def _fold(seed: int) -> str:
       END)"""
 
 
-def _settle(seed: int) -> str:
-    """SQL: all documents of a source's last chunk, from its fold ``r``: the residual rounded, then flips towards the target."""
-    last = f"CASE WHEN {_uniform('r.cur.doc_id', 'r.cur.dup', f'{seed + 2}L')} * r.cur.size < r.cur.x THEN 1 ELSE 0 END"
-    flip = "named_struct('doc_id', e.doc_id, 'dup', e.dup, 'size', e.size, 'copies', 1 - e.copies)"
-    off = "acc.off + CASE WHEN e.copies = 0 THEN e.size ELSE -e.size END"
-    return f"""array_append(aggregate(
-      array_sort(r.done, (a, b) -> CASE WHEN a.size > b.size THEN -1 WHEN a.size < b.size THEN 1 WHEN a.doc_id < b.doc_id THEN -1 WHEN a.doc_id > b.doc_id THEN 1 ELSE a.dup - b.dup END),
-      named_struct('off', ({last}) * r.cur.size - r.cur.x, 'docs', slice(r.done, 1, 0)),
-      (acc, e) -> CASE WHEN abs({off}) < abs(acc.off) THEN named_struct('off', {off}, 'docs', array_append(acc.docs, {flip}))
-                       ELSE named_struct('off', acc.off, 'docs', array_append(acc.docs, e)) END).docs,
-      named_struct('doc_id', r.cur.doc_id, 'dup', r.cur.dup, 'size', r.cur.size, 'copies', {last}))"""
-
-
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: one row for each document."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -91,27 +79,33 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").count()
     rows = rows.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("dup"))
     rows = scratch.save(rows)
-    share = scratch.save(targets(rows, weights, total, most))
+    cls = F.floor(F.log2(F.col("size"))).cast("int")
+    held = rows.where("size > 0").groupBy("source", cls.alias("cls")).count().groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("cls", "count"))).alias("_held"), F.max("count").alias("_most"))
+    share = targets(rows, weights, total, most).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    share = scratch.save(share.join(held, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source"))
+    most_held = share.agg(F.max("_most")).first()[0] or 0
     keys = ["source", "source_size", "target"]
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    share = share.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    rows = rows.join(share, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "dup", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"))
+    rows = rows.join(share, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "dup", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), cls.alias("cls"), F.expr(f"int(ceil(_held[cls] / {FAN}.0D))").alias("width"))
     rows = rows.withColumn("x", F.col("size") * (rate - F.floor(rate)))
-    n = rows.count()
-    width = max(1, -(-n // FAN))
-    node = F.pmod(F.xxhash64("doc_id", "dup", F.lit(seed)), F.lit(width)).alias("node")
-    level = rows.where("x > 0").select(*keys, node, F.struct(F.xxhash64("doc_id", "dup", F.lit(seed + 1)).alias("h"), "doc_id", "dup", "size", "x").alias("doc"))
+    # node 0 of a class is its reserve; the others are the leaves of its tree
+    node = F.pmod(F.xxhash64("doc_id", "dup", F.lit(seed)), F.col("width")).cast("int").alias("node")
+    open_ = rows.where("x > 0").select(*keys, "cls", node, F.struct(F.xxhash64("doc_id", "dup", F.lit(seed + 1)).alias("h"), "doc_id", "dup", "size", "x").alias("doc"))
     fold = _fold(seed).replace("{t}", rows.schema["doc_id"].dataType.simpleString())
     done = [rows.where("x <= 0").select("doc_id", *keys, "size", F.lit(0).alias("copies"))]
-    while True:
-        folded = level.groupBy(*keys, "node").agg(F.array_sort(F.collect_list("doc")).alias("docs")).select(*keys, "node", F.expr(fold).alias("r"))
-        folded = scratch.save(folded)
-        settled = "r.done" if width > 1 else F.expr(_settle(seed))
-        done.append(folded.select(*keys, F.explode(settled).alias("d")).select("d.doc_id", *keys, "d.size", "d.copies"))
-        if width == 1:
-            break
-        width = -(-width // FAN)
-        level = folded.select(*keys, F.floor(F.col("node") / FAN).alias("node"), F.col("r.cur").alias("doc"))
+    taken = lambda r: r.select("d.doc_id", *keys, "d.size", "d.copies")
+    last, level, width = open_.where("node = 0").drop("node"), open_.where("node > 0").withColumn("node", F.col("node") - 1), -(-most_held // FAN) - 1
+    while width > 0:
+        level = scratch.save(level.groupBy(*keys, "cls", "node").agg(F.array_sort(F.collect_list("doc")).alias("docs")).select(*keys, "cls", "node", F.expr(fold).alias("r")))
+        done.append(taken(level.select(*keys, F.explode("r.done").alias("d"))))
+        level = level.select(*keys, "cls", F.floor(F.col("node") / FAN).cast("int").alias("node"), F.col("r.cur").alias("doc"))
+        width = 0 if width == 1 else -(-width // FAN)
+    last = last.unionByName(level.drop("node")) if most_held > FAN else last
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cls")).alias("down"), "doc"))), lambda d: d["doc"])
+    last = scratch.save(last.groupBy(*keys).agg(ordered.alias("docs")).select(*keys, F.expr(fold).alias("r")))
+    done.append(taken(last.select(*keys, F.explode("r.done").alias("d"))))
+    end = F.expr(f"CASE WHEN {_uniform('r.cur.doc_id', 'r.cur.dup', f'{seed + 2}L')} * r.cur.size < r.cur.x THEN 1 ELSE 0 END")
+    done.append(last.select("r.cur.doc_id", *keys, "r.cur.size", end.alias("copies")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

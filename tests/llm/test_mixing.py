@@ -73,3 +73,24 @@ def test_expected_copies(spark):
 def test_native(spark):
     plan = op3_mixing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("total", [1.25, 1.75])
+def test_equal_documents_have_equal_rates(spark, total):
+    """400 sources of one layout, a long document and fifteen equal short ones: each place in it is taken at its rate."""
+    df = spark.range(6400).selectExpr("id AS doc_id", "repeat('w ', IF(id % 16 = 0, 400, 30)) AS text", "CAST(id DIV 16 AS STRING) AS source")
+    got = defaultdict(list)
+    for r in mix(df, weights=(1,), total=total).collect():
+        got[r["doc_id"] % 16].append(r["copies"])
+    bound = 4 * (0.25 * 0.75 / 400) ** 0.5
+    assert all(len(v) == 400 and abs(sum(v) / 400 - total) < bound for v in got.values()), {k: sum(v) / 400 for k, v in got.items()}
+
+
+def test_classes_fold_to_small_residuals(spark):
+    """A source of many documents of many sizes ends nearer to its target than its longest document is long."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + pow(2, (id * 7919) % 1000 / 100.0D) AS INT)) AS text", "IF(id % 3 = 0, 'a', 'b') AS source")
+    rows = mix(df).collect()
+    check(rows, None)
+    for s in ("a", "b"):
+        rs = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in rs) - rs[0]["target"]) < 100
