@@ -7,11 +7,14 @@ depth is the set of verbatim occurrences, the depth at which the interval emptie
 
 The whole operator is narrow: no shuffle, one pass over the documents for each block of the benchmark. A block has at
 most ``BLOCK_WORDS`` words, which bounds what is broadcast; a larger benchmark takes more passes, whose hits are merged
-row by row. Items longer than a block are cut into overlapping pieces.
+row by row. Between passes the rows are written to the shared folder, so that a task never holds more than one block. Items longer than a
+block are cut into overlapping pieces. The benchmark's words are hashed in tasks; the driver puts together one block at a time.
 
 Defined results: a null, empty or wordless text has no words, no hits and no items. Benchmark items without words match
 nothing. Repeated items and items that share passages each count. A null item_id is written as an empty string. Extra
-columns of the documents are left alone; a name that clashes with a result column raises ValueError.
+columns of the documents are left alone, but for one named contamination, which the result replaces (``decontaminate`` gives back
+all columns of its input whatever their names). Words are compared by 64-bit hashes: two different windows pass for the same with
+a probability of about 2^-64 for each pair.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, shards, table, word_hashes
+from .common import Scratch, fresh, mix64, shards, table, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -181,9 +184,16 @@ _STATE = T.StructType([
 def blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, most: int) -> Iterator[Block]:
     """The benchmark in blocks of at most ``most`` words, one after the other (read in one streamed pass)."""
     now, count = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
-    for name, text in rows.toLocalIterator():
-        words, _ = word_hashes(pa.array([text], pa.string()))
+
+    def hashed(batches):
+        for batch in shards(batches, "text"):
+            words, doc = word_hashes(batch.column(1))
+            cut = np.searchsorted(doc, np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["name", "words"])
+
+    rows = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    for name, packed in rows.mapInArrow(hashed, "name string, words binary").toLocalIterator():
+        words = np.frombuffer(packed, np.uint64)
         step = max(1, most - window + 1)
         for at in range(0, max(1, len(words) - window + 1), step):
             part = words[at : at + step + window - 1]
@@ -198,43 +208,48 @@ def blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, most:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, name: str = "contamination", scratch: Scratch | None = None
 ) -> DataFrame:
-    """docs with a struct ``contamination``: n_words, hits (a bit for each word, packed), items and longest_match."""
-    if "contamination" in docs.columns:
-        raise ValueError("a column named contamination exists already")
-    spark = docs.sparkSession
-    out = docs
+    """docs with a struct (named ``contamination`` by default): n_words, hits (a bit for each word, packed), items and longest_match."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name])
+    spark, saved = docs.sparkSession, None
+    out, scratch = docs, scratch or Scratch(docs.sparkSession)
     for k, block in enumerate(blocks(benchmark, window, item_id, item_text, block_words)):
         held = spark.sparkContext.broadcast(block)
-        schema = T.StructType([f for f in docs.schema.fields] + [T.StructField("contamination", _STATE)])
+        schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(name, _STATE)])
 
         def run(batches, held=held, merge=k > 0):
             block = held.value
             for batch in shards(batches, text_col, 3_000_000):
                 n_words, hit, text_of, items, far = scan(block, batch.column(batch.schema.get_field_index(text_col)))
                 cut = np.searchsorted(text_of, np.arange(len(batch)))
-                old = batch.column(batch.schema.get_field_index("contamination")).to_pylist() if merge else [None] * len(batch)
+                old = batch.column(batch.schema.get_field_index(name)).to_pylist() if merge else [None] * len(batch)
                 rows = []
                 for i in range(len(batch)):
-                    bits, names, best = np.packbits(hit[cut[i] : cut[i] + n_words[i]]), items.get(i, set()), int(far[i])
+                    bits, found, best = np.packbits(hit[cut[i] : cut[i] + n_words[i]]), items.get(i, set()), int(far[i])
                     if old[i]:
                         bits = bits | np.frombuffer(old[i]["hits"], np.uint8)
-                        names, best = names | set(old[i]["items"]), max(best, old[i]["longest_match"])
-                    rows.append({"n_words": int(n_words[i]), "hits": bits.tobytes(), "items": sorted(names), "longest_match": best})
+                        found, best = found | set(old[i]["items"]), max(best, old[i]["longest_match"])
+                    rows.append({"n_words": int(n_words[i]), "hits": bits.tobytes(), "items": sorted(found), "longest_match": best})
                 kind = pa.struct([("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("longest_match", pa.int64())])
-                columns = [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "contamination" or not merge]
-                fields = [f for f in batch.schema if f.name != "contamination" or not merge]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], schema=pa.schema([*fields, pa.field("contamination", kind)]))
-
+                columns = [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != name or not merge]
+                fields = [f for f in batch.schema if f.name != name or not merge]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], schema=pa.schema([*fields, pa.field(name, kind)]))
+
+        if k:
+            now = scratch.save(out)
+            if saved is not None:
+                scratch.drop(saved)
+            out = saved = now
         out = out.mapInArrow(run, schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark window."""
-    found = find_contamination(docs, benchmark, **options)
-    return found.where(F.size("contamination.items") == 0).drop("contamination")
+    name = fresh(docs, "contamination")
+    found = find_contamination(docs, benchmark, name=name, **options)
+    return found.where(F.size(F.col(f"{name}.items")) == 0).drop(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +266,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(c + "items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(c + "items"), ","), 256).alias("items_sha256"),
         (F.size(c + "items") > 0).alias("contaminated"),
+        F.col(c + "longest_match").alias("longest_match"),
     )
 
 

@@ -2,14 +2,15 @@
 
 Training counts come from all learning rows, not a sample: each task adds up the n-grams of its shards in one table for
 each language and hands over the non-zero cells; a grouped sum makes the totals. The log-probability matrix (features x
-languages, at most ``MAX_LANGS`` languages, checked) is broadcast. Scoring gathers the matrix rows of a shard's n-grams
-and adds them up for each text, which is a sparse batch product in numpy. Neither pass shuffles texts.
+languages, at most ``MAX_LANGS`` languages, checked) is broadcast. Scoring gathers the matrix rows of a shard's n-grams, in slices
+of at most ``CELLS`` matrix cells, and adds them up for each text, which is a sparse batch product in numpy. Neither pass shuffles texts.
 
 Texts are lowered; whatever is no letter counts as one space-like symbol, and n-grams of such symbols alone are left out.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing was learned.
 The score is the posterior of the predicted language. Ties go to the language first in code-point order. Learning rows with a
-null language or text are passed over. Extra columns stay; result names that clash raise ValueError.
+null language or text are passed over. Extra columns stay, but for those named lang_pred or score, which the results replace;
+``keep_wanted`` gives back all columns of its input whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, shards, table
+from .common import bucket_of, fresh, shards, table
 
 FEATURES_LOG2 = 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.1
-MAX_LANGS = 512
+MAX_LANGS, CELLS = 512, 2_000_000
+#: The languages that a corpus keeps where nothing else is said.
+WANTED = ("en",)
 
 
 def letter_table() -> np.ndarray:
@@ -58,14 +61,14 @@ def features(texts: list, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return grams, owners, has
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in code-point order; log-probabilities, a row for each feature and last the priors."""
+def count_grams(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", fold: Column | None = None) -> dict[int, dict[str, np.ndarray]]:
+    """For each fold (a small whole number; 0 where none is given) and language the n-gram counts and last the number of rows."""
     f = 1 << FEATURES_LOG2
 
     def run(batches):
         letters, total = letter_table(), {}
         for batch in shards(batches, "text", 1_000_000):
-            langs = batch.column(1).to_pylist()
+            langs = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             names = sorted(set(langs))
             index = np.array([names.index(x) for x in langs], np.int64)
             grams, owners, _ = features(batch.column(0).to_pylist(), letters)
@@ -81,19 +84,24 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
         yield from emit(total)
 
     def emit(total):
-        for name, counts in total.items():
+        for (name, part), counts in total.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["fold", "lang", "feature", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    cells = rows.mapInArrow(run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    matrix: dict[str, np.ndarray] = {}
-    for lang, feats, ns in cells.groupBy("lang").agg(F.collect_list("feature"), F.collect_list("n")).toLocalIterator():
-        row = matrix.setdefault(lang, np.zeros(f + 1))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(0) if fold is None else fold).cast("int").alias("fold")).where("text IS NOT NULL AND lang IS NOT NULL")
+    cells = rows.mapInArrow(run, "fold int, lang string, feature int, n long").groupBy("fold", "lang", "feature").agg(F.sum("n").alias("n"))
+    found: dict[int, dict[str, np.ndarray]] = {}
+    for part, lang, feats, ns in cells.groupBy("fold", "lang").agg(F.collect_list("feature"), F.collect_list("n")).toLocalIterator():
+        row = found.setdefault(part, {}).setdefault(lang, np.zeros(f + 1))
         row[np.array(feats, np.int64)] = ns
-        if len(matrix) > MAX_LANGS:
+        if len(found[part]) > MAX_LANGS:
             raise ValueError(f"more than {MAX_LANGS} languages: their matrix is not broadcast")
-    names = sorted(matrix)
+    return found
+
+
+def model_of(matrix: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Languages in code-point order; log-probabilities, a row for each feature and last the priors."""
+    f, names = 1 << FEATURES_LOG2, sorted(matrix)
     if not names:
         return [], np.zeros((f + 1, 0))
     counts = np.stack([matrix[n] for n in names], axis=1)
@@ -101,13 +109,25 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     return names, np.vstack([out, np.log(counts[f] / counts[f].sum())])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    clash = {"lang_pred", "score"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """The model of all rows of docs that have a text and a language."""
+    return model_of(count_grams(docs, text_col=text_col, lang_col=lang_col).get(0, {}))
+
+
+def add_rows(sums: np.ndarray, matrix: np.ndarray, g: np.ndarray, own: np.ndarray) -> None:
+    """Adds to each text's sums the matrix rows of its n-grams (own: the text of each, in order), a bounded slice at a time."""
+    step = max(1, CELLS // max(1, matrix.shape[1]))
+    for at in range(0, len(g), step):
+        o = own[at : at + step]
+        first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        sums[o[first]] += np.add.reduceat(matrix[g[at : at + step]], first, axis=0)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with a predicted language and its posterior; columns of those names are replaced."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (pred_col, score_col)])
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         names, matrix = held.value
@@ -117,26 +137,35 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: s
             sums = np.tile(matrix[f], (n, 1))
             grams, owners, has = features(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), letters)
             for g, own in zip(grams, owners, strict=True):
-                if len(g) and names:
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    sums[own[first]] += np.add.reduceat(matrix[g], first, axis=0)
+                if names:
+                    add_rows(sums, matrix, g, own)
             if names:
                 best = sums.argmax(1)
                 share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
             pred = [names[best[i]] if names and has[i] else "und" for i in range(n)]
             score = np.where(has, share, 0.0) if names else np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*batch.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*batch.schema, pa.field(pred_col, pa.string()), pa.field(score_col, pa.float64())]))
 
     return docs.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, *, learn: Column | None = None, least: float = 0.5, wanted: list[str] | None = None) -> DataFrame:
-    """docs (with text and lang) without those of no identified language: ``und``, a posterior under ``least``, or none of ``wanted``."""
-    model = train(docs if learn is None else docs.where(learn))
-    found = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    if wanted is not None:
-        found = found.where(F.col("lang_pred").isin(wanted))
-    return found.drop("lang_pred", "score")
+def keep_wanted(docs: DataFrame, *, id_col: str = "doc_id", wanted: tuple[str, ...] = WANTED, least: float = 0.5) -> DataFrame:
+    """docs (with text and lang) whose predicted language is one of ``wanted`` with a posterior of ``least`` or more.
+
+    A row's own label has no part in its prediction: labelled rows fall into two folds by their id, and each fold is judged by a
+    model that learned from the other. Only if the two halves don't teach the same languages (small tables), both are judged by
+    what all rows teach. Null ids are of the first fold. Rejected are other languages, texts without a letter and nulls.
+    """
+    fold = F.coalesce(bucket_of(id_col, 2), F.lit(0)).cast("int")
+    halves = count_grams(docs, fold=fold)
+    teach = [halves.get(1, {}), halves.get(0, {})]  # fold 0 is judged by fold 1
+    if set(teach[0]) != set(teach[1]):
+        names = sorted(set(teach[0]) | set(teach[1]))
+        teach = [{n: sum(t[n] for t in teach if n in t) for n in names}] * 2
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    parts = [predict(docs.where(fold == k), model_of(teach[k]), pred_col=pred, score_col=score) for k in (0, 1)]
+    found = parts[0].unionByName(parts[1])
+    return found.where(F.col(pred).isin(*wanted) & (F.col(score) >= least)).drop(pred, score)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

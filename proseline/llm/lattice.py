@@ -1,20 +1,26 @@
 """Subword lattice likelihood: the probability of a text, summed over all segmentations.
 
-The pieces come from an existing byte-level vocabulary (those of at most ``MAX_PIECE`` bytes; all single bytes are among
-them, so every string has a segmentation). Their scores start from the vocabulary's ranks and are then fitted to the training
-texts by expected counts over the lattices of all distinct training words (``ROUNDS`` passes of forward-backward). A
-word is also a piece of its own with what is left of its count after an absolute discount; the discounted mass goes to the
-subwords: P(w) = max(c - d, 0) / N + (d V / N) P_sub(w). P_sub is the forward recursion in log space over the lattice of the
-word with a leading space and an end-of-word symbol. Lattices don't cross white space, so a document's marginal probability
-is the product over its words and its end.
-
-Scale. Word counts are added up in each task before the shuffle. Lattices are computed once for each distinct word. Of
-the word table the ``HOT`` most frequent words (a bounded number of bounded length) are broadcast and settle most of a
-document's words where it is read; the rest is joined by word, a row for each document and distinct word, which keeps frequent
-words out of the join. A hotter word that is too long for the broadcast is left to AQE's skew join.
+The pieces are those of an existing byte-level vocabulary, of any length, as far as they can occur in lowered words (others would only
+take probability away); all single bytes are among them, so every string has a segmentation. Their scores are the
+vocabulary's own and are not trained. What public vocabulary files store are merge ranks (a .model file's scores are the ranks negated), not
+probabilities; a rank r is taken for a probability by Zipf's law, 1 / (r + ``OFFSET``), normalised over the pieces.
+
+A word's lattice has an edge for every piece at every place, and one edge for the whole word, whose score is learned: what is left
+of the word's count after an absolute discount. The discounted mass is the weight of the subword paths:
+P(w) = max(c - d, 0) / N + (d V / N) P_sub(w), where P_sub is the forward recursion in log space over the word with a leading space,
+ended by an end-of-word symbol. The end of a document is a symbol of its own with its count over N, outside the discount (V is the number
+of distinct words), so the probabilities of all words and the end add up to 1. Lattices don't cross white space, so a document's
+marginal probability is the product over its words and its end.
+
+Scale. Word counts are added up in each task before the shuffle; they are all that is learned, and grow with the corpus. Lattices are
+computed once for each distinct word. Of the word table the ``HOT`` most frequent words (a bounded number of bounded length) are
+broadcast and settle most of a document's words where it is read; the rest is joined by word, a row for each document and distinct
+word, which keeps frequent words out of the join. A hotter word that is too long for the broadcast is left to AQE's skew join.
+A document's number is drawn once and written with its rows, so a repeated task can't mix documents up.
 
 Defined results: null, empty and blank texts have one token, the end. Words of any length are scored whole. Without training
-texts N is 0, words have only their subwords, and the base is uniform. Rows are scored one by one, repeated ids too.
+texts N is 0, words have only their subwords, and the base is uniform. Rows are scored one by one, repeated and null ids too. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,32 +32,55 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, bucket_of, mix64, shards, table
+from .common import MIX3, Scratch, bucket_of, mix64, shards, table
 
-MAX_PIECE, ROUNDS, HOT, HOT_BYTES, FLUSH = 8, 2, 200_000, 128, 400_000
+OFFSET, WORD_END = 10.0, 0.3
+HOT, HOT_BYTES, FLUSH = 200_000, 128, 400_000
+#: Words are rated in lots of about so many bytes, so that many of one length stand side by side.
+LOT = 2_000_000
 #: The end of a document; no word can hold a line break.
 END = b"\n"
 _BITS = 18
 
 
 class Pieces:
-    """Pieces by length, as sorted integers of their bytes, with log scores (natural)."""
+    """Pieces by length with log scores (natural). A piece of up to 8 bytes is the integer of its bytes; a longer one goes by a 64-bit
+    hash that grows byte by byte from the integer of its first 8 (two strings share it with a probability of about 2^-64)."""
 
     def __init__(self, pieces: list[bytes]):
-        self.keys, self.at = [], []
+        self.keys, self.at, self.order = [], [], []
         start = 0
-        for size in range(1, MAX_PIECE + 1):
-            keys = np.array(sorted(int.from_bytes(p, "big") for p in pieces if len(p) == size), np.uint64)
-            self.keys.append(keys)
+        for size in range(1, max(map(len, pieces), default=0) + 1):
+            own = [p for p in pieces if len(p) == size]
+            keys = self.key(own, size)
+            order = np.argsort(keys)
+            self.keys.append(keys[order])
             self.at.append(start)
-            start += len(keys)
+            self.order += [own[i] for i in order]
+            start += len(own)
         self.n = start
-        self.some = []
-        for keys in self.keys:
-            bits = np.zeros(1 << _BITS, bool)
-            bits[(mix64(keys) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.some.append(bits)
+        self.some = [self._bits(keys) for keys in self.keys]
+        self.heads = np.unique(self.key([p[:8] for p in pieces if len(p) > 8], 8))
+        self.some_heads = self._bits(self.heads)
+
+    @staticmethod
+    def key(pieces: list[bytes], size: int) -> np.ndarray:
+        body = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, size).astype(np.uint64)
+        out = np.zeros(len(body), np.uint64)
+        for k in range(size):
+            out = (out << np.uint64(8)) | body[:, k] if k < 8 else mix64(out * MIX3 + body[:, k])
+        return out
+
+    @staticmethod
+    def _spot(keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        bits = np.zeros(1 << _BITS, bool)
+        bits[self._spot(keys)] = True
+        return bits
 
     @classmethod
     def load(cls, path: str) -> tuple[Pieces, np.ndarray]:
@@ -61,29 +90,47 @@ class Pieces:
             piece, r = line.split()
             piece = base64.b64decode(piece)
             body = piece[1:] if piece[:1] == b" " else piece
-            plain = body and not body.translate(None, b" \t\n\v\f\r") != body and body.lower() == body
-            if len(piece) == 1 or (len(piece) <= MAX_PIECE and plain):
+            # single bytes, and pieces of lowered text without inner white space
+            if len(piece) == 1 or (body and body.translate(None, b" \t\n\v\f\r") == body and body.lower() == body):
                 rank[piece] = int(r)
         out = cls(list(rank))
-        logs = np.zeros(out.n)
-        for k, keys in enumerate(out.keys):
-            logs[out.at[k] : out.at[k] + len(keys)] = [-np.log(10.0 + rank[int(x).to_bytes(k + 1, "big")]) for x in keys.tolist()]
+        logs = np.array([-np.log(OFFSET + rank[p]) for p in out.order])
         return out, logs - np.log(np.exp(logs).sum())
 
-    def edges(self, words: np.ndarray) -> list[np.ndarray]:
-        """words: n x length bytes. For each piece length the piece (or -1) at every place."""
-        key = np.zeros(words.shape, np.uint64)
-        out = []
-        for k in range(min(MAX_PIECE, words.shape[1])):
-            m = words.shape[1] - k
+    @staticmethod
+    def _find(want: np.ndarray, keys: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted keys are there, and where."""
+        hit = np.flatnonzero(some[Pieces._spot(want)])
+        at = np.minimum(np.searchsorted(keys, want[hit]), len(keys) - 1)
+        same = keys[at] == want[hit]
+        return hit[same], at[same]
+
+    def edges(self, words: np.ndarray) -> list[np.ndarray | None]:
+        """words: n x length bytes. For each piece length the piece (or -1) at every place, or None if there is none at any."""
+        n, length = words.shape
+        key, out = np.zeros(words.shape, np.uint64), []
+        for k in range(min(8, len(self.keys), length)):
+            m = length - k
             key = (key[:, :m] << np.uint64(8)) | words[:, k:].astype(np.uint64)
-            found = np.full(key.shape, -1, np.int64)
+            found = np.full(key.size, -1, np.int64)
             if len(self.keys[k]):
-                hit = self.some[k][(mix64(key) >> np.uint64(64 - _BITS)).astype(np.int64)]
-                want = key[hit]
-                at = np.minimum(np.searchsorted(self.keys[k], want), len(self.keys[k]) - 1)
-                found[hit] = np.where(self.keys[k][at] == want, at + self.at[k], -1)
-            out.append(found)
+                hit, at = self._find(key.reshape(-1), self.keys[k], self.some[k])
+                found[hit] = at + self.at[k]
+            out.append(found.reshape(key.shape))
+        if length > 8 and len(self.heads):
+            # beyond 8 bytes only places whose first 8 open a longer piece are followed
+            live, _ = self._find(key.reshape(-1), self.heads, self.some_heads)
+            row, place, key = live // key.shape[1], live % key.shape[1], key.reshape(-1)[live]
+            for k in range(8, min(len(self.keys), length)):
+                on = place + k < length
+                row, place = row[on], place[on]
+                key = mix64(key[on] * MIX3 + words[row, place + k].astype(np.uint64))
+                hit, at = self._find(key, self.keys[k], self.some[k]) if len(self.keys[k]) and len(key) else (row[:0], row[:0])
+                found = None
+                if len(hit):
+                    found = np.full((n, length - k), -1, np.int64)
+                    found[row[hit], place[hit]] = at + self.at[k]
+                out.append(found)
         return out
 
 
@@ -97,28 +144,16 @@ def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
         return np.log(np.exp(x - safe).sum(0)) + safe
 
 
-def forward(pieces: Pieces, scores: np.ndarray, words: np.ndarray, expected: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
-    """Log marginal of each row of words (without the end); adds expected counts of the pieces to ``expected``."""
+def forward(pieces: Pieces, scores: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Log marginal of each row of words (without the end), over all its segmentations."""
     n, length = words.shape
-    ids = pieces.edges(words)
     log = np.append(scores, -np.inf)
-    edge = [log[i] for i in ids]
+    edge = [None if i is None else log[i].T.copy() for i in pieces.edges(words)]
     alpha = np.full((length + 1, n), -np.inf)
     alpha[0] = 0
     for j in range(1, length + 1):
-        alpha[j] = _log_sum([alpha[j - k - 1] + edge[k][:, j - k - 1] for k in range(min(j, len(edge)))])
-    total = alpha[length]
-    if expected is not None:
-        beta = np.full((length + 1, n), -np.inf)
-        beta[length] = 0
-        for i in range(length - 1, -1, -1):
-            beta[i] = _log_sum([beta[i + k + 1] + edge[k][:, i] for k in range(min(length - i, len(edge)))])
-        for k, e in enumerate(edge):
-            share = np.exp(alpha[: length - k].T + e + beta[k + 1 :].T - total[:, None])
-            on = ids[k] >= 0
-            expected += np.bincount(ids[k][on], share[on] * weight, pieces.n + 1)
-        expected[pieces.n] += weight * n
-    return total
+        alpha[j] = _log_sum([alpha[j - k - 1] + edge[k][j - k - 1] for k in range(min(j, len(edge))) if edge[k] is not None])
+    return alpha[length]
 
 
 def grouped(words: list[bytes], most: int = 400_000):
@@ -167,10 +202,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """What scores a word: totals, discount, pieces and their scores."""
+    """What scores a word: totals (tokens n, distinct tokens v, both with the end), discount, pieces and their scores."""
 
     def __init__(self, pieces, scores, n, v, once, twice):
         self.pieces, self.scores, self.n, self.v = pieces, scores, n, v
+        self.words = max(0, v - 1)
         self.discount = float(np.clip(once / max(1, once + 2 * twice), 0.05, 0.95)) if n else 0.0
 
     def word_logs(self, words: list[bytes], c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,43 +214,37 @@ class Model:
         base = np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
         sub = np.full(len(words), -np.inf)
         for ids, body in grouped(words):
-            sub[ids] = forward(self.pieces, self.scores[:-1], body) + self.scores[-1]
+            sub[ids] = forward(self.pieces, self.scores, body) + np.log(WORD_END)
         if not self.n:
             return base, sub / np.log(10)
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(c - self.discount, 0) / self.n)
-            out = np.logaddexp(whole, np.log(self.discount * self.v / self.n) + sub)
-        end = np.array([w == END for w in words], bool)
-        out[end] = np.log(np.maximum(c[end], 0.5) / self.n)
+            out = np.logaddexp(whole, np.log(self.discount * self.words / self.n) + sub)
+            end = np.array([w == END for w in words], bool)
+            out[end] = np.log(c[end] / self.n)
         return base, out / np.log(10)
 
 
 def train(counts: DataFrame, vocabulary: str) -> Model:
     """counts: a saved table as from count_words. vocabulary: path of a file of base64 pieces and ranks."""
     is_word = F.col("word") != F.lit(END)
-    stats = counts.where("c > 0").agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    stats = counts.where("c > 0").agg(F.sum("c"), F.count("*"), F.count_if(is_word & (F.col("c") == 1)), F.count_if(is_word & (F.col("c") == 2))).first()
     n, v, once, twice = (x or 0 for x in stats)
     pieces, scores = Pieces.load(vocabulary)
-    scores = np.append(scores + np.log(0.7), np.log(0.3))  # the end of a word is one more symbol
-    for _ in range(ROUNDS if n else 0):
-        held = counts.sparkSession.sparkContext.broadcast((pieces, scores))
-
-        def run(batches, held=held):
-            pieces, scores = held.value
-            expected = np.zeros(pieces.n + 1)
-            for batch in batches:
-                for _, body in grouped(batch.column(0).to_pylist()):
-                    forward(pieces, scores[:-1], body, expected)
-            at = np.flatnonzero(expected > 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(expected[at])], ["piece", "n"])
-
-        found = counts.where(is_word & (F.col("c") > 0)).select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-        got = np.zeros(pieces.n + 1)
-        got[found.column("piece").to_numpy()] = found.column("n").to_numpy()
-        got[: len(pieces.keys[0])] += 0.01  # every byte stays possible
-        with np.errstate(divide="ignore"):
-            scores = np.log(got / got.sum())
-    return Model(pieces, scores, n, v, once, twice)
+    return Model(pieces, scores + np.log(1 - WORD_END), n, v, once, twice)
+
+
+def lots(batches):
+    """Record batches (of words first) put together to about LOT bytes of words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(0).nbytes
+        if size >= LOT:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(len(b) for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -227,7 +257,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str
     held = spark.sparkContext.broadcast(model)
 
     def rate(batches):
-        for batch in batches:
+        for batch in lots(batches):
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             base, score = held.value.word_logs(words, c)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base), pa.array(score), pa.array((c > 0).astype(np.int64)), batch.column(2)], ["word", "base", "score", "known", "a"])
@@ -243,9 +273,9 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str
 
     def run(batches):
         hot = held_hot.value
-        names = ["rid", "word", "n", "n_tokens", "known", "base", "score"]
+        names = ["rid", "id", "learn", "word", "n", "n_tokens", "known", "base", "score"]
         for batch in shards(batches, "text", 4_000_000):
-            rids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary() if batch.column(1).type == pa.string() else pa.large_binary()).to_pylist()
+            rids, texts = batch.column(0).to_pylist(), batch.column(3).cast(pa.binary() if batch.column(3).type == pa.string() else pa.large_binary()).to_pylist()
             heads, t_rid, t_word, t_n = [], [], [], []
             for rid, text in zip(rids, texts, strict=True):
                 words = split(text)
@@ -264,17 +294,21 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str
             rid, tokens, known, base, score = zip(*heads, strict=True) if heads else ([],) * 5
             m, k = len(heads), len(t_rid)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*rid, *t_rid], pa.int64()), pa.array([*[None] * m, *t_word], pa.binary()), pa.array([*[0] * m, *t_n], pa.int64()), pa.array([*tokens, *[0] * k], pa.int64()), pa.array([*known, *[0] * k], pa.int64()), pa.array([*base, *[0.0] * k], pa.float64()), pa.array([*score, *[0.0] * k], pa.float64())],
+                [pa.array([*rid, *t_rid], pa.int64()), pa.concat_arrays([batch.column(1), pa.nulls(k, batch.column(1).type)]), pa.concat_arrays([batch.column(2), pa.nulls(k, pa.bool_())]), pa.array([*[None] * m, *t_word], pa.binary()), pa.array([*[0] * m, *t_n], pa.int64()), pa.array([*tokens, *[0] * k], pa.int64()), pa.array([*known, *[0] * k], pa.int64()), pa.array([*base, *[0.0] * k], pa.float64()), pa.array([*score, *[0.0] * k], pa.float64())],
                 names,
             )
 
-    numbered = docs.withColumn("rid", F.monotonically_increasing_id())
-    parts = scratch.save(numbered.select("rid", "text").mapInArrow(run, "rid long, word binary, n long, n_tokens long, known long, base double, score double"))
+    # ids are drawn in this one evaluation and saved with what belongs to them
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("learn", T.BooleanType()), T.StructField("word", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n", "n_tokens", "known")), *(T.StructField(c, T.DoubleType()) for c in ("base", "score"))])
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "id", "learn", "text")
+    parts = scratch.save(numbered.mapInArrow(run, schema))
+    sums = ["n_tokens", "known", "base", "score"]
     tails = parts.where("word IS NOT NULL").select("rid", "word", "n").join(rated.select("word", "base", "score", F.col("known").alias("k")), "word")
-    tails = tails.select("rid", F.lit(0).cast("long").alias("n_tokens"), (F.col("n") * F.col("k")).alias("known"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.col("score")).alias("score"))
-    sums = parts.where("word IS NULL").select("rid", "n_tokens", "known", "base", "score").unionByName(tails).groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score")])
-    ids = numbered.select("rid", "id", "learn")
-    return ids.join(sums, "rid").select("id", "learn", "n_tokens", F.col("known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    tails = tails.groupBy("rid").agg(F.sum(F.col("n") * F.col("k")).alias("known_"), F.sum(F.col("n") * F.col("base")).alias("base_"), F.sum(F.col("n") * F.col("score")).alias("score_"))
+    heads = parts.where("word IS NULL").select("rid", "id", "learn", *sums)
+    out = heads.join(tails, "rid", "left")
+    both = lambda c: F.col(c) + F.coalesce(F.col(f"{c}_"), F.lit(0))
+    return out.select("id", "learn", "n_tokens", both("known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), both("base").alias("base_score"), both("score").alias("score"))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

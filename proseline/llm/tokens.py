@@ -9,13 +9,14 @@ The operator is narrow: one pass, no shuffle; a task holds one shard. The tokeni
 broadcast (the vocabulary bounds its size).
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Strings of added tokens inside a text count as one token, as
-the library does by default. Texts of any length are counted whole. Rows are kept as they are, repeated ones too; result
-names that clash with columns raise ValueError.
+the library does by default. Texts of any length are counted whole. Rows are kept as they are, repeated ones too, and
+so are extra columns, but for those with a result's name, which the result replaces.
 """
 
 from __future__ import annotations
 
 import json
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 from .common import shards, table, utf8
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT = 300_000
+#: The table that carries counts from shard to shard: at most twice so many pre-tokens, none of more than KEPT_CHARS characters.
+KEPT, KEPT_CHARS = 300_000, 24
 _NONE = np.int64(1) << 40
 
 
@@ -108,9 +110,7 @@ class RankMerger:
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", limit: int = 1024) -> DataFrame:
     """docs without the text, with n_bytes, n_tokens and over_limit. tokenizer: path of a tokenizers .json file."""
-    clash = {"n_bytes", "n_tokens", "over_limit"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")])
     held = docs.sparkSession.sparkContext.broadcast(RankMerger(tokenizer))
     rest = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*rest, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -139,8 +139,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", lim
             new = list(set().union(*tokens).difference(kept)) if tokens else []
             fresh = dict(zip(new, merger.count([t.encode() for t in new]).tolist(), strict=True))
             if len(kept) + len(fresh) < 2 * KEPT:
+                long = {t: fresh.pop(t) for t in new if len(t) > KEPT_CHARS}
                 kept |= fresh
-                fresh = kept
+                fresh = ChainMap(kept, long) if long else kept
             else:
                 fresh |= {t: kept[t] for t in set().union(*tokens).intersection(kept)}
             counts = [sum(map(fresh.__getitem__, t)) for t in tokens]

@@ -17,7 +17,8 @@ broadcast (a table of fixed size); a text then costs a few gathers for each word
 
 Defined results: null, empty and wordless texts score like a text of one unknown word. With no usable labels, or labels of one class only,
 every text scores 0. A document with several labels counts as toxic if one says so; null labels are passed over.
-Extra columns stay; result names that clash raise ValueError.
+Extra columns stay, but for one named score, which the result replaces; ``remove_toxic`` gives back all columns of its input
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bucket_of, mix64, shards, table, word_hashes, word_parts
+from .common import Scratch, bucket_of, fresh, mix64, shards, table, word_hashes, word_parts
 
 ROWS_LOG2, PREFIXES = 16, (4, 6)
 PARTS = 2 + len(PREFIXES)
@@ -270,10 +271,9 @@ def calibrate(docs: DataFrame, marks: DataFrame, model: Filters) -> np.ndarray:
     return thresholds(groups, toxic.astype(bool), bins, n)
 
 
-def score(docs: DataFrame, model: Filters | None, *, text_col: str = "text") -> DataFrame:
-    """docs with a column score."""
-    if "score" in docs.columns:
-        raise ValueError("a column named score exists already")
+def score(docs: DataFrame, model: Filters | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a column of scores; one of that name is replaced."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != score_col])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -281,15 +281,15 @@ def score(docs: DataFrame, model: Filters | None, *, text_col: str = "text") ->
         for batch in shards(batches, text_col, 1_000_000):
             n = len(batch)
             out = model.scores(*featurise(batch.column(batch.schema.get_field_index(text_col)))) if model else np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema=pa.schema([*batch.schema, pa.field("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema=pa.schema([*batch.schema, pa.field(score_col, pa.float64())]))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier, trained on their labels, scores at 0.5 or more."""
-    model = train(docs, labels)
-    return score(docs, model).where("score < 0.5").drop("score")
+    model, name = train(docs, labels), fresh(docs, "toxic_score")
+    return score(docs, model, score_col=name).where(F.col(name) < 0.5).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

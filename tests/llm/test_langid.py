@@ -49,6 +49,35 @@ def test_edges(spark):
     nothing = langid.train(df.where("lang IS NULL"))
     assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
     assert langid.predict(df.limit(0), nothing).count() == 0
-    kept = langid.keep_identified(docs(spark, ["plain words here", None, "...", "x " * 50_000, "plain words here"]))
+    kept = langid.keep_wanted(docs(spark, ["plain words here", None, "...", "x " * 50_000, "plain words here"]))
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
-    assert langid.keep_identified(df, wanted=["xx"]).count() == 0
+    assert langid.keep_wanted(df, wanted=("xx",)).count() == 0
+    assert langid.keep_wanted(df.limit(0)).count() == 0
+
+
+def test_wanted_languages_stay(spark):
+    """English documents stay and others go, whatever their labels say; columns with the results' names are untouched."""
+    d = real(spark, "documents")
+    wrong = d.selectExpr("doc_id", "text", "IF(doc_id % 20 = 7, IF(lang = 'en', 'fr', 'en'), lang) AS lang", "source", "n_chars", "'a' AS lang_pred", "'b' AS Score", "doc_id AS contamination")
+    kept = langid.keep_wanted(wrong)
+    assert kept.columns == wrong.columns
+    lang = {r["doc_id"]: (r["lang"], len(r["text"] or "")) for r in d.collect()}
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    long = {i for i, (_, n) in lang.items() if n > 200}
+    english = {i for i in long if lang[i][0] == "en"}
+    assert len(english - set(rows)) <= 0.02 * len(english) and len(set(rows) & (long - english)) <= 0.02 * len(long)
+    assert all(r["lang_pred"] == "a" and r["Score"] == "b" and r["contamination"] == i for i, r in rows.items())
+    replaced = langid.predict(wrong, langid.train(d))
+    assert replaced.columns == ["doc_id", "text", "lang", "source", "n_chars", "contamination", "lang_pred", "score"]
+
+
+def test_many_languages_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    matrix, g, own = rng.normal(size=(64, 7)), rng.integers(0, 64, 1000), np.sort(rng.integers(0, 5, 1000))
+    want, got = np.zeros((5, 7)), np.zeros((5, 7))
+    np.add.at(want, own, matrix[g])
+    monkeypatch.setattr(langid, "CELLS", 50)
+    langid.add_rows(got, matrix, g, own)
+    assert np.allclose(got, want)

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from proseline.llm import tokens
 from proseline.llm.tokens import RankMerger, count_tokens, op9_token_counts
 from tests.llm.helpers import docs, real
 
@@ -46,7 +47,19 @@ def test_merger(texts):
 
 def test_edges(spark):
     assert count_tokens(docs(spark, ["a"]).limit(0), PATH).count() == 0
-    with pytest.raises(ValueError):
-        count_tokens(docs(spark, ["a"]).withColumnRenamed("lang", "n_tokens"), PATH)
+    clash = count_tokens(docs(spark, ["a b"]).withColumnRenamed("lang", "n_tokens"), PATH)
+    assert clash.columns == ["doc_id", "source", "n_chars", "n_bytes", "n_tokens", "over_limit"] and clash.first()["n_tokens"] == 2
+
+
+def test_long_pieces_are_not_kept(spark, monkeypatch):
+    """Counts are the same whether pre-tokens are carried over or counted anew."""
+    texts = ["word " * 50 + "x" * 5000, "y" * 24 + " " + "y" * 25, "word"] * 3
+    want = [r["n_tokens"] for r in count_tokens(docs(spark, texts), PATH).orderBy("doc_id").collect()]
+    for name, value in (("KEPT_CHARS", 3), ("KEPT", 2)):
+        monkeypatch.setattr(tokens, name, value)
+        assert [r["n_tokens"] for r in count_tokens(docs(spark, texts), PATH).orderBy("doc_id").collect()] == want
+
+
+def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         RankMerger(public_tokenizers.path("word_bpe_49k.json"))
