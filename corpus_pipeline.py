@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 ``documents``. What a stage needs besides (labels, benchmark) it reads from sf_dir.
+
+Defined results. Null, empty and blank texts: the toxicity stage scores them like a text of one unknown word, the language stage
+rejects them (no letter). Null ids: kept by the first four stages if their text is; their near-duplicates are not looked for. Repeated
+rows: all stay or all go, except that the near-duplicate stage keeps the rows with the smallest id of a group; the mix rounds each of
+them. Empty tables give empty results; without labels nothing is toxic. Extra columns are carried through the first four
+stages whatever their names; the mix returns its own columns.
 """
 
 from __future__ import annotations
@@ -19,8 +25,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of an identified language: a letter at least, and a posterior of 0.5 or more."""
-    return langid.keep_identified(docs)
+    """Documents whose predicted language is English (``langid.WANTED``; more languages are a parameter of the operator), with a
+    posterior of 0.5 or more. The classifier learns from the languages of other documents than those it judges."""
+    return langid.keep_wanted(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
