@@ -27,5 +27,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontamination": sql.OP1,
     "op2_warc": sql.OP2,
-    "op6_licences": sql.op6(),
+    "op6_licences": sql.OP6,
 }

@@ -1,5 +1,8 @@
 """DuckDB SQL for those of the operators' queries that SQL can express."""
 
+from pathlib import Path
+
+_TEXTS = Path(__file__).parent / "licence_texts"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = rf"""
@@ -29,22 +32,24 @@ FROM p LEFT JOIN f ON p.digest = f.digest
 """
 
 
-def op6() -> str:
-    from .licences import THRESHOLD, flat, TEMPLATES
-
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, b))}])" for n, b in flat(TEMPLATES))
-    return rf"""
-WITH t(licence, b) AS (VALUES {rows}),
-u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents
-      UNION ALL SELECT doc_id, u FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS u FROM documents) WHERE contains(u, chr(10))
-      UNION ALL SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\n[ \t\r]*\n')),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(u), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM u),
-s AS (SELECT doc_id, row_number() OVER () AS unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w WHERE len(w) >= 2),
-r AS (SELECT doc_id, unit, licence, 2.0 * len(list_intersect(s, b)) / (len(s) + len(b)) AS dice FROM s, t),
-m AS (SELECT *, max(dice) OVER (PARTITION BY unit) AS top FROM r WHERE dice >= {THRESHOLD}),
-h AS (SELECT doc_id, licence, max(dice) AS dice FROM m WHERE dice = top GROUP BY doc_id, licence),
-k AS (SELECT doc_id, count(*) AS n, string_agg(licence, ',' ORDER BY licence) AS ids, max(dice) AS best FROM h GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licences, coalesce(ids, '') AS licences, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best_dice
-FROM documents d LEFT JOIN k USING (doc_id)
+OP6 = rf"""
+WITH raw AS (SELECT regexp_extract(filename, '([^/]+)\.txt$', 1) AS licence, content AS body FROM read_text('{_TEXTS}/*.txt')
+             UNION ALL SELECT string_split(l, chr(9))[1], string_split(l, chr(9))[2] FROM (SELECT unnest(string_split(content, chr(10))) AS l FROM read_text('{_TEXTS}/NOTICES')) WHERE l <> ''),
+tw AS (SELECT row_number() OVER () AS tid, licence, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM raw),
+tg AS (SELECT tid, licence, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM tw),
+t AS (SELECT tid, licence, len(g) AS n, list_distinct(g) AS b, len(list_distinct(g)) AS m, g FROM tg),
+probe AS (SELECT tid, pos, bg FROM (SELECT tid, pos, bg, row_number() OVER (PARTITION BY tid, pos * 16 // n ORDER BY length(bg) DESC, pos) AS k
+          FROM (SELECT tid, n, unnest(range(len(g))) AS pos, unnest(g) AS bg FROM t)) WHERE k = 1),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+dg AS (SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM dw WHERE len(w) >= 2),
+df AS (SELECT rid, bg, min(pos) AS pos FROM (SELECT rid, unnest(range(len(g))) AS pos, unnest(g) AS bg FROM dg) GROUP BY rid, bg),
+c AS (SELECT rid, tid FROM df JOIN (SELECT tid, m, unnest(b) AS bg FROM t) USING (bg) GROUP BY rid, tid, m HAVING count(*) >= m * 0.8 / 1.2 - 1e-9),
+st AS (SELECT DISTINCT rid, tid, greatest(0, df.pos - probe.pos) AS s FROM c JOIN probe USING (tid) JOIN df USING (rid, bg)),
+wi AS (SELECT rid, tid, licence, s, m, b, dg.g[s + 1 : s + n] AS a FROM st JOIN t USING (tid) JOIN dg USING (rid)),
+di AS (SELECT rid, tid, licence, s AS first, s + len(a) AS last, 2 * len(list_intersect(list_distinct(a), b)) - m AS lead_, 2.0 * len(list_intersect(list_distinct(a), b)) / (len(list_distinct(a)) + m) AS dice FROM wi),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid, tid ORDER BY dice DESC, lead_ DESC, first) AS k FROM di) WHERE k = 1 AND dice >= 0.8),
+r AS (SELECT * FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.rid = x.rid AND y.licence <> x.licence AND y.first < x.last AND x.first < y.last AND (y.lead_ > x.lead_ OR (y.lead_ = x.lead_ AND y.dice > x.dice)))),
+k AS (SELECT rid, count(DISTINCT licence) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS ids, max(dice) AS best FROM r GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licences, coalesce(ids, '') AS licences, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best_dice
+FROM dw LEFT JOIN k USING (rid)
 """
