@@ -221,6 +221,24 @@ def word_parts(column: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndarray,
     return hash_extents(low, begin, end), [mix64((head & _MASK[np.minimum(size, k)]) + np.uint64(k)) for k in prefixes], doc
 
 
+# --- Joins with few heads for many rows ------------------------------------------------------------------------------
+
+#: Keys that hold more than 1 in HOT_SHARE of all rows are hot: there are fewer than HOT_SHARE of them, whatever the table's size.
+HOT_SHARE = 5000
+
+
+def join_heads(rows: DataFrame, heads: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with heads, which has one row for each key and in ``rows`` how many of the ``total`` rows have that key.
+
+    Heads of hot keys (fewer than HOT_SHARE) are broadcast, so that their rows stay where they are; other keys' rows are shuffled. Both tables are
+    read twice and should be saved ones."""
+    bound = F.lit(total / HOT_SHARE)
+    hot, cold = (heads.where(c).drop("rows") for c in (F.col("rows") > bound, F.col("rows") <= bound))
+    is_hot = hot.select(key).withColumn("_hot", F.lit(True))
+    rest = rows.join(F.broadcast(is_hot), key, "left").where("_hot IS NULL").drop("_hot")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 # --- Connected components --------------------------------------------------------------------------------------------
 
 

@@ -1,20 +1,28 @@
 """WARC files as a Python data source, for reading and writing.
 
-``spark.read.format("warc").load(dir)``: one input partition for each stretch of about ``split_bytes`` of an archive (cut at
-record borders that the writer's index lists). Filters on ``record_type`` and on the named header columns are taken over by the reader: a
-record's header is parsed first, and the payload of one that the filters reject is skipped without decoding. A payload is
-also skipped if the schema asked for has no ``payload`` column. Every record is a gzip member of its own, in two pieces
-(header and block, as gzip allows members in a row), so a skipped payload is not even inflated.
-
-``df.write.format("warc").save(dir)``: each task writes one archive and one index under names of its own; the commit lists
-the finished ones in ``_MANIFEST``, so what failed or repeated tasks leave behind is never read. The folder must be one that
-driver and executors share (any URI that pyarrow.fs knows).
-
-Payloads keep any bytes; a null payload is an empty one.
+``spark.read.format("warc").load(path)`` reads a file or a folder of ``.warc`` and ``.warc.gz`` files, whoever wrote them. One input
+partition is a stretch of about ``split_bytes`` of a file: plain files are cut at record borders, compressed ones at gzip members (a file
+that is one member is one partition's work). Filters on ``record_type`` and on the named header columns are taken over by the reader: a
+record's header is parsed first, and the block of one that the filters reject is passed over; so is every block if the schema
+asked for has no ``payload`` column. Where the writer left an index, what is passed over is neither read nor inflated;
+elsewhere it has to be inflated to find its end, but is not kept. Files are read in blocks of ``READ`` bytes.
+
+``df.write.format("warc").save(dir)`` writes WARC 1.1, a gzip member for each record and a warcinfo record first. Each task writes
+one archive and one index under names of its own; the commit lists the finished ones in ``_MANIFEST``, and a folder with that list is read
+by it, so what failed or repeated tasks leave behind is never read. The folder must be one that driver and executors
+share (any URI that pyarrow.fs knows). A response or revisit is written as an HTTP message, of which the payload is the body; the
+payload of any other record is its block. Blocks that announce themselves as HTTP are read that way too (encodings
+of the transfer are left as they are).
+
+Defined results: payloads keep any bytes; a null payload is an empty one. Header names in any case, folded lines, and values that are no UTF-8 (with
+replacement characters) are read. A missing header is null. A truncated last record is left out. Empty files and folders have no rows.
+Spark hands filters to Python sources only if spark.sql.python.filterPushdown.enabled is set (off by default); without it
+they are applied after reading. ``register`` sets it.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
 import zlib
@@ -25,20 +33,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import Scratch, table
+from .common import Scratch, fresh, join_heads, table
 
-SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
+SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, warc_date string, content_type string, payload_digest string, payload_length long, payload binary"
 #: Column -> WARC header; payload_length is an extension header that gives the length of the full payload, of revisits too.
 HEADERS = {
     "record_id": "WARC-Record-ID",
     "record_type": "WARC-Type",
     "target_uri": "WARC-Target-URI",
     "refers_to": "WARC-Refers-To",
+    "warc_date": "WARC-Date",
+    "content_type": "Content-Type",
     "payload_digest": "WARC-Payload-Digest",
     "payload_length": "X-Payload-Length",
 }
+#: Columns whose values stand in angle brackets.
+BRACKETED = ("record_id", "refers_to")
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-LEVEL = 1
+LEVEL, READ = 1, 4 << 20
+_HTTP = "application/http; msgtype=response"
 
 
 def _member(data: bytes) -> bytes:
@@ -57,30 +70,213 @@ def _plain(value: str) -> str:
     return value
 
 
-def encode(row: dict) -> tuple[bytes, bytes]:
-    """Header member and block member of a record; the block ends with the two line breaks that end a record."""
-    payload = row.get("payload") or b""
+def encode(row: dict, now: str) -> bytes:
+    """A record, without compression; the block ends with the two line breaks that end a record."""
+    block = row.get("payload") or b""
+    row = {"record_id": f"urn:uuid:{uuid.uuid4()}", "record_type": "resource", "warc_date": now} | {k: v for k, v in row.items() if v is not None}
+    kind = row["record_type"]
+    if kind in ("response", "revisit"):
+        row["content_type"] = _HTTP
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + block
     lines = ["WARC/1.1"]
-    lines += [f"{h}: {_clean(row[c])}" for c, h in HEADERS.items() if row.get(c) is not None]
-    if row.get("record_type") == "revisit":
+    for c, h in HEADERS.items():
+        if c in row:
+            lines.append(f"{h}: <{_clean(row[c])}>" if c in BRACKETED else f"{h}: {_clean(row[c])}")
+    if kind == "revisit":
         lines.append(f"WARC-Profile: {_REVISIT_PROFILE}")
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return _member(("\r\n".join(lines) + "\r\n\r\n").encode()), _member(payload + b"\r\n\r\n")
+    lines.append(f"Content-Length: {len(block)}")
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 def parse_header(raw: bytes) -> dict:
-    out = {}
-    for line in raw.decode().split("\r\n")[1:]:
-        name, _, value = line.partition(": ")
-        if name:
-            out[name.lower()] = value
+    """Lower-case names and values of a header; of a repeated name the first value, and the version line under ''."""
+    out, last = {}, None
+    for k, line in enumerate(raw.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")):
+        if k == 0:
+            out[""] = line
+        elif line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        else:
+            name, colon, value = line.partition(":")
+            last = name.strip().lower() if colon else None
+            if last in out:
+                last = None
+            elif last:
+                out[last] = value.strip()
     return out
 
 
+def columns_of(header: dict) -> dict:
+    values = {c: header.get(h.lower()) for c, h in HEADERS.items()}
+    values = {c: v if v is None else _plain(v.removeprefix("<").removesuffix(">") if c in BRACKETED else v) for c, v in values.items()}
+    if values["payload_length"] is not None:
+        values["payload_length"] = int(values["payload_length"]) if values["payload_length"].isdigit() else None
+    return values
+
+
+class Window:
+    """A file, read in blocks."""
+
+    def __init__(self, f):
+        self.f, self.size, self.start, self.data = f, f.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """n bytes from a place on; fewer at the end."""
+        if not (self.start <= at and at + n <= self.start + len(self.data)):
+            self.f.seek(min(at, self.size))
+            self.start, self.data = at, self.f.read(max(n, READ))
+        return self.data[at - self.start : at - self.start + n]
+
+
+class Flow:
+    """The bytes of one gzip member, or of a plain file, from a place on; nothing is inflated before it is asked for."""
+
+    def __init__(self, window: Window, at: int, packed: bool):
+        self.window, self.at, self.out = window, at, bytearray()
+        self.z = zlib.decompressobj(31) if packed else None
+
+    def more(self) -> bool:
+        if self.z is None:
+            new = self.window.get(self.at, 1 << 16)
+            self.at += len(new)
+        else:
+            if self.z.eof:
+                return False
+            fed = self.z.unconsumed_tail
+            if not fed:
+                fed = self.window.get(self.at, 1 << 16)
+                self.at += len(fed)
+            if not fed:
+                return False
+            new = self.z.decompress(fed, 1 << 18)
+            if self.z.eof:
+                self.at -= len(self.z.unused_data)
+            elif not new and not self.z.unconsumed_tail:
+                return self.more()
+        self.out += new
+        return bool(new)
+
+    def header(self) -> bytes | None:
+        """Up to the blank line that ends a header; None where no further header is. Line breaks before it are passed over."""
+        while True:
+            lead = len(self.out) - len(self.out.lstrip(b"\r\n"))
+            del self.out[:lead]
+            ends = [(k, n) for k, n in ((self.out.find(b"\r\n\r\n"), 4), (self.out.find(b"\n\n"), 2)) if k >= 0]
+            if ends:
+                k, n = min(ends)
+                found = bytes(self.out[:k])
+                del self.out[: k + n]
+                return found
+            if not self.more():
+                return None
+
+    def place(self) -> int:
+        """Where in a plain file the next byte is."""
+        return self.at - len(self.out)
+
+    def block(self, n: int, keep: bool) -> bytes | None:
+        """The next n bytes (None if there are fewer), or b'' after passing over them."""
+        if not keep and self.z is None and n > len(self.out):
+            self.at += n - len(self.out)
+            self.out.clear()
+            return b"" if self.at <= self.window.size else None
+        while keep and len(self.out) < n:
+            if not self.more():
+                return None
+        while not keep and n > len(self.out):
+            n -= len(self.out)
+            self.out.clear()
+            if not self.more():
+                return None
+        found = bytes(self.out[:n]) if keep else b""
+        del self.out[:n]
+        return found
+
+
+def is_record(raw: bytes | None) -> bool:
+    return raw is not None and raw[:5] == b"WARC/" and parse_header(raw).get("content-length", "").isdigit()
+
+
+def first_border(window: Window, begin: int, end: int, packed: bool) -> int | None:
+    """The first place in [begin, end) at which a record (a member that opens with one) begins; a payload may hold what looks like one,
+    so after a plain record the next one or the end must follow, and a member must open with a whole record header."""
+    mark = b"\x1f\x8b\x08" if packed else b"WARC/"
+    at = begin
+    while at < end:
+        data = window.get(at, READ)
+        k = data.find(mark)
+        if k < 0:
+            if len(data) <= len(mark):
+                return None
+            at += len(data) - len(mark) + 1
+            continue
+        at += k
+        if at >= end:
+            return None
+        try:
+            flow = Flow(window, at, packed)
+            raw = flow.header()
+            if is_record(raw):
+                if packed:
+                    return at
+                before = window.get(max(0, at - 2), min(2, at))
+                if at == 0 or before.endswith(b"\n"):
+                    flow.block(int(parse_header(raw)["content-length"]), False)
+                    rest = window.get(flow.place(), 64).lstrip(b"\r\n")
+                    if not rest or rest[:5] == b"WARC/":
+                        return at
+        except zlib.error:
+            pass
+        at += 1
+    return None
+
+
+def records(window: Window, begin: int, end: int, packed: bool, wants):
+    """(header, block or None) of the records that begin in [begin, end). wants(header): None to pass over the record, else
+    whether its block is wanted."""
+    at = first_border(window, begin, end, packed)
+    while at is not None and at < end:
+        flow = Flow(window, at, packed)
+        while packed or flow.place() < end:
+            raw = flow.header()
+            if not is_record(raw):
+                break
+            header = parse_header(raw)
+            want = wants(header)
+            block = flow.block(int(header["content-length"]), bool(want))
+            if block is None:
+                break
+            if want is not None:
+                yield header, block if want else None
+        if not packed:
+            return
+        while flow.more():  # what is left of the member
+            flow.out.clear()
+        at = flow.at if flow.z.eof and flow.at < window.size else None
+
+
+def indexed(window: Window, index, wants):
+    """As records, for members that begin where the index says; what is not wanted is not read."""
+    for k in range(len(index) - 1):
+        flow = Flow(window, index[k], True)
+        header = parse_header(flow.header() or b"")
+        want = wants(header)
+        if want is not None:
+            yield header, flow.block(int(header["content-length"]), True) if want else None
+
+
+def payload_of(header: dict, block: bytes) -> bytes:
+    """The block, or the body of the HTTP message that it is."""
+    if header.get("content-type", "").lower().startswith("application/http"):
+        ends = [k for k in (block.find(b"\r\n\r\n") + 4, block.find(b"\n\n") + 2) if k >= 4]
+        return block[min(ends) :] if ends else b""
+    return block
+
+
 class Stretch(InputPartition):
-    def __init__(self, path: str, entries: list[tuple[int, int, int]]):
+    def __init__(self, path: str, begin: int, end: int, by_index: bool):
         super().__init__(path)
-        self.path, self.entries = path, entries
+        self.path, self.begin, self.end, self.by_index = path, begin, end, by_index
 
 
 class WarcReader(DataSourceReader):
@@ -101,41 +297,48 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = pafs.FileSystem.from_uri(self.root)
-        with fs.open_input_stream(f"{root}/_MANIFEST") as f:
-            names = json.loads(f.read())["archives"]
         out = []
-        for name, size, n in names:  # only counts and sizes reach the driver; tasks read their part of an archive's index
-            parts = max(1, min(n, -(-size // self.split)))
-            out += [Stretch(name, [n * k // parts, n * (k + 1) // parts]) for k in range(parts)]
-        return out or [Stretch("", [0, 0])]
+        if fs.get_file_info(f"{root}/_MANIFEST").is_file:
+            with fs.open_input_stream(f"{root}/_MANIFEST") as f:
+                names = json.loads(f.read())["archives"]
+            for name, size, n in names:  # only counts and sizes reach the driver; tasks read their part of an archive's index
+                parts = max(1, min(n, -(-size // self.split)))
+                out += [Stretch(f"{root}/{name}", n * k // parts, n * (k + 1) // parts, True) for k in range(parts)]
+        else:
+            info = fs.get_file_info(root)
+            files = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+            for x in sorted((x for x in files if x.is_file and x.path.endswith((".warc", ".warc.gz"))), key=lambda x: x.path):
+                out += [Stretch(x.path, at, min(at + self.split, x.size), False) for at in range(0, x.size, self.split)]
+        return out or [Stretch("", 0, 0, False)]
+
+    def wants(self, header: dict) -> bool | None:
+        values = columns_of(header)
+        if any(values[c] is None or (w is not None and values[c] not in w) for c, w in self.wanted):
+            return None
+        return "payload" in self.columns
 
     def read(self, partition):
-        fs, root = pafs.FileSystem.from_uri(self.root)
-        first, end = partition.entries
-        if first == end:
+        fs, _ = pafs.FileSystem.from_uri(self.root)
+        if partition.begin == partition.end:
             return
-        with fs.open_input_file(f"{root}/{partition.path}.idx") as f:
-            f.seek(16 * first)
-            index = memoryview(f.read(16 * (end - first) + 8)).cast("q")
-        schema, types = self.columns, dict(x.split(" ") for x in SCHEMA.split(", "))
-        kinds = pa.schema([(c, {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[types[c]]) for c in schema])
+        types = dict(x.split(" ") for x in SCHEMA.split(", "))
+        kinds = pa.schema([(c, {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[types[c]]) for c in self.columns])
         rows, held = [], 0
-        with fs.open_input_file(f"{root}/{partition.path}") as f:
-            for k in range(end - first):
-                at, block, following = index[2 * k], index[2 * k + 1], index[2 * k + 2]
-                f.seek(at)
-                header = parse_header(zlib.decompress(f.read(block - at), 31))
-                values = {c: header.get(h.lower()) for c, h in HEADERS.items()}
-                values = {c: v if v is None else _plain(v) for c, v in values.items()}
-                if any(values[c] is None or (w is not None and values[c] not in w) for c, w in self.wanted):
-                    continue
-                if "payload" in schema:
-                    payload = zlib.decompress(f.read(following - block), 31)
-                    values["payload"] = payload[: int(header["content-length"])]
+        with fs.open_input_file(partition.path) as f:
+            window = Window(f)
+            if partition.by_index:
+                with fs.open_input_file(f"{partition.path}.idx") as g:
+                    g.seek(8 * partition.begin)
+                    index = memoryview(g.read(8 * (partition.end - partition.begin + 1))).cast("q")
+                found = indexed(window, index, self.wants)
+            else:
+                found = records(window, partition.begin, partition.end, partition.path.endswith(".gz"), self.wants)
+            for header, block in found:
+                values = columns_of(header)
+                if block is not None:
+                    values["payload"] = payload_of(header, block)
                     held += len(values["payload"])
-                if values["payload_length"] is not None:
-                    values["payload_length"] = int(values["payload_length"])
-                rows.append([values[c] for c in schema])
+                rows.append([values[c] for c in self.columns])
                 if len(rows) >= 4000 or held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), kinds, strict=True)], schema=kinds)
                     rows, held = [], 0
@@ -155,16 +358,19 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, batches):
         fs, root = pafs.FileSystem.from_uri(self.root)
         fs.create_dir(root, recursive=True)
-        name, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-        # the index: where each record's header and block begin, and the archive's end; it is written as records are
+        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        name, n = f"{uuid.uuid4().hex}.warc.gz", 0
+        # the index: where each record's member begins, and the archive's end; it is written as records are
         with fs.open_output_stream(f"{root}/{name}", compression=None) as f, fs.open_output_stream(f"{root}/{name}.idx") as index:
+            info = _member(encode({"record_type": "warcinfo", "content_type": "application/warc-fields", "payload": b"software: proseline\r\nformat: WARC File Format 1.1\r\n"}, now))
+            f.write(info)
+            at = len(info)
             for batch in batches:
                 for row in batch.to_pylist():
-                    header, block = encode(row)
-                    index.write(at.to_bytes(8, "little") + (at + len(header)).to_bytes(8, "little"))
-                    f.write(header)
-                    f.write(block)
-                    at, n = at + len(header) + len(block), n + 1
+                    record = _member(encode(row, now))
+                    index.write(at.to_bytes(8, "little"))
+                    f.write(record)
+                    at, n = at + len(record), n + 1
             index.write(at.to_bytes(8, "little"))
         return Written(name, at, n)
 
@@ -201,9 +407,15 @@ class WarcSource(DataSource):
         return WarcWriter(self.options, overwrite)
 
 
+_PUSH = "spark.sql.python.filterPushdown.enabled"
+
+
 def register(spark: SparkSession) -> None:
+    """Makes the source known, and switches on the handing of filters to Python sources, which the session may still set otherwise: it
+    has no other effect, and without it every header predicate would be checked after reading."""
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if spark.conf.get(_PUSH, "false") == "false" and not spark.sparkContext.getConf().contains(_PUSH):
+        spark.conf.set(_PUSH, "true")
 
 
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -214,25 +426,35 @@ def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def write_warc(df: DataFrame, path: str) -> None:
-    """df: the columns of SCHEMA, in any order; missing ones are null."""
+    """df: the columns of SCHEMA, in any order; missing ones are null, others are left out."""
     register(df.sparkSession)
     types = dict(x.split(" ") for x in SCHEMA.split(", "))
     df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]).write.format("warc").mode("append").save(path)
 
 
-def mark_revisits(pages: DataFrame, *, least: int = 100, id_col: str = "page_id", payload_col: str = "payload") -> DataFrame:
-    """pages with payload_bytes, payload_digest, record_type and refers_to.
+def find_revisits(pages: DataFrame, *, least: int = 100, id_col: str = "page_id", payload_col: str = "payload", scratch: Scratch | None = None) -> DataFrame:
+    """(id, refers_to) of the pages that revisit another: of equal payloads of at least ``least`` bytes all but the one with the smallest id.
 
-    Of equal payloads of at least ``least`` bytes the one with the smallest id is the response that the others revisit. Groups are
-    counted map-side on the digest, and only digests that occur more than once are joined back, so a hot payload is never
-    in one task (its side of the join is split by AQE). Ids that repeat count as one page each; rows with a null id are responses.
+    Only ids and digests travel. Digests that hold a large share of the rows are few, whatever the table's size, and are joined by
+    broadcast, so a hot payload is in no task of its own. Ids that repeat count as one page each; rows with a null id are responses.
     """
-    sized = pages.withColumn("payload_bytes", F.octet_length(payload_col).cast("long")).withColumn("payload_digest", F.sha2(payload_col, 256))
-    long = (F.col("payload_bytes") >= least) & F.col(id_col).isNotNull()
-    heads = sized.where(long).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    joined = sized.join(heads, long & (F.col("payload_digest") == F.col("_digest")), "left")
-    refers = F.when(F.col("_first") != F.col(id_col), F.col("_first"))
-    return joined.withColumn("refers_to", refers).withColumn("record_type", F.when(refers.isNotNull(), "revisit").otherwise("response")).drop("_digest", "_first", "_n")
+    scratch = scratch or Scratch(pages.sparkSession)
+    digest = F.sha2(payload_col, 256).alias("digest")
+    rows = scratch.save(pages.where((F.octet_length(payload_col) >= least) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), digest))
+    heads = rows.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
+    return join_heads(rows, scratch.save(heads), "digest", rows.count()).where("id <> refers_to").select("id", "refers_to").distinct()
+
+
+def mark_revisits(pages: DataFrame, *, least: int = 100, id_col: str = "page_id", payload_col: str = "payload", scratch: Scratch | None = None) -> DataFrame:
+    """pages with payload_bytes, payload_digest, record_type and refers_to; columns of these names are replaced."""
+    added = ("payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in added])
+    key, first = fresh(pages, "revisit_id"), "refers_to"
+    revisits = find_revisits(pages, least=least, id_col=id_col, payload_col=payload_col, scratch=scratch).withColumnRenamed("id", key)
+    joined = pages.join(revisits, F.col(id_col) == F.col(key), "left").drop(key)
+    sized = F.octet_length(payload_col).cast("long")
+    again = F.col(first).isNotNull() & (sized >= least)
+    return joined.select(*pages.columns, sized.alias("payload_bytes"), F.sha2(payload_col, 256).alias("payload_digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col(first)).alias("refers_to"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +463,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     Responses are read with their payloads, whose digest and length are computed anew; revisits by their headers only.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    marked = mark_revisits(pages)
-    path = Scratch(spark).path()
+    scratch = Scratch(spark)
+    marked = mark_revisits(pages, scratch=scratch)
+    path = scratch.path()
     records = marked.select(
         F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
         "record_type",
