@@ -245,23 +245,22 @@ def join_heads(rows: DataFrame, heads: DataFrame, key: str, total: int) -> DataF
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node that links reach), for every node that has an edge a, b.
 
-    Alternating large and small stars; each round is a map-side combined minimum and a join on the node, so no node's
-    neighbours meet in one task (a hot node's join is split by AQE). Rounds grow with the logarithm of the longest chain.
+    Alternating large and small stars; each round is a map-side combined minimum and a join on the node. Hot nodes are joined by
+    broadcast (join_heads), so no node's neighbours meet in one task. Rounds grow with the logarithm of the longest chain.
     """
     now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    mark, found = None, (now.count(), None)
+    while found != mark and found[0]:
+        mark = found
+        both = scratch.save(now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", F.least("u", "m").alias("m"), "rows"))
+        large = scratch.save(join_heads(both, least, "u", 2 * found[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        second = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")))
+        small = join_heads(large, second, "u", found[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         new = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct())
-        scratch.drop(now)
+        for old in (now, both, least, large, second):
+            scratch.drop(old)
         now = new
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if found == mark or not found[0]:
-            break
-        mark = found
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return scratch.save(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))

@@ -8,10 +8,12 @@ signature (documents that leave a coordinate empty double their rank). Two docum
 probability of their weighted Jaccard index. The signature is cut into bands; equal bands make candidates.
 
 Scale. Exact copies (equal word sequences) are first reduced to their smallest id, map-side aggregated. Buckets are not expanded
-into pairs: each member is tied to its bucket's smallest id, and what such ties connect is a family. Within a family every
-pair is compared exactly, so no link is lost to a choice of pivots: its texts are dealt into chunks of ``CHUNK`` and every two
-chunks meet in a task of their own, which counts common shingles through posting lists and hands over only links that span
-what it found linked. A hot family is many tasks' work, and its texts travel once for each of its chunks. Other texts are not shuffled.
+into pairs. First each member is compared with its bucket's smallest id, exactly; that settles families of near copies
+in one comparison for each text. Buckets whose members are then still of several components are gone through whole: each text outside
+a block's largest component meets every text of the bucket, so that every pair that shares a band and isn't connected already is
+compared, and no link is lost to a choice of pivots. Components are made of verified links only, so chance ties don't grow
+together. Texts travel in blocks of at most about ``CHUNK`` texts and ``CHUNK_WORDS`` words, once for each pivot or block, and a
+hot bucket is many tasks' work; a block hands over only links that span what it found linked. Other texts are not shuffled.
 
 Defined results: the answer has one row for each input row. A text without words (null, empty, punctuation) links with nothing.
 A text of one to four words is one shingle. Ties go to the smallest id. Rows with the same id count as one document whose texts
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX3, Scratch, components, mix64, release, shards, table, word_hashes
+from .common import MIX3, Scratch, components, join_heads, mix64, release, shards, table, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-CHUNK = 512
+CHUNK, CHUNK_WORDS = 512, 400_000
 FILTER_BITS = 1 << 26
 
 
@@ -105,8 +107,8 @@ def units(h: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mix64(h + nth.astype(np.uint64) * MIX3)
 
 
-def links(texts: pa.Array, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of a text in left and another in right) whose weighted Jaccard index is at least the threshold.
+def links(texts: pa.Array, tasks: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each task (left, right) the pairs of a text in left and another in right whose weighted Jaccard index is at least the threshold.
 
     Units are sets whose plain Jaccard index is the weighted one; their common elements are counted through posting lists."""
     n = len(texts)
@@ -114,29 +116,41 @@ def links(texts: pa.Array, left: np.ndarray, right: np.ndarray, threshold: float
     size = np.bincount(own, minlength=n)
     _, number = np.unique(units(h, own), return_inverse=True)
     start = np.cumsum(size) - size
-    among = np.isin(own, right)
-    order = np.argsort(number[among], kind="stable")
-    posted, key = own[among][order], number[among][order]
-    begin = np.searchsorted(key, np.arange(number.max(initial=-1) + 2))
-    found_a, found_b = [], []
-    for x in left:
-        mine = number[start[x] : start[x] + size[x]]
-        at, count = begin[mine], begin[mine + 1] - begin[mine]
-        place = np.arange(count.sum()) + np.repeat(at - (np.cumsum(count) - count), count)
-        both = np.bincount(posted[place], minlength=n)
-        ok = np.flatnonzero(both >= threshold * (size + size[x] - both) - 1e-9)
-        ok = ok[(ok != x) & (both[ok] > 0)]
-        found_a.append(np.full(len(ok), x))
-        found_b.append(ok)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for left, right in tasks:
+        if not len(left) or not len(right):
+            continue
+        among = np.isin(own, right)
+        order = np.argsort(number[among], kind="stable")
+        posted, key = own[among][order], number[among][order]
+        begin = np.searchsorted(key, np.arange(number.max(initial=-1) + 2))
+        for x in left:
+            mine = number[start[x] : start[x] + size[x]]
+            at, count = begin[mine], begin[mine + 1] - begin[mine]
+            place = np.arange(count.sum()) + np.repeat(at - (np.cumsum(count) - count), count)
+            both = np.bincount(posted[place], minlength=n)
+            ok = np.flatnonzero(both >= threshold * (size + size[x] - both) - 1e-9)
+            ok = ok[(ok != x) & (both[ok] > 0)]
+            found_a.append(np.full(len(ok), x))
+            found_b.append(ok)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def tasks_of(side: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What a block compares: of the two sides, rows that are not in the block's largest group with all rows of the other side (of
+    one side alone with all of it). Any two rows of different groups are not both in the largest."""
+    kinds, n = np.unique(group, return_counts=True)
+    odd = group != kinds[n.argmax()]
+    low, high = side == side.min(), side == side.max()
+    pick = np.flatnonzero
+    return [(pick(low & odd), pick(high))] + ([(pick(high & odd), pick(low))] if side.min() != side.max() else [])
 
 
 def _block(batch: pa.Table, threshold: float) -> pa.Table:
-    """Links a, b that span what is linked between the two chunks of a block (or within the one)."""
+    """Links a, b that span what is linked in a block. Rows: id, side, grp (what they are connected to already), text."""
     ids = batch.column("id").combine_chunks()
-    side = batch.column("side").to_numpy()
-    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    a, b = links(batch.column("text").combine_chunks(), left, right, threshold)
+    groups = batch.column("grp").combine_chunks().dictionary_encode().indices.to_numpy()
+    a, b = links(batch.column("text").combine_chunks(), tasks_of(batch.column("side").to_numpy(), groups), threshold)
     label = np.arange(len(ids))
     while len(a):
         before = label.copy()
@@ -197,23 +211,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(_prepare(docs))
     some = rows.where("n_words > 0 AND doc_id IS NOT NULL")
-    groups = scratch.save(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("bands", ignorenulls=True).alias("bands")))
+    groups = scratch.save(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("bands", ignorenulls=True).alias("bands"), F.first("n_words").alias("n_words")))
     # copies keep their smallest id; ids of rows with several texts link those texts
     same = some.join(groups.select("f1", "f2", "id"), ["f1", "f2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     several = groups.groupBy("id").count().where("count > 1").limit(1).count() or some.groupBy("doc_id").agg(F.countDistinct("f1", "f2").alias("k")).where("k > 1").limit(1).count()
-    members = groups.select("id", F.explode("bands").alias("key"))
-    ties = members.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    ties = members.join(ties, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    families = components(ties, scratch)
-    sized = families.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    placed = families.join(sized, "root").select(F.col("node").alias("id"), "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("side"))
-    texts = _likely(docs.select(F.col("doc_id").alias("id"), "text"), families.select(F.col("node").alias("id"))).join(placed, "id")
+    members = groups.select("id", "n_words", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.sum("n_words").alias("words")).where("rows > 1")
+    tied = scratch.save(join_heads(members, scratch.save(buckets), "key", 24 * groups.count()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = scratch.save(_likely(texts, tied.select("id")))
     if several:
         texts = texts.dropDuplicates(["id", "text"])
+
+    def compare(rows: DataFrame, *keys: str) -> DataFrame:
+        blocks = rows.join(texts, "id").groupBy(*keys)
+        return scratch.save(blocks.applyInArrow(lambda batch: _block(batch, threshold), f"a {kind}, b {kind}"))
+
+    # each member with its bucket's smallest id
+    chunks = lambda n, words: F.greatest(F.ceil(n / CHUNK), F.ceil(words / CHUNK_WORDS)).cast("int").alias("chunks")
+    pairs = scratch.save(tied.where("id <> least").groupBy("id", "least").agg(F.first("n_words").alias("n_words")))
+    pivots = scratch.save(pairs.groupBy("least").agg(chunks(F.count("*"), F.sum("n_words")), F.count("*").alias("rows")))
+    asks = join_heads(pairs, pivots, "least", pairs.count()).select("least", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("part"), "id", F.lit(1).alias("side"), F.lit("b").alias("grp"))
+    answers = pivots.select("least", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("least").alias("id"), F.lit(0).alias("side"), F.lit("a").alias("grp"))
+    first = compare(asks.unionByName(answers), "least", "part")
+    # buckets that are not of one component by now
+    known = components(first, scratch)
+    grouped = scratch.save(tied.select("key", "id", "n_words").join(known, F.col("id") == F.col("node"), "left").select("key", "id", "n_words", F.coalesce("root", "id").cast("string").alias("grp")))
+    sized = grouped.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), chunks(F.count("*"), F.sum("n_words")), F.count("*").alias("rows")).where("low <> high").drop("low", "high")
+    left = join_heads(grouped, scratch.save(sized), "key", grouped.count()).withColumn("side", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))
-    blocks = texts.select("root", "id", "side", "text", F.explode(meets).alias("m")).groupBy("root", "m.i", "m.j")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = scratch.save(blocks.applyInArrow(lambda batch: _block(batch, threshold), f"a {kind}, b {kind}"))
+    left = left.select("key", "id", "side", "grp", F.explode(meets).alias("m")).select("key", "m.i", "m.j", "id", "side", "grp")
+    found = first.unionByName(compare(left, "key", "i", "j"))
     roots = components(found, scratch)
     if several:
         roots = components(found.unionByName(same), scratch)

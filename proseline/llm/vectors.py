@@ -3,18 +3,22 @@
 Unit vectors are cut in halves, each half with a codebook of its own (k-means on a bounded sample); the product of the
 codebooks is a grid of cells. Every vector is stored in the cell of its nearest codewords and, as a query, visits the
 cells nearest to it in the order of the summed distances (multi-sequence traversal: of the sorted codewords i and j only
-pairs with (i+1)(j+1) <= T can be among the first T). How many cells are visited is set by recall: a sample of queries
-is compared with all vectors, and T is the smallest number of cells that finds the target share of their true links.
+pairs with (i+1)(j+1) <= T can be among the first T). How many cells are visited is set by recall, which is always measured, in two
+ways: a sample of queries is compared with all vectors, and T cells must find ``RECALL`` of their true links; and for each
+of the queries a copy is planted at exactly the threshold's cosine in a random direction, the hardest link there is, of which T cells must find
+``PLANTED`` (duplicates may be too rare for a sample to meet any). ``measured_recall`` is the smaller of the two shares that T reaches.
+A pair is met if either of its vectors visits the other's cell, so more is found than is measured.
 Candidates are verified by cosine in double precision.
 
-Scale. Equal vectors are reduced to one with a count. The codebooks grow with the square root of the number of vectors, so cells
-keep their size. A cell's stored and visiting vectors are dealt into blocks of about ``CHUNK`` each, so a hot cell is many
+Scale. Equal vectors are reduced to one with a count. The codebooks grow with the square root of the number of vectors (to at most
+``MAX_CODEWORDS``, reached at 2 billion), so cells keep their size. A cell's stored and visiting vectors are dealt into blocks of about ``CHUNK`` each, so a hot cell is many
 tasks' work; a block is one matrix product that hands over link counts and a spanning set of links, never all pairs.
 Counting the links of a dense group takes all its comparisons (in blocks); nothing of that is emitted.
 
 Defined results: null vectors, zero vectors and those with null or non-finite components have no links and stand alone. Vectors of
-different lengths never link (at most ``MAX_DIMS`` lengths, else ValueError). Repeated rows are vectors of their own. A null id
-gives a null component and is kept. Extra columns are ignored.
+different lengths never link; each of the ``MAX_DIMS`` commonest lengths has an index of its own, and vectors of any
+other length are compared with all of their length, in blocks. Repeated rows are vectors of their own. A null id
+gives a null component and is kept. measured_recall is 1 where no index was needed. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, table
 
-THRESHOLD, RECALL = 0.95, 0.999
-SAMPLE, QUERIES, CHUNK = 20_000, 256, 2048
-MAX_CODEWORDS, MAX_DIMS, LEAST_CELLS = 2048, 16, 4
+THRESHOLD, RECALL, PLANTED = 0.95, 0.999, 0.95
+SAMPLE, QUERIES, CHUNK = 20_000, 256, 512
+MAX_CODEWORDS, MAX_DIMS, LEAST_CELLS = 16_384, 16, 4
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -90,7 +94,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
 
 
-def _cells_needed(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids: list, threshold: float, recall: float) -> int:
+def planted_ranks(index: MultiIndex, x: np.ndarray, threshold: float, seed: int = 7) -> np.ndarray:
+    """For a copy of each row at the threshold's cosine, how many cells lie nearer to it than the row's own."""
+    r = np.random.default_rng(seed).normal(size=x.shape)
+    r -= (r * x).sum(1, keepdims=True) * x
+    size = np.sqrt((r * r).sum(1, keepdims=True))
+    y = np.where(size > 0, threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * r / np.where(size > 0, size, 1), x)
+    own, d = index.visit(x, 1)[:, 0], index.distances(y)
+    return np.array([int((d[0][k][:, None] + d[1][k] < d[0][k][c // index.width] + d[1][k][c % index.width] - 1e-12).sum()) for k, c in enumerate(own)])
+
+
+def _cells_needed(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids: list, threshold: float, recall: float) -> tuple[int, float]:
+    """How many cells to visit, and the recall measured with so many."""
     held = reps.sparkSession.sparkContext.broadcast((index, queries, ids))
 
     def run(batches):
@@ -110,12 +125,13 @@ def _cells_needed(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(n, pa.int64())], ["rank", "n"])
 
     found = reps.select("rep", "embedding").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    total, so_far = sum(r["n"] for r in found), 0
-    for r in found:
-        so_far += r["n"]
-        if so_far >= recall * total:
-            return max(LEAST_CELLS, r["rank"] + 1)
-    return LEAST_CELLS
+    real = np.repeat([r["rank"] for r in found], [r["n"] for r in found]) if found else np.zeros(0, np.int64)
+    hard = planted_ranks(index, queries, threshold)
+    t = LEAST_CELLS
+    for ranks, share in ((real, recall), (hard, min(PLANTED, recall))):
+        if len(ranks):
+            t = max(t, int(np.sort(ranks)[int(np.ceil(share * len(ranks))) - 1]) + 1)
+    return t, float(min((ranks < t).mean() for ranks in (real, hard) if len(ranks)))
 
 
 def _block(key, batch: pa.Table, threshold: float) -> pa.Table:
@@ -157,13 +173,13 @@ def _block(key, batch: pa.Table, threshold: float) -> pa.Table:
     })
 
 
-def _links(reps: DataFrame, n: int, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
-    """reps: rep, n, embedding, all of one length."""
+def _links(reps: DataFrame, n: int, threshold: float, recall: float, scratch: Scratch) -> tuple[DataFrame, float]:
+    """Links of reps (rep, n, embedding), all of one length, and the recall measured."""
     spark = reps.sparkSession
     sample = reps.withColumn("h", F.xxhash64("rep")).orderBy("h", "rep").limit(SAMPLE).select("rep", "embedding").toArrow()
     x, ids = _matrix(sample.column("embedding")), sample.column("rep").to_pylist()
     index = MultiIndex(x, n)
-    t = _cells_needed(reps, index, x[:QUERIES], ids[:QUERIES], threshold, recall)
+    t, measured = _cells_needed(reps, index, x[:QUERIES], ids[:QUERIES], threshold, recall)
     held = spark.sparkContext.broadcast(index)
 
     def place(batches):
@@ -174,6 +190,12 @@ def _links(reps: DataFrame, n: int, threshold: float, recall: float, scratch: Sc
 
     kind = reps.schema["rep"].dataType.simpleString()
     spots = scratch.save(reps.select("rep", "n", "embedding").mapInArrow(place, f"rep {kind}, n long, embedding {reps.schema['embedding'].dataType.simpleString()}, own long, probes array<long>"))
+    return _compare(spots, threshold, scratch), measured
+
+
+def _compare(spots: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links between vectors (rep, n, embedding) and those whose own cell is among the cells that they probe."""
+    kind = spots.schema["rep"].dataType.simpleString()
     stored = spots.select("*", F.col("own").alias("cell"), F.lit(False).alias("asks"))
     asking = spots.select("*", F.explode("probes").alias("cell"), F.lit(True).alias("asks"))
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / CHUNK)).cast("int")
@@ -195,14 +217,16 @@ def similar_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding")).withColumn("fine", F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
     rows = rows.withColumn("f1", F.xxhash64("embedding")).withColumn("f2", F.xxhash64(F.lit(11), "embedding"))
     reps = scratch.save(rows.where("fine").groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
-    sizes = [tuple(r) for r in reps.groupBy(F.size("embedding")).count().limit(MAX_DIMS + 1).collect()]
-    if len(sizes) > MAX_DIMS:
-        raise ValueError(f"vectors of more than {MAX_DIMS} lengths")
-    found = None
-    for size, n in sizes:
+    sizes = [tuple(r) for r in reps.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(MAX_DIMS + 1).collect()]
+    found, measured = None, 1.0
+    for size, n in sizes[:MAX_DIMS]:
         if n > 1:
-            part = _links(reps.where(F.size("embedding") == size), n, threshold, recall, scratch)
-            found = part if found is None else found.unionByName(part)
+            part, share = _links(reps.where(F.size("embedding") == size), n, threshold, recall, scratch)
+            found, measured = part if found is None else found.unionByName(part), min(measured, share)
+    if len(sizes) > MAX_DIMS:  # one cell for each of the other lengths
+        length = F.size("embedding").cast("long")
+        rest = reps.where(~length.isin([s for s, _ in sizes[:MAX_DIMS]])).select("rep", "n", "embedding", length.alias("own"), F.array(length).alias("probes"))
+        found = found.unionByName(_compare(scratch.save(rest), threshold, scratch)) if found is not None else _compare(scratch.save(rest), threshold, scratch)
     heads = reps.select("f1", "f2", "rep", "n")
     if found is not None:
         found = scratch.save(found)
@@ -214,7 +238,7 @@ def similar_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
     heads = heads.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     out = rows.select("vec_id", "fine", "f1", "f2").join(heads, F.col("fine") & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("measured_recall", F.lit(measured))
 
 
 def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

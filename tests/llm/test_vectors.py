@@ -60,8 +60,25 @@ def test_edges(spark):
     assert [got[i]["n_links"] for i in range(len(rows))] == links
     assert [got[i]["component_id"] for i in range(len(rows))] == label
     assert run(spark, [[1.0]]) and spark.createDataFrame([], "vec_id long, embedding array<float>").transform(vectors.similar_vectors).count() == 0
-    with pytest.raises(ValueError):
-        run(spark, [[1.0] * k for k in range(1, 20)])
+    many = [[1.0] * (k // 2) for k in range(2, 44)] + [[-1.0] + [1.0] * k for k in range(1, 20)]
+    links, label = brute(many)
+    got = run(spark, many)
+    assert [got[i]["n_links"] for i in range(len(many))] == links and [got[i]["component_id"] for i in range(len(many))] == label
+
+
+def test_rare_duplicates_are_found(spark):
+    """One pair in hundreds of vectors, at the threshold itself: no sample meets it, but recall is measured and holds."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    planted = rng.choice(1500, 40, replace=False)
+    for i in planted:
+        r = rng.normal(size=24)
+        r -= (r @ x[i]) * x[i]
+        x[1500 + i] = 0.952 * x[i] + np.sqrt(1 - 0.952**2) * r / np.linalg.norm(r)
+    got = run(spark, x.tolist())
+    assert sum(got[i]["n_links"] >= 1 and got[1500 + i]["component_id"] == got[i]["component_id"] for i in planted) >= 38
+    assert {r["measured_recall"] for r in got.values()} != {None} and 0.9 <= got[0]["measured_recall"] <= 1
 
 
 def test_traversal_visits_the_nearest_cells():
