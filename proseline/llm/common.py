@@ -230,13 +230,14 @@ HOT_SHARE = 5000
 def join_heads(rows: DataFrame, heads: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with heads, which has one row for each key and in ``rows`` how many of the ``total`` rows have that key.
 
-    Heads of hot keys (fewer than HOT_SHARE) are broadcast, so that their rows stay where they are; other keys' rows are shuffled. Both tables are
-    read twice and should be saved ones."""
+    Heads of hot keys (fewer than HOT_SHARE, which is also all that reaches the driver) are broadcast, so that their rows stay where they are; other
+    keys' rows are shuffled. Both tables are read twice and should be saved ones."""
     bound = F.lit(total / HOT_SHARE)
-    hot, cold = (heads.where(c).drop("rows") for c in (F.col("rows") > bound, F.col("rows") <= bound))
-    is_hot = hot.select(key).withColumn("_hot", F.lit(True))
-    rest = rows.join(F.broadcast(is_hot), key, "left").where("_hot IS NULL").drop("_hot")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+    keys = [r[0] for r in heads.where(F.col("rows") > F.greatest(bound, F.lit(100))).select(key).collect()]
+    if not keys:
+        return rows.join(heads.drop("rows"), key)
+    hot = F.col(key).isin(keys)
+    return rows.where(hot).join(F.broadcast(heads.where(hot).drop("rows")), key).unionByName(rows.where(~hot).join(heads.where(~hot).drop("rows"), key))
 
 
 # --- Connected components --------------------------------------------------------------------------------------------

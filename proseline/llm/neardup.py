@@ -10,7 +10,7 @@ probability of their weighted Jaccard index. The signature is cut into bands; eq
 Scale. Exact copies (equal word sequences) are first reduced to their smallest id, map-side aggregated. Buckets are not expanded
 into pairs. First each member is compared with its bucket's smallest id, exactly; that settles families of near copies
 in one comparison for each text. Buckets whose members are then still of several components are gone through whole: each text outside
-a block's largest component meets every text of the bucket, so that every pair that shares a band and isn't connected already is
+the bucket's largest component meets every text of the bucket, so that every pair that shares a band and isn't connected already is
 compared, and no link is lost to a choice of pivots. Components are made of verified links only, so chance ties don't grow
 together. Texts travel in blocks of at most about ``CHUNK`` texts and ``CHUNK_WORDS`` words, once for each pivot or block, and a
 hot bucket is many tasks' work; a block hands over only links that span what it found linked. Other texts are not shuffled.
@@ -32,7 +32,7 @@ from .common import MIX3, Scratch, components, join_heads, mix64, release, shard
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-CHUNK, CHUNK_WORDS = 512, 400_000
+CHUNK, CHUNK_WORDS = 256, 400_000
 FILTER_BITS = 1 << 26
 
 
@@ -107,8 +107,8 @@ def units(h: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mix64(h + nth.astype(np.uint64) * MIX3)
 
 
-def links(texts: pa.Array, tasks: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each task (left, right) the pairs of a text in left and another in right whose weighted Jaccard index is at least the threshold.
+def links(texts: pa.Array, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of a text in left and another in right) whose weighted Jaccard index is at least the threshold.
 
     Units are sets whose plain Jaccard index is the weighted one; their common elements are counted through posting lists."""
     n = len(texts)
@@ -116,41 +116,29 @@ def links(texts: pa.Array, tasks: list[tuple[np.ndarray, np.ndarray]], threshold
     size = np.bincount(own, minlength=n)
     _, number = np.unique(units(h, own), return_inverse=True)
     start = np.cumsum(size) - size
+    among = np.isin(own, right)
+    order = np.argsort(number[among], kind="stable")
+    posted, key = own[among][order], number[among][order]
+    begin = np.searchsorted(key, np.arange(number.max(initial=-1) + 2))
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for left, right in tasks:
-        if not len(left) or not len(right):
-            continue
-        among = np.isin(own, right)
-        order = np.argsort(number[among], kind="stable")
-        posted, key = own[among][order], number[among][order]
-        begin = np.searchsorted(key, np.arange(number.max(initial=-1) + 2))
-        for x in left:
-            mine = number[start[x] : start[x] + size[x]]
-            at, count = begin[mine], begin[mine + 1] - begin[mine]
-            place = np.arange(count.sum()) + np.repeat(at - (np.cumsum(count) - count), count)
-            both = np.bincount(posted[place], minlength=n)
-            ok = np.flatnonzero(both >= threshold * (size + size[x] - both) - 1e-9)
-            ok = ok[(ok != x) & (both[ok] > 0)]
-            found_a.append(np.full(len(ok), x))
-            found_b.append(ok)
+    for x in left:
+        mine = number[start[x] : start[x] + size[x]]
+        at, count = begin[mine], begin[mine + 1] - begin[mine]
+        place = np.arange(count.sum()) + np.repeat(at - (np.cumsum(count) - count), count)
+        both = np.bincount(posted[place], minlength=n)
+        ok = np.flatnonzero(both >= threshold * (size + size[x] - both) - 1e-9)
+        ok = ok[(ok != x) & (both[ok] > 0)]
+        found_a.append(np.full(len(ok), x))
+        found_b.append(ok)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def tasks_of(side: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """What a block compares: of the two sides, rows that are not in the block's largest group with all rows of the other side (of
-    one side alone with all of it). Any two rows of different groups are not both in the largest."""
-    kinds, n = np.unique(group, return_counts=True)
-    odd = group != kinds[n.argmax()]
-    low, high = side == side.min(), side == side.max()
-    pick = np.flatnonzero
-    return [(pick(low & odd), pick(high))] + ([(pick(high & odd), pick(low))] if side.min() != side.max() else [])
-
-
 def _block(batch: pa.Table, threshold: float) -> pa.Table:
-    """Links a, b that span what is linked in a block. Rows: id, side, grp (what they are connected to already), text."""
+    """Links a, b that span what is linked between the rows of a block that ask and those that answer."""
     ids = batch.column("id").combine_chunks()
-    groups = batch.column("grp").combine_chunks().dictionary_encode().indices.to_numpy()
-    a, b = links(batch.column("text").combine_chunks(), tasks_of(batch.column("side").to_numpy(), groups), threshold)
+    asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    left, right = sorted((np.flatnonzero(asks), np.flatnonzero(~asks)), key=len)
+    a, b = links(batch.column("text").combine_chunks(), left, right, threshold)
     label = np.arange(len(ids))
     while len(a):
         before = label.copy()
@@ -232,17 +220,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     chunks = lambda n, words: F.greatest(F.ceil(n / CHUNK), F.ceil(words / CHUNK_WORDS)).cast("int").alias("chunks")
     pairs = scratch.save(tied.where("id <> least").groupBy("id", "least").agg(F.first("n_words").alias("n_words")))
     pivots = scratch.save(pairs.groupBy("least").agg(chunks(F.count("*"), F.sum("n_words")), F.count("*").alias("rows")))
-    asks = join_heads(pairs, pivots, "least", pairs.count()).select("least", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("part"), "id", F.lit(1).alias("side"), F.lit("b").alias("grp"))
-    answers = pivots.select("least", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("least").alias("id"), F.lit(0).alias("side"), F.lit("a").alias("grp"))
+    asks = join_heads(pairs, pivots, "least", pairs.count()).select("least", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("part"), "id", F.lit(True).alias("asks"))
+    answers = pivots.select("least", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("least").alias("id"), F.lit(False).alias("asks"))
     first = compare(asks.unionByName(answers), "least", "part")
     # buckets that are not of one component by now
     known = components(first, scratch)
-    grouped = scratch.save(tied.select("key", "id", "n_words").join(known, F.col("id") == F.col("node"), "left").select("key", "id", "n_words", F.coalesce("root", "id").cast("string").alias("grp")))
-    sized = grouped.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), chunks(F.count("*"), F.sum("n_words")), F.count("*").alias("rows")).where("low <> high").drop("low", "high")
-    left = join_heads(grouped, scratch.save(sized), "key", grouped.count()).withColumn("side", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))
-    left = left.select("key", "id", "side", "grp", F.explode(meets).alias("m")).select("key", "m.i", "m.j", "id", "side", "grp")
-    found = first.unionByName(compare(left, "key", "i", "j"))
+    grouped = scratch.save(tied.select("key", "id", "n_words").join(known, F.col("id") == F.col("node"), "left").select("key", "id", "n_words", F.coalesce("root", "id").alias("grp")))
+    parts = grouped.groupBy("key", "grp").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    most = F.max(F.struct("n", "grp", "words"))
+    sized = parts.groupBy("key").agg(F.count("*").alias("k"), most["grp"].alias("top"), F.sum("n").alias("rows"), F.sum("words").alias("words"), most["n"].alias("top_n"), most["words"].alias("top_words")).where("k > 1")
+    sized = sized.select("key", "rows", "top", chunks(F.col("rows"), F.col("words")).alias("ka"), chunks(F.col("rows") - F.col("top_n"), F.col("words") - F.col("top_words")).alias("ko"))
+    open_ = scratch.save(join_heads(grouped, scratch.save(sized), "key", grouped.count()))
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    mine = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    asks = open_.where("grp <> top").select("key", mine("ko").alias("i"), upto("ka").alias("j"), "id", F.lit(True).alias("asks"))
+    answers = open_.select("key", upto("ko").alias("i"), mine("ka").alias("j"), "id", F.lit(False).alias("asks"))
+    found = first.unionByName(compare(asks.unionByName(answers), "key", "i", "j"))
     roots = components(found, scratch)
     if several:
         roots = components(found.unionByName(same), scratch)

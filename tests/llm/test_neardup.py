@@ -74,14 +74,13 @@ def test_weak_ties_stay_apart(spark, monkeypatch):
     texts = [" ".join(words[20 * i : 20 * i + 60]) for i in range(2000)]
     texts += [texts[7] + " more", texts[1500] + " more", "x " + texts[7]]
     kept = spark.sparkContext.accumulator(0)
-    plain = N.tasks_of
+    plain = N.links
 
-    def counted(side, group):
-        tasks = plain(side, group)
-        kept.add(sum(len(a) * len(b) for a, b in tasks))
-        return tasks
+    def counted(texts, left, right, threshold):
+        kept.add(len(left) * len(right))
+        return plain(texts, left, right, threshold)
 
-    monkeypatch.setattr(N, "tasks_of", counted)
+    monkeypatch.setattr(N, "links", counted)
     got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs(spark, texts)).collect()}
     assert got == {i: {2000: 7, 2001: 1500, 2002: 7}.get(i, i) for i in range(len(texts))}
     assert kept.value < 40 * len(texts), kept.value
@@ -103,15 +102,6 @@ def test_recall_at_the_threshold(spark):
     assert len(pairs) > 200 and sum(got[a] == got[b] for a, b in pairs) >= len(pairs) - 2
 
 
-def test_blocks_compare_each_pair_of_groups():
-    for side, group in (([0, 0, 1, 1, 1], "abbba"), ([0, 0, 0], "aab"), ([1, 2], "ab"), ([1, 2], "aa")):
-        side, group = np.array(side), np.array([ord(c) for c in group])
-        met = {frozenset((x, y)) for left, right in N.tasks_of(side, group) for x in left for y in right}
-        for x in range(len(side)):
-            for y in range(x):
-                assert group[x] == group[y] or (side[x] == side[y] and side.min() != side.max()) or frozenset((x, y)) in met
-
-
 def test_signature_estimates_weighted_jaccard():
     a, b = "x y z u v w " * 20 + " ".join(f"a{i}" for i in range(60)), "x y z u v w " * 10 + " ".join(f"a{i}" for i in range(80))
     h, own = N.shingles(*word_hashes(pa.array([a, b])), 2)
