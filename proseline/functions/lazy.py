@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import find_literals
 from .text import let, rx, words
 
 # What is scanned for when no pattern file can be read.
@@ -44,15 +44,32 @@ STANDARD_LITERALS = tuple((Path(__file__).parent / "literals.txt").read_text(enc
 STANDARD = PatternSet(STANDARD_LITERALS, STANDARD_REGEXES)
 
 
+def compiles(pattern: str) -> bool:
+    """Whether Java's regex compiler, which is what scans, takes a pattern. Without a running JVM Python's stands in for it."""
+    from pyspark import SparkContext
+
+    if not isinstance(pattern, str):
+        return False
+    jvm = SparkContext._active_spark_context and SparkContext._active_spark_context._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(f"(?dUi){pattern}") if jvm else re.compile(pattern)
+    except Exception:  # noqa: BLE001 - whatever the compiler objects to
+        return False
+    return True
+
+
 def load_patterns(path: str) -> PatternSet:
-    """A YAML file with literal_strings and regex_patterns; the fallback if it can't be read or is empty."""
+    """A YAML file with literal_strings and regex_patterns; the fallback if it can't be read, is no such file or has neither."""
     try:
         import yaml
 
         with open(path, encoding="utf-8") as f:
             data = yaml.safe_load(f)
-        found = PatternSet(tuple(data.get("literal_strings") or ()), tuple(data.get("regex_patterns") or ()))
-    except (OSError, AttributeError, ImportError, ValueError, yaml.YAMLError):
+        lists = [data.get(k) or [] for k in ("literal_strings", "regex_patterns")]
+        if not all(isinstance(x, list) and all(isinstance(s, str) for s in x) for x in lists):
+            raise TypeError("lists of strings are wanted")
+        found = PatternSet(*map(tuple, lists))
+    except Exception:  # noqa: BLE001 - any failure means the fallback
         return PatternSet()
     return found if found.literals or found.regexes else PatternSet()
 
@@ -64,40 +81,51 @@ def override(patterns: PatternSet, literals=None, regexes=None, legacy=None) ->
     return PatternSet(tuple(patterns.literals if literals is None else literals), tuple(patterns.regexes if regexes is None else regexes))
 
 
-def _any_of(strings: list[str]) -> str:
-    """A regex that finds any of the strings, in which common beginnings are tried once."""
-    if "" in strings:
-        return ""
-    heads: dict[str, list[str]] = {}
-    for s in strings:
-        heads.setdefault(s[0], []).append(s[1:])
-    branches = [re.escape(c) + _any_of(rest) for c, rest in heads.items()]
-    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
-
-
-def _hits(low: Column, text: Column, patterns: PatternSet) -> Column:
-    """array of (pattern, n), n > 0, literals first, in the patterns' order; a literal listed twice is one entry for each."""
-    entry = lambda p, n: F.struct(F.lit(p).alias("pattern"), n.cast("long").alias("n"))
-    seen = Counter(s.lower() for s in patterns.literals if s)
-    # one pass of an alternation decides whether any literal is looked for
-    gate = low.rlike(_any_of(list(seen))) if seen else F.lit(False)
-    literal = F.array(*[F.struct(F.lit(s).alias("pattern"), F.lit(s.lower()).alias("low")) for s in patterns.literals if s]) if seen else None
+#: Literals of which one stands in every match of a standard regex: what has none of them isn't scanned.
+NEAR = {
+    STANDARD_REGEXES[1]: ("....",),
+    STANDARD_REGEXES[2]: ("...",),
+    STANDARD_REGEXES[3]: ("!!!",),
+    STANDARD_REGEXES[4]: ("steel", "fire", "ice", "stone", "gold", "iron", "darkness", "light"),
+    STANDARD_REGEXES[5]: tuple(STANDARD_REGEXES[5].split("(?:")[1].split(")")[0].split("|")),
+    STANDARD_REGEXES[7]: tuple(STANDARD_REGEXES[7].split("(?:")[1].split(")")[0].split("|")),
+    STANDARD_REGEXES[8]: ("tasted",),
+    STANDARD_REGEXES[9]: ("no",),
+}
+
+
+def _hits(low: Column, text: Column, patterns: PatternSet, found: Column, place: dict[str, int]) -> Column:
+    """array of (pattern, n), n > 0, literals first, in the patterns' order; a literal listed twice is one entry for each. found: which of
+    the literals in place the text has."""
     none = F.array().cast("array<struct<pattern:string,n:bigint>>")
+    has = lambda strings: F.arrays_overlap(found, F.array(*[F.lit(place[s]) for s in strings]))
+    literal = [(s, s.lower()) for s in patterns.literals if s]
     first = none
-    if seen:
-        found = F.transform(literal, lambda p: F.struct(p["pattern"].alias("pattern"), ((F.length(low) - F.length(F.replace(low, p["low"], F.lit("")))) / F.length(p["low"])).cast("long").alias("n")))
-        first = F.when(gate, F.filter(found, lambda x: x["n"] > 0)).otherwise(none)
-    second = F.filter(F.array(*[entry(p, F.regexp_count(text, rx(p, "i"))) for p in patterns.regexes]), lambda x: x["n"] > 0) if patterns.regexes else none
+    if literal:
+        every = F.array(*[F.struct(F.lit(s).alias("pattern"), F.lit(x).alias("low"), F.lit(place[x]).alias("k")) for s, x in literal])
+        here = F.filter(every, lambda p: F.array_contains(found, p["k"]))
+        first = F.transform(here, lambda p: F.struct(p["pattern"].alias("pattern"), ((F.length(low) - F.length(F.replace(low, p["low"], F.lit("")))) / F.length(p["low"])).cast("long").alias("n")))
+        first = F.when(F.size(found) > 0, F.filter(first, lambda x: x["n"] > 0)).otherwise(none)
+    entries = []
+    for p in patterns.regexes:
+        n = F.regexp_count(text, rx(p, "i"))
+        entries.append(F.struct(F.lit(p).alias("pattern"), (F.when(has(NEAR[p]), n).otherwise(0) if p in NEAR else n).cast("long").alias("n")))
+    second = F.filter(F.array(*entries), lambda x: x["n"] > 0) if entries else none
     return F.concat(first, second)
 
 
 def lazy(text: Column, patterns: PatternSet = STANDARD) -> Column:
-    """lazy_score, has_lazy_text, lazy_pattern_count, lazy_patterns_found."""
+    """lazy_score, has_lazy_text, lazy_pattern_count, lazy_patterns_found. A regex that doesn't compile is passed over (Java's dialect: named
+    groups and flags in the middle of a pattern that only Python knows don't)."""
     text = F.coalesce(text, F.lit(""))
+    patterns = PatternSet(patterns.literals, tuple(p for p in patterns.regexes if compiles(p)))
+    looked_for = [s.lower() for s in patterns.literals if s] + [s for p in patterns.regexes for s in NEAR.get(p, ())]
+    place = {s: k for k, s in enumerate(dict.fromkeys(looked_for))}
+    found = find_literals(F.lower(text), tuple(place)) if place else F.array().cast("array<int>")
 
     def of(hits: Column) -> Column:
         n = F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + x["n"])
         excess = F.greatest(F.lit(0.0), n / (F.greatest(F.size(words(text)), F.lit(1)) / 100.0) - 0.3)
         return F.struct((1.0 - 1.0 / (1.0 + excess / 2.0)).alias("lazy_score"), (n > 0).alias("has_lazy_text"), n.alias("lazy_pattern_count"), hits.alias("lazy_patterns_found"))
 
-    return let(let(F.lower(text), lambda low: _hits(low, text, patterns)), of)
+    return let(let(found, lambda x: let(F.lower(text), lambda low: _hits(low, text, patterns, x, place))), of)

@@ -1,4 +1,5 @@
-"""Repetition, coherence, readability and prose-craft metrics as column expressions: row-local, no shuffle, no Python.
+"""Repetition, coherence, readability and prose-craft metrics as column expressions: row-local, no shuffle. Repetition counts n-grams in
+a vectorised pass over Arrow batches; the rest is SQL functions.
 
 A null or empty text has zeros throughout (and a coherence of 0).
 """
@@ -8,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, alpha_words, count, find_all, let, lower_words, paragraphs, run_lengths, rx, sentences, spread, strip, words
-
-WINDOW = 30
+from .arrow import find_literals, repetition_rates
+from .text import alpha_words, count, find_all, let, lower_words, paragraphs, run_lengths, rx, sentences, spread, strip, words
 
 # Verbs that tell instead of show, and the words that frequency spikes pass over.
 TELLING_VERBS = "seemed felt realized knew noticed sensed understood recognized appeared looked sounded wondered thought decided believed".split()
@@ -37,39 +37,9 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
-def _repeated(values: Column) -> Column:
-    """Number of distinct values that occur more than once."""
-    return let(F.sort_array(values), lambda s: F.size(F.filter(s, lambda x, i: (F.get(s, i - 1) == x) & ~F.get(s, i - 2).eqNullSafe(x))))
-
-
-def _windows(t: Column, n: Column) -> Column:
-    """Hashes of all windows of 30 words, put together from hashes of 16, 8, 4 and 2 words."""
-    twice = lambda h, step: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
-    whole = lambda a, b, c, d: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.get(d, i), F.get(c, i + 16), F.get(b, i + 24), F.get(a, i + 28)))
-    one = F.transform(t, lambda x: F.xxhash64(x))
-    return let(one, lambda h: let(twice(h, 1), lambda a: let(twice(a, 2), lambda b: let(twice(b, 4), lambda c: let(twice(c, 8), lambda d: whole(a, b, c, d))))))
-
-
 def repetition(text: Column) -> Column:
-    def of(t: Column) -> Column:
-        n = F.size(t)
-        two = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-        three = let(two, lambda b: F.zip_with(F.slice(b, 1, n - 2), F.slice(t, 3, n - 2), lambda x, y: F.concat(x, F.lit(" "), y)))
-        windows = _windows(t, n)
-        return F.struct(
-            F.when(n > 1, _repeated(t) / n).otherwise(0.0).alias("tok"),
-            F.when(n > 1, _repeated(two) / (n - 1)).otherwise(0.0).alias("bi"),
-            F.when(n > 2, _repeated(three) / (n - 2)).otherwise(0.0).alias("tri"),
-            F.when(n > 1, F.size(F.filter(t, lambda x, i: F.get(t, i - 1) == x)) / (n - 1)).otherwise(0.0).alias("run"),
-            F.when(n >= 2 * WINDOW, let(windows, lambda w: (F.size(w) - F.size(F.array_distinct(w))) / F.size(w))).otherwise(0.0).alias("seq"),
-            (n > 1).alias("enough"),
-        )
-
-    normal = F.transform(sentences(text), lambda s: F.regexp_replace(F.lower(s), rx(f"{SPACE}+"), F.lit(" ")))
-    copies = let(normal, lambda s: F.when(F.size(s) >= 2, 1.0 - F.size(F.array_distinct(s)) / F.size(s)).otherwise(0.0))
-
-    def whole(r: Column, dup: Column) -> Column:
-        dup = F.when(r["enough"], dup).otherwise(0.0)
+    def whole(r: Column) -> Column:
+        dup = F.when(r["enough"], r["dup"]).otherwise(0.0)
         grams = r["tok"] * 0.4 + r["bi"] * 0.3 + r["tri"] * 0.2 + r["run"] * 0.1
         return F.struct(
             r["tok"].alias("token_repetition_rate"),
@@ -81,8 +51,7 @@ def repetition(text: Column) -> Column:
             F.greatest(grams, dup, r["seq"]).alias("repetition_penalty"),
         )
 
-    text = F.coalesce(text, F.lit(""))
-    return let(let(words(text), of), lambda r: let(copies, lambda d: whole(r, d)))
+    return let(repetition_rates(F.coalesce(text, F.lit(""))), whole)
 
 
 def coherence(text: Column) -> Column:
@@ -149,9 +118,10 @@ def _uniformity(s: Column) -> Column:
     return let(cv, lambda v: F.when(v >= 0.5, 0.0).when(v >= 0.2, (0.5 - v) / 0.3 * 0.7).otherwise(0.7 + (0.2 - v) / 0.2 * 0.3))
 
 
-def _telling(s: Column) -> Column:
+def _telling(s: Column, some: Column) -> Column:
+    """some: whether the text has any of the verbs at all."""
     verb = f"(?<![a-zA-Z])(?:{'|'.join(TELLING_VERBS)})(?![a-zA-Z])"
-    share = F.size(F.filter(s, lambda x: F.lower(x).rlike(verb))) / F.size(s)
+    share = F.when(some, F.size(F.filter(s, lambda x: F.lower(x).rlike(verb))) / F.size(s)).otherwise(0.0)
     return let(share, lambda r: F.when(r <= 0.3, 0.0).otherwise(F.least(F.lit(1.0), (r - 0.3) / 0.5)))
 
 
@@ -165,32 +135,41 @@ def _paragraphs(p: Column, n_sentences: Column) -> Column:
 
 
 def emphasis_penalty(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("*")), _emphasis(text)).otherwise(0.0)
+
+
+def _emphasis(text: Column) -> Column:
     spans = find_all(text, r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", group=1)
     short = F.size(F.filter(spans, lambda m: F.size(words(m)) <= 3))
     return let(short, lambda n: F.when(n == 0, 0.0).when(n <= 2, n * 0.15).otherwise(F.least(F.lit(1.0), 0.3 + (n - 2) * 0.14)))
 
 
 def _em_dashes(text: Column, n_paragraphs: Column, n_words: Column) -> Column:
-    rate = count(text, "—| -- ") / F.greatest(n_paragraphs, F.floor(n_words / 80), F.lit(1))
+    some = F.contains(text, F.lit("—")) | F.contains(text, F.lit(" -- "))
+    rate = F.when(some, count(text, "—| -- ")).otherwise(0) / F.greatest(n_paragraphs, F.floor(n_words / 80), F.lit(1))
     return let(rate, lambda r: F.when(r <= 0.5, 0.0).otherwise(1.0 - 1.0 / (1.0 + (r - 0.5) * (r - 0.5) / 2.0)))
 
 
-def _dialogue(s: Column) -> Column:
+def _dialogue(s: Column, quoted: Column) -> Column:
+    """quoted: whether the text has quotation marks at all."""
     spoken = F.size(F.filter(s, lambda x: x.rlike('["“”]') | x.rlike("(?dUi)['‘’].*said")))
     return let(
-        spoken / F.size(s),
+        F.when(quoted, spoken / F.size(s)).otherwise(0.0),
         lambda f: F.when(f.between(0.10, 0.65), 0.0).when(f < 0.10, (0.10 - f) / 0.10 * 0.25).otherwise(F.least(F.lit(0.6), (f - 0.65) / 0.35 * 0.6)),
     )
 
 
 def prose(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
+    looked_for = (*TELLING_VERBS, *"\"“”'‘’")
+    n_verbs = len(TELLING_VERBS)
 
-    def whole(s: Column, w: Column) -> Column:
+    def whole(s: Column, w: Column, found: Column) -> Column:
+        verbs, quoted = F.exists(found, lambda k: k < n_verbs), F.exists(found, lambda k: k >= n_verbs)
         enough = (F.size(s) >= 3) & (F.size(w) >= 20)
 
         def parts(p: Column) -> list[Column]:
-            return [_monotony(s), _spike(w), _uniformity(s), _telling(s), _paragraphs(p, F.size(s)), _dialogue(s), emphasis_penalty(text), _em_dashes(text, F.size(p), F.size(w))]
+            return [_monotony(s), _spike(w), _uniformity(s), _telling(s, verbs), _paragraphs(p, F.size(s)), _dialogue(s, quoted), emphasis_penalty(text), _em_dashes(text, F.size(p), F.size(w))]
 
         found = let(paragraphs(text), lambda p: F.struct(*[c.cast("double").alias(k) for c, k in zip(parts(p), E_WEIGHTS, strict=True)]))
         zero = F.struct(*[_zero().alias(k) for k in E_WEIGHTS])
@@ -200,5 +179,5 @@ def prose(text: Column) -> Column:
         penalty = sum((m[k] * w for k, w in list(E_WEIGHTS.items())[1:]), m["sentence_start_monotony"] * E_WEIGHTS["sentence_start_monotony"])
         return F.struct(*[m[k].alias(k) for k in E_WEIGHTS], F.least(F.lit(1.0), F.greatest(_zero(), penalty)).alias("prose_penalty"))
 
-    body = let(sentences(text), lambda s: let(F.transform(alpha_words(text), F.lower), lambda w: whole(s, w)))
+    body = let(find_literals(F.lower(text), looked_for), lambda x: let(sentences(text), lambda s: let(alpha_words(F.lower(text)), lambda w: whole(s, w, x))))
     return let(body, total)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lazy import STANDARD, PatternSet, lazy
-from .lint import LintConfig, lint_counts
+from .lint import Linter, lint_counts
 from .metrics import coherence, prose, readability, repetition
 
 FAMILIES = ("repetition", "coherence", "readability", "prose", "lazy", "lint")
@@ -22,7 +22,7 @@ def combo_score(quality: Column, repetition_: Column, coherence_: Column, readab
     return quality * 0.4 + (1.0 - repetition_) * 0.3 + coherence_ * 0.2 + readability_ * 0.1
 
 
-def score(df: DataFrame, text_col: str = "text", patterns: PatternSet = STANDARD, hp: LintConfig | None = None, lint_on: bool = True) -> DataFrame:
+def score(df: DataFrame, text_col: str = "text", patterns: PatternSet = STANDARD, linter: Linter | None = None, lint_on: bool = True) -> DataFrame:
     """df with all metrics of the text as columns, quality_score (also as overall_quality) last.
 
     Row-local. An empty or null text scores 0 with a lint score of 50 and the band 'unknown'; with the linter off those are 50 and
@@ -36,7 +36,7 @@ def score(df: DataFrame, text_col: str = "text", patterns: PatternSet = STANDARD
         "_readability": readability(t),
         "_prose": prose(t),
         "_lazy": lazy(t, patterns),
-        "_lint": lint_counts(t, hp or LintConfig()) if lint_on else F.struct(F.lit(50).cast("long").alias("score"), F.lit("unavailable").alias("band"), F.lit(0).cast("long").alias("n_violations")),
+        "_lint": lint_counts(t, linter or Linter()) if lint_on else F.struct(F.lit(50).cast("long").alias("score"), F.lit("unavailable").alias("band"), F.lit(0).cast("long").alias("n_violations")),
     })
     lint_score = F.when(some, F.col("_lint.score").cast("double")).otherwise(50.0)
     out = staged.withColumns({
