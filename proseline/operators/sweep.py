@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import os
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proseline.functions import arrow  # noqa: F401 - functions that go to workers travel by value
 from proseline.functions.score import composite
 
 NATIVE_PARAMETERS = ("temperature", "top_p", "max_tokens", "presence_penalty", "frequency_penalty")
@@ -136,14 +139,30 @@ def convergence(trials: DataFrame, patience: int, delta: float, chunk: int = 10_
 def median_prune(steps: DataFrame, startup: int = 10, warmup: int = 1) -> DataFrame:
     """Steps (trial, step, value: running mean) at which a trial falls below the median of the completed earlier trials at that step.
 
-    A trial is held against trials before it, from the startup-th completed one and past the warm-up steps on, by its best value so far. The range join is
-    over the trials of a study at one step."""
+    A trial is held against trials before it, from the startup-th completed one and past the warm-up steps on, by its best value so far. It is a
+    fold over the trials of a study in their order: the completed values of a step are kept sorted, one number for each trial. Steps are folded
+    in parallel. Rows of one trial and step see the same earlier trials. Null steps, trials and values are passed over."""
     so_far = Window.partitionBy("trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    mine = steps.withColumn("best", F.max("value").over(so_far))
-    other = steps.where("state = 'COMPLETE'").select(F.col("step"), F.col("trial").alias("other"), F.col("value").alias("there"))
-    held = mine.where(F.col("step") >= warmup).join(other, (mine["step"] == other["step"]) & (F.col("other") < F.col("trial"))).drop(other["step"])
-    stats = held.groupBy("trial", "step", "best").agg(F.expr("percentile(there, 0.5)").alias("median"), F.count("*").alias("n"))
-    return stats.where(F.col("n") >= startup).select("trial", "step", "best", "median", (F.col("best") < F.col("median")).alias("prune"))
+    mine = steps.withColumn("best", F.max("value").over(so_far)).where((F.col("step") >= warmup) & F.col("trial").isNotNull() & F.col("best").isNotNull())
+    rows = mine.select("trial", "step", F.col("best").cast("double").alias("best"), F.when(F.col("state") == "COMPLETE", F.col("value").cast("double")).alias("there"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def fold(group: pa.Table) -> pa.Table:
+        kept, waiting, now, out = [], [], None, []
+        for trial, step, best, there in zip(*(c.to_pylist() for c in group.sort_by("trial").columns), strict=True):
+            if trial != now:
+                for v in waiting:
+                    bisect.insort(kept, v)
+                waiting, now = [], trial
+            n = len(kept)
+            if n >= startup:
+                out.append((trial, step, best, (kept[(n - 1) // 2] + kept[n // 2]) / 2))
+            if there is not None:
+                waiting.append(there)
+        return pa.table([pa.array([r[k] for r in out], group.schema.field(k).type if k < 3 else pa.float64()) for k in range(4)], ["trial", "step", "best", "median"])
+
+    found = rows.groupBy("step").applyInArrow(fold, f"trial {types['trial']}, step {types['step']}, best double, median double")
+    return found.select("trial", "step", "best", "median", (F.col("best") < F.col("median")).alias("prune"))
 
 
 def revalidation(frame: DataFrame, startup: int, k: int, n: int = 3) -> DataFrame:

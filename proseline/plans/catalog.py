@@ -2,8 +2,8 @@
 
 Documents stand for responses: ``source`` is a configuration's label, ``labels.quality`` splits corpora, a conversation is a trial and
 its turns are the prompt steps. Sampler parameters are not in the tables; reports that need some derive them from the id
-(temperature = 0.1 * (doc_id % 5), min_p = 0.05 * (doc_id % 3), adaptive_target = 0.25 * (doc_id % 2)), and their quality score
-takes the cheap families only (no lazy phrases, a lint score of 100, no prose penalty).
+(temperature = 0.1 * (doc_id % 5), min_p = 0.05 * (doc_id % 3), adaptive_target = 0.25 * (doc_id % 2)). Scores are those of all
+families with the standard patterns.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from proseline.functions import lazy as Z
 from proseline.functions import lint as L
 from proseline.functions import metrics as M
 from proseline.functions import text as T
-from proseline.functions.score import composite, score
+from proseline.functions.score import score
 from proseline.operators import reports as R
 from proseline.operators import sweep as S
 
@@ -24,8 +24,7 @@ from . import oracle as O
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-#: Patterns without back-references, and literals that do occur in the tables.
-PLAIN = Z.PatternSet(Z.FALLBACK_LITERALS, tuple(r for r in Z.STANDARD_REGEXES if r"\1" not in r))
+#: Literals that do occur in the tables.
 FREQUENT = Z.PatternSet(("tion", "the", "ei", "que", "the"), (r"!{3,}",))
 
 
@@ -86,9 +85,15 @@ def _lazy(spark, sf_dir, patterns):
     return rows.select("doc_id", F.round("m.lazy_score", 6).alias("lazy_score"), "m.has_lazy_text", "m.lazy_pattern_count")
 
 
-@query("lazy_score", O.lazy(PLAIN.literals, PLAIN.regexes))
+@query("lazy_score", O.lazy(Z.STANDARD.literals, Z.STANDARD.regexes))
 def lazy_score(spark, sf_dir):
-    return _lazy(spark, sf_dir, PLAIN)
+    return _lazy(spark, sf_dir, Z.STANDARD)
+
+
+@query("lazy_fallback", O.lazy(Z.FALLBACK_LITERALS, Z.FALLBACK_REGEXES))
+def lazy_fallback(spark, sf_dir):
+    """The patterns that are scanned for when a pattern file can't be used."""
+    return _lazy(spark, sf_dir, Z.PatternSet())
 
 
 @query("lazy_literals", O.lazy(FREQUENT.literals, FREQUENT.regexes))
@@ -99,7 +104,7 @@ def lazy_literals(spark, sf_dir):
 
 @query("lazy_standard")
 def lazy_standard(spark, sf_dir):
-    """All standard regexes; two have back-references, which the oracle's dialect lacks."""
+    """With the list of hits, which SQL has no order for; tests hold it against plain Python."""
     return docs(spark, sf_dir).select("doc_id", Z.lazy(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
@@ -126,15 +131,19 @@ def lint_violations(spark, sf_dir):
     return rows.select("doc_id", "pos", "v.*", L.violation_json(F.col("v")).alias("payload"))
 
 
-@query("quality_score", O.quality(PLAIN.literals, PLAIN.regexes))
+@query("quality_score", f"{O.FULL} SELECT doc_id, round(quality_score, 6) AS quality_score FROM scored")
 def quality_score(spark, sf_dir):
-    return score(docs(spark, sf_dir), patterns=PLAIN).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+    return score(docs(spark, sf_dir)).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+
+
+SCORES = [*REPETITION_KEYS, *M.E_WEIGHTS, "prose_penalty", "coherence_score", "readability_score", "lazy_score", "lint_score", "quality_score"]
+_SQL_NAMES = dict(zip(REPETITION_KEYS[:-1], ("tok", "bi", "tri", "run", "dup", "seq"), strict=True))
 
 
-@query("full_score")
+@query("full_score", f"{O.FULL} SELECT doc_id, {', '.join(f'round({_SQL_NAMES.get(k, k)}, 6) AS {k}' for k in SCORES)}, CAST(sentence_count AS BIGINT) AS sentence_count, CAST(lazy_pattern_count AS BIGINT) AS lazy_pattern_count, CAST(lint_violations AS BIGINT) AS lint_violations FROM scored")
 def full_score(spark, sf_dir):
     """Every metric with the standard patterns."""
-    return score(docs(spark, sf_dir)).drop("text")
+    return rounded(score(docs(spark, sf_dir)).select("doc_id", *SCORES, "sentence_count", "lazy_pattern_count", "lint_violations"))
 
 
 # --- text cleaning ---------------------------------------------------------------------------------------------------
@@ -173,22 +182,10 @@ def valid_responses(spark, sf_dir):
 
 # --- reports ---------------------------------------------------------------------------------------------------------
 def responses(spark, sf_dir) -> DataFrame:
-    """Documents scored by the cheap families, with derived parameters."""
-    t = F.col("text")
-    rows = docs(spark, sf_dir).select("doc_id", "source", "lang", F.coalesce(F.length(t), F.lit(0)).alias("response_length"), M.coherence(t).alias("c"), M.readability(t)["readability_score"].alias("readability_score"), M.repetition(t)["repetition_penalty"].alias("repetition_penalty"))
-    rows = rows.select("doc_id", "source", "lang", "response_length", F.col("c.coherence_score").alias("coherence_score"), F.col("c.sentence_count").alias("sentence_count"), "readability_score", "repetition_penalty")
-    quality = composite(F.col("coherence_score"), F.col("readability_score"), F.lit(0.0), F.lit(100.0), F.col("repetition_penalty"), F.lit(0.0))
-    return _parameters(rows.withColumns({"quality_score": quality, "overall_quality": quality}))
-
-
-def full_responses(spark, sf_dir) -> DataFrame:
     """Documents scored by all families, with derived parameters."""
     rows = score(docs(spark, sf_dir).select("doc_id", "source", "lang", "text"))
-    return _parameters(rows.withColumn("response_length", F.coalesce(F.length("text"), F.lit(0))).drop("text"))
-
-
-def _parameters(rows: DataFrame) -> DataFrame:
     i = F.col("doc_id")
+    rows = rows.withColumn("response_length", F.coalesce(F.length("text"), F.lit(0))).drop("text")
     return rows.withColumns({"temperature": 0.1 * (i % 5), "min_p": 0.05 * (i % 3), "adaptive_target": 0.25 * (i % 2), "success": i % 10 != 0})
 
 
@@ -202,21 +199,21 @@ MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("quality_score", "repet
 
 @query("best_configs", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, round(min_p, 6) AS min_p, round(adaptive_target, 6) AS adaptive_target, {MEANS}, count(*) AS n, {COMBO} AS o FROM scored GROUP BY ALL)
   SELECT * EXCLUDE o, round(o, 6) AS overall_score, row_number() OVER (ORDER BY o DESC) AS rank FROM b ORDER BY o DESC LIMIT 10""".replace("GROUP BY ALL", "GROUP BY temperature, min_p, adaptive_target"))
-def best_configs(spark, sf_dir, rows=responses):
-    return rounded(R.best_configs(rows(spark, sf_dir), R.CONFIG_KEYS))
+def best_configs(spark, sf_dir):
+    return rounded(R.best_configs(responses(spark, sf_dir), R.CONFIG_KEYS))
 
 
 @query("chat_configs", f"""{O.FULL}, b AS (SELECT source, {MEANS}, count(*) AS n, avg(quality_score * 0.4 + (1 - repetition_penalty) * 0.3 + coherence_score * 0.2 + readability_score * 0.1) AS o FROM scored WHERE source IS NOT NULL GROUP BY source)
   SELECT * EXCLUDE o, round(o, 6) AS overall_score FROM b ORDER BY o DESC LIMIT 5""")
-def chat_configs(spark, sf_dir, rows=responses):
-    return rounded(R.chat_configs(rows(spark, sf_dir), ["source"]))
+def chat_configs(spark, sf_dir):
+    return rounded(R.chat_configs(responses(spark, sf_dir), ["source"]))
 
 
 @query("summary_stats", f"""{O.FULL} SELECT count(*) AS total_requests, round(avg(CAST(success AS INT)), 6) AS success_rate, round(avg(response_length), 6) AS avg_response_length, round(median(response_length), 6) AS median_response_length,
   min(response_length) AS min_response_length, max(response_length) AS max_response_length, round(avg(quality_score), 6) AS avg_quality_score, round(avg(repetition_penalty), 6) AS avg_repetition_penalty, round(avg(coherence_score), 6) AS avg_coherence_score,
   round(avg(readability_score), 6) AS avg_readability_score, round(avg(quality_score), 6) AS avg_overall_quality, round(max(quality_score), 6) AS best_quality_score, round(min(quality_score), 6) AS worst_quality_score FROM scored""")
-def summary_stats(spark, sf_dir, rows=responses):
-    out = R.summary(rows(spark, sf_dir))
+def summary_stats(spark, sf_dir):
+    out = R.summary(responses(spark, sf_dir))
     return rounded(out.drop(*[c for c in out.columns if c.endswith("_range")]))
 
 
@@ -224,26 +221,26 @@ CORRELATED = ["quality_score", "repetition_penalty", "coherence_score", "readabi
 
 
 @query("correlations", O.FULL + " SELECT a, b, round(r, 6) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM scored" for a in CORRELATED for b in CORRELATED) + ")")
-def correlations(spark, sf_dir, rows=responses):
-    return rounded(R.correlations(rows(spark, sf_dir), CORRELATED))
+def correlations(spark, sf_dir):
+    return rounded(R.correlations(responses(spark, sf_dir), CORRELATED))
 
 
-CALIBRATED = ["quality_score", "coherence_score", "readability_score", "repetition_penalty"]
-_TALL = "t AS (" + " UNION ALL ".join(f"SELECT quality AS corpus, '{m}' AS metric, coalesce({m}, 0) AS value FROM scored JOIN labels USING (doc_id)" for m in CALIBRATED) + ")"
+def _tall(metrics) -> str:
+    return "sl AS MATERIALIZED (SELECT * FROM scored JOIN labels USING (doc_id)), t AS (" + " UNION ALL ".join(f"SELECT quality AS corpus, '{m}' AS metric, coalesce({m}, 0) AS value FROM sl" for m in metrics) + ")"
 
 
-def labelled(spark, sf_dir, rows=responses) -> DataFrame:
-    return rows(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("corpus")), "doc_id")
+def labelled(spark, sf_dir) -> DataFrame:
+    return responses(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("corpus")), "doc_id")
 
 
-@query("calibration", f"{O.FULL}, {_TALL} SELECT corpus, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS n FROM t GROUP BY corpus, metric")
-def calibration(spark, sf_dir, rows=responses, metrics=CALIBRATED):
-    return rounded(R.calibration(labelled(spark, sf_dir, rows), "corpus", metrics)).withColumn("corpus", F.col("corpus").cast("int"))
+@query("calibration", f"{O.FULL}, {_tall(R.CALIBRATION_METRICS)} SELECT corpus, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(*) AS n FROM t GROUP BY corpus, metric")
+def calibration(spark, sf_dir):
+    return rounded(R.calibration(labelled(spark, sf_dir), "corpus")).withColumn("corpus", F.col("corpus").cast("int"))
 
 
-@query("calibration_pivot", f"{O.FULL}, {_TALL}, m AS (SELECT metric, avg(value) FILTER (WHERE corpus = 0) AS low, avg(value) FILTER (WHERE corpus = 1) AS high FROM t GROUP BY metric) SELECT metric, round(low, 6) AS low, round(high, 6) AS high, round(high - low, 6) AS gap FROM m")
-def calibration_pivot(spark, sf_dir, rows=responses, metrics=CALIBRATED):
-    out = R.corpus_comparison(labelled(spark, sf_dir, rows), "corpus", [0, 1], 1, 0, metrics)
+@query("calibration_pivot", f"{O.FULL}, {_tall(R.COMPARED_METRICS)}, m AS (SELECT metric, avg(value) FILTER (WHERE corpus = 0) AS low, avg(value) FILTER (WHERE corpus = 1) AS high FROM t GROUP BY metric) SELECT metric, round(low, 6) AS low, round(high, 6) AS high, round(high - low, 6) AS gap FROM m")
+def calibration_pivot(spark, sf_dir):
+    out = R.corpus_comparison(labelled(spark, sf_dir), "corpus", [0, 1], 1, 0)
     return rounded(out.select("metric", F.col("`0`").alias("low"), F.col("`1`").alias("high"), "gap"))
 
 
@@ -252,9 +249,9 @@ _BANDED = "CASE WHEN quality_score >= 0.8 THEN 'clean' WHEN quality_score >= 0.7
 
 @query("worst_band", f"""{O.FULL}, b AS (SELECT source, doc_id, {_BANDED} AS band FROM scored), rk AS (SELECT *, CASE band WHEN 'clean' THEN 0 WHEN 'light' THEN 1 WHEN 'heavy' THEN 3 ELSE 2 END AS k, CASE band WHEN 'clean' THEN 0 WHEN 'light' THEN 1 WHEN 'heavy' THEN 3 WHEN 'saturated' THEN 4 ELSE 2 END AS f FROM b)
   SELECT source, first(band ORDER BY k DESC, doc_id) AS worst_band, first(band ORDER BY f DESC, doc_id) AS worst_band_fixed FROM rk GROUP BY source""")
-def worst_band(spark, sf_dir, rows=responses):
+def worst_band(spark, sf_dir):
     """Bands cut from the quality score, so that all of them occur."""
-    return R.worst_band(rows(spark, sf_dir).withColumn("band", F.expr(_BANDED)), "source", "band", "doc_id")
+    return R.worst_band(responses(spark, sf_dir).withColumn("band", F.expr(_BANDED)), "source", "band", "doc_id")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -270,12 +267,14 @@ def running_mean(spark, sf_dir):
     return rounded(R.running_mean(_turns(spark, sf_dir), "trial", "step", "quality_score"))
 
 
-@query("average_by_trial", f"""{O.FULL} SELECT source AS trial, round(avg(repetition_penalty), 6) AS repetition_penalty, round(avg(coherence_score), 6) AS coherence_score, round(avg(readability_score), 6) AS readability_score, round(avg(response_length), 6) AS response_length,
-  CAST(sum(sentence_count) AS BIGINT) AS lazy_pattern_count, round(avg(quality_score), 6) AS mean_score, round(CASE WHEN count(*) > 1 THEN var_pop(quality_score) ELSE 0 END, 6) AS score_variance, round(min(quality_score), 6) AS score_min FROM scored GROUP BY source""")
-def average_by_trial(spark, sf_dir, rows=responses):
-    """Sources as trials; sentences stand for pattern hits where none were counted."""
-    found = rows(spark, sf_dir).withColumnRenamed("source", "trial")
-    return rounded(R.average_by_trial(found if "lazy_pattern_count" in found.columns else found.withColumn("lazy_pattern_count", F.col("sentence_count"))))
+_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in [*R.AVERAGED_METRICS, "response_length"])
+
+
+@query("average_by_trial", f"""{O.FULL} SELECT source AS trial, {_MEANS}, CAST(sum(lazy_pattern_count) AS BIGINT) AS lazy_pattern_count, round(avg(quality_score), 6) AS mean_score,
+  round(CASE WHEN count(*) > 1 THEN var_pop(quality_score) ELSE 0 END, 6) AS score_variance, round(min(quality_score), 6) AS score_min FROM scored GROUP BY source""")
+def average_by_trial(spark, sf_dir):
+    """Sources as trials."""
+    return rounded(R.average_by_trial(responses(spark, sf_dir).withColumnRenamed("source", "trial")))
 
 
 _PATS = " UNION ALL ".join(f"SELECT source AS trial, doc_id, {O.q(p)} AS pattern, (len(lower(t)) - len(replace(lower(t), {O.q(p)}, ''))) // {len(p)} AS n FROM d" for p in FREQUENT.literals)
@@ -290,8 +289,8 @@ def pattern_frequency(spark, sf_dir):
 
 @query("histogram", f"""{O.FULL}, e AS (SELECT min(quality_score) AS lo, max(quality_score) AS hi FROM scored), b AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(19, CAST(floor((quality_score - lo) / ((hi - lo) / 20)) AS BIGINT)) END AS bin FROM scored, e)
   SELECT CAST(k AS BIGINT) AS bin, round(lo + k * (hi - lo) / 20, 6) AS low, round(lo + (k + 1) * (hi - lo) / 20, 6) AS high, (SELECT count(*) FROM b WHERE bin = k) AS n FROM e, (SELECT unnest(range(20)) AS k)""")
-def histogram(spark, sf_dir, rows=responses):
-    return rounded(R.histogram(rows(spark, sf_dir), "quality_score", 20))
+def histogram(spark, sf_dir):
+    return rounded(R.histogram(responses(spark, sf_dir), "quality_score", 20))
 
 
 @query("box_stats", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, quantile_cont(CAST(response_length AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(response_length AS DOUBLE), 0.5) AS median, quantile_cont(CAST(response_length AS DOUBLE), 0.75) AS q3 FROM scored GROUP BY ALL)
@@ -337,25 +336,19 @@ def trial_summary(spark, sf_dir):
     return rounded(S.trial_summary(S.trials_frame(_trials(spark, sf_dir))))
 
 
-@query("revalidation", f"WITH {_TRIALS} SELECT trial, round(value, 6) AS value FROM trials WHERE state = 'COMPLETE' AND trial < 400 ORDER BY value DESC, trial LIMIT 3")
+@query("revalidation", f"WITH {_TRIALS} SELECT trial, round(value, 6) AS value FROM trials WHERE state = 'COMPLETE' AND trial < 12 ORDER BY value DESC, trial LIMIT 3")
 def revalidation(spark, sf_dir):
     rows = _trials(spark, sf_dir).withColumn("num_prompts_evaluated", F.lit(1))
-    return rounded(S.revalidation(rows, 400, 3).select("trial", "value"))
+    return rounded(S.revalidation(rows, 12, 3).select("trial", "value"))
 
 
-@query("progress", f"""WITH {_TRIALS}, f AS (SELECT * FROM trials WHERE trial < 500), r AS (SELECT trial, max(CASE WHEN state = 'COMPLETE' THEN value END) OVER w AS best, CAST(sum(CASE WHEN state = 'PRUNED' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS pruned,
-  row_number() OVER (ORDER BY trial) AS n FROM f WINDOW w AS (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT trial, round(best, 6) AS best, pruned FROM r WHERE n % 5 = 0""")
+@query("progress", f"""WITH {_TRIALS}, r AS (SELECT trial, max(CASE WHEN state = 'COMPLETE' THEN value END) OVER w AS best, CAST(sum(CASE WHEN state = 'PRUNED' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS pruned,
+  row_number() OVER (ORDER BY trial) AS n FROM trials WINDOW w AS (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT trial, round(best, 6) AS best, pruned FROM r WHERE n % 5 = 0""")
 def progress(spark, sf_dir):
-    """The first 500 trials, as the SQL has it; progress_all has them all."""
-    return rounded(S.progress(_trials(spark, sf_dir).where("trial < 500")))
-
-
-@query("progress_all")
-def progress_all(spark, sf_dir):
     return rounded(S.progress(_trials(spark, sf_dir)))
 
 
-@query("convergence", f"""WITH RECURSIVE {_TRIALS}, f AS (SELECT *, row_number() OVER (ORDER BY trial) AS i FROM trials WHERE trial < 400),
+@query("convergence", f"""WITH RECURSIVE {_TRIALS}, f AS (SELECT *, row_number() OVER (ORDER BY trial) AS i FROM trials),
   fold(i, seen, best, done, total, stop) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0, 0, CAST(NULL AS BIGINT)
     UNION ALL SELECT i, seen, CASE WHEN better THEN seen ELSE best END, d, t, CASE WHEN d >= 25 OR t >= 50 THEN trial END FROM (
       SELECT *, CASE WHEN better THEN 0 ELSE done + c END AS d, CASE WHEN better THEN 0 ELSE total + 1 END AS t FROM (
@@ -367,12 +360,12 @@ def convergence(spark, sf_dir):
 
 
 @query("median_prune", f"""WITH {_TURNS}, r AS (SELECT trial, step, avg(quality_score) OVER w AS value FROM turns WINDOW w AS (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  b AS (SELECT *, max(value) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM r WHERE trial < 200),
+  b AS (SELECT *, max(value) OVER (PARTITION BY trial ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM r),
   h AS (SELECT b.trial, b.step, b.best, median(o.value) AS median, count(*) AS n FROM b JOIN b o ON o.step = b.step AND o.trial < b.trial WHERE b.step >= 1 GROUP BY ALL)
   SELECT trial, step, round(best, 6) AS best, round(median, 6) AS median, best < median AS prune FROM h WHERE n >= 10""")
 def median_prune(spark, sf_dir):
-    """Conversations as trials, their assistant turns as steps; a study of 200 trials."""
-    steps = R.running_mean(_turns(spark, sf_dir), "trial", "step", "quality_score").where("trial < 200").select("trial", "step", F.col("running_mean").alias("value"), F.lit("COMPLETE").alias("state"))
+    """Conversations as trials, their assistant turns as steps."""
+    steps = R.running_mean(_turns(spark, sf_dir), "trial", "step", "quality_score").select("trial", "step", F.col("running_mean").alias("value"), F.lit("COMPLETE").alias("state"))
     return rounded(S.median_prune(steps))
 
 
@@ -390,17 +383,6 @@ def select_prompts(spark, sf_dir):
 
 # --- extension -------------------------------------------------------------------------------------------------------
 @query("quality_rollup", f"{O.FULL} SELECT source, lang, round(avg(quality_score), 6) AS avg_quality, count(*) AS n FROM scored GROUP BY ROLLUP (source, lang)")
-def quality_rollup(spark, sf_dir, rows=responses):
+def quality_rollup(spark, sf_dir):
     """EXTENSION: means by source and language, by source, and overall."""
-    return rounded(rows(spark, sf_dir).rollup("source", "lang").agg(F.avg("quality_score").alias("avg_quality"), F.count("*").alias("n")))
-
-
-# --- reports over all families; no SQL has the standard patterns' back-references ---------------------------------------
-def _full(f, **more):
-    return lambda spark, sf_dir: f(spark, sf_dir, rows=full_responses, **more)
-
-
-for _f in (best_configs, chat_configs, summary_stats, correlations, worst_band, average_by_trial, histogram, quality_rollup):
-    QUERIES[f"{_f.__name__}_full"] = _full(_f)
-QUERIES["calibration_full"] = _full(calibration, metrics=R.CALIBRATION_METRICS)
-QUERIES["calibration_pivot_full"] = _full(calibration_pivot, metrics=R.COMPARED_METRICS)
+    return rounded(responses(spark, sf_dir).rollup("source", "lang").agg(F.avg("quality_score").alias("avg_quality"), F.count("*").alias("n")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from proseline.functions import lint as L
+from proseline.functions.lazy import STANDARD
 from proseline.functions.metrics import E_WEIGHTS, SPIKE_STOPWORDS, TELLING_VERBS
 
 SP = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
@@ -68,13 +69,10 @@ REPETITION = f"""r AS (SELECT *,
   CASE WHEN len(w) > 1 AND len(s) >= 2 THEN 1 - len(list_distinct(list_transform(s, lambda y: regexp_replace(lower(y), '{SP}+', ' ', 'g')))) / len(s) ELSE 0 END AS dup,
   CASE WHEN len(w) >= 60 THEN 1 - len(list_distinct(list_transform(range(1, len(w) - 28), lambda i: array_to_string(w[i : i + 29], ' ')))) / (len(w) - 29) ELSE 0 END AS seq
   FROM c)"""
-SCORED = f"""x AS (SELECT *, {COHERENCE} AS coherence_score, {READABILITY} AS readability_score,
+CHEAP = f"""x AS (SELECT *, {COHERENCE} AS coherence_score, {READABILITY} AS readability_score,
   greatest(tok * 0.4 + bi * 0.3 + tri * 0.2 + run * 0.1, dup, seq) AS repetition_penalty, len(t) AS response_length FROM r),
-scored AS (SELECT doc_id, source, lang, coherence_score, readability_score, repetition_penalty, response_length, len(w) AS n_words, len(s) AS sentence_count,
-  (coherence_score * 0.25 + readability_score * 0.15 + 0.4 + 0.2) * (1 - repetition_penalty) AS quality_score,
-  0.1 * (doc_id % 5) AS temperature, 0.05 * (doc_id % 3) AS min_p, 0.25 * (doc_id % 2) AS adaptive_target, doc_id % 10 <> 0 AS success FROM x)"""
+cheap AS (SELECT doc_id, source, lang, coherence_score, readability_score, repetition_penalty, response_length, len(s) AS sentence_count, tok, bi, tri, run, dup, seq FROM x)"""
 BASE = f"WITH {DOCS}, {PARTS}, {LENGTHS}, {CV}"
-FULL = f"{BASE}, {REPETITION}, {SCORED}"
 
 SENTENCE_STATS = f"""{BASE} SELECT doc_id, CAST(len(k) AS BIGINT) AS sentence_count, round(coalesce(list_avg(k), 0), 6) AS avg_sentence_length, round(v, 6) AS sentence_length_variation,
   round({COHERENCE}, 6) AS coherence_score FROM c"""
@@ -115,16 +113,30 @@ PROSE_Q = f"{PROSE} SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in [
 
 
 # --- stock phrases ---------------------------------------------------------------------------------------------------
-def lazy(literals, regexes) -> str:
-    hit = " + ".join([f"(len(lower(t)) - len(replace(lower(t), {q(s.lower())}, ''))) // {len(s)}" for s in literals] + [n("t", r, "i") for r in regexes] or ["0"])
-    return f"""{BASE}, z AS (SELECT doc_id, {hit} AS hits, greatest(0, ({hit}) / (greatest(len(w), 1) / 100.0) - 0.3) AS excess FROM p)
-SELECT doc_id, round(CAST(1 - 1 / (1 + excess / 2) AS DOUBLE), 6) AS lazy_score, hits > 0 AS has_lazy_text, CAST(hits AS BIGINT) AS lazy_pattern_count FROM z"""
+_W = r"[\p{L}\p{N}_]+"
+_NOT_W = r"[^\p{L}\p{N}_\s\v\x1c-\x1f\x{85}\p{Z}]+"
+_HEAD, _GAP = r"(?:^|\n|[.!?]\s+)", r"(?:[^\p{L}\p{N}_.!?][^.!?]*)?[.!?]\s+"
+#: The two standard regexes with back-references, which RE2 lacks: a word three times or more in a row (runs in the list of words and
+#: other signs), and three sentences that begin with the same word (a pattern for each word
+#: that begins one; a mark before every full stop takes the place of the boundary after the third).
+_THRICE = f"len(regexp_extract_all(array_to_string(list_transform(range(2, len(tk) + 1), lambda i: CASE WHEN tk[i] = tk[i - 1] AND regexp_matches(tk[i], '^{_W}') THEN '1' ELSE '0' END), ''), '1{{2,}}'))"
+_STARTS = f"coalesce(list_sum(list_transform(list_filter(list_distinct(st), lambda x: len(list_filter(st, lambda y: y = x)) >= 3), lambda x: len(regexp_extract_all(marked, '{_HEAD}' || x || '{_GAP}' || x || '{_GAP}' || x || '(?:[^\\p{{L}}\\p{{N}}_]|$)')))), 0)"
 
 
-# --- linter ----------------------------------------------------------------------------------------------------------
-_W = r"[\p{L}\p{N}_]+"
+def lazy_table(literals, regexes) -> str:
+    """doc_id, hits, lazy_score of z."""
+    counted = [f"(len(low) - len(replace(low, {q(s.lower())}, ''))) // {len(s)}" for s in literals]
+    for r in regexes:
+        counted.append(_THRICE if r.startswith(r"\b(\w+)(?:\s+\1)") else _STARTS if r"\1" in r else n("t", r, "i"))
+    return f"""{BASE}, y AS (SELECT *, lower(t) AS low, regexp_extract_all(lower(t), '{_W}|{_NOT_W}') AS tk, regexp_extract_all(lower(t), '{_HEAD}({_W})', 1) AS st, regexp_replace(lower(t), '([.!?])', chr(1) || '\\1', 'g') AS marked FROM p), y1 AS (SELECT doc_id, w, {' + '.join(counted) or '0'} AS hits FROM y),
+z AS (SELECT doc_id, hits, greatest(0, hits / (greatest(len(w), 1) / 100.0) - 0.3) AS excess FROM y1)"""
+
+
+def lazy(literals, regexes) -> str:
+    return f"""{lazy_table(literals, regexes)} SELECT doc_id, round(CAST(1 - 1 / (1 + excess / 2) AS DOUBLE), 6) AS lazy_score, hits > 0 AS has_lazy_text, CAST(hits AS BIGINT) AS lazy_pattern_count FROM z"""
 
 
+# --- linter ----------------------------------------------------------------------------------------------------------
 def _line_runs(pattern: str, least: int) -> str:
     """Number of maximal runs of matching lines: the lines as a string of 1 and 0."""
     flags = f"array_to_string(list_transform({lines('t')}, lambda x: CASE WHEN regexp_matches(x, {q(pattern)}) THEN '1' ELSE '0' END), '')"
@@ -177,10 +189,21 @@ LINT_COUNTS = f"""{LINT} SELECT doc_id, {', '.join(f'{_ZERO(e)} AS {k}' for k, e
 LINT_SCORE = f"{LINT} SELECT doc_id, CAST(score AS BIGINT) AS score, {_BAND} AS band, CAST(wc AS BIGINT) AS word_count, round(CASE WHEN wc < 10 THEN 0 ELSE CAST(weighted AS DOUBLE) END, 2) AS weighted_sum FROM lint"
 
 
-def quality(literals, regexes) -> str:
-    with_ = lambda sql: sql.removeprefix("WITH ")
-    own = lambda sql, name: f"{name} AS (WITH {with_(sql)})"
-    tables = [own(f"{FULL} SELECT * FROM scored", "qa"), own(f"{PROSE} SELECT doc_id, prose_penalty FROM prose", "qb"), own(lazy(literals, regexes).replace("round(CAST(1 - 1 / (1 + excess / 2) AS DOUBLE), 6)", "CAST(1 - 1 / (1 + excess / 2) AS DOUBLE)"), "qc"), own(f"{LINT} SELECT doc_id, score FROM lint", "qd")]
-    return f"""WITH {', '.join(tables)} SELECT doc_id, round(CASE WHEN response_length > 0 THEN
-  (coherence_score * 0.25 + readability_score * 0.15 + (1 - lazy_score) * 0.40 + score / 100.0 * 0.20) * (1 - repetition_penalty) * (1 - prose_penalty) ELSE 0 END, 6) AS quality_score
-FROM qa JOIN qb USING (doc_id) JOIN qc USING (doc_id) JOIN qd USING (doc_id)"""
+#: Violations that are recorded.
+_FOUND = " + ".join(k for k in _RULES if k not in ("setup_resolution", "pithy_fragment", "quotes")) + " + least(5, setup_resolution) + least(3, pithy_fragment) + CASE WHEN quotes >= 3 THEN 1 ELSE 0 END + phrase_reuse"
+
+
+def _own(name: str, sql: str) -> str:
+    return f"{name} AS ({sql})"
+
+
+#: scored: every metric of every document with the standard patterns, and the parameters that reports derive from the id.
+FULL = f"""WITH {', '.join([
+    _own('qa', f'{BASE}, {REPETITION}, {CHEAP} SELECT * FROM cheap'),
+    _own('qb', f'{PROSE} SELECT * FROM prose'),
+    _own('qc', f'{lazy_table(STANDARD.literals, STANDARD.regexes)} SELECT doc_id, hits AS lazy_pattern_count, CAST(1 - 1 / (1 + excess / 2) AS DOUBLE) AS lazy_score FROM z'),
+    _own('qd', f'{LINT} SELECT doc_id, score, CASE WHEN wc < 10 THEN 0 ELSE {_FOUND} END AS n_found FROM lint'),
+])}, qe AS (SELECT *, CASE WHEN response_length > 0 THEN CAST(score AS DOUBLE) ELSE 50.0 END AS lint_score, CASE WHEN response_length > 0 THEN n_found ELSE 0 END AS lint_violations
+  FROM qa JOIN qb USING (doc_id) JOIN qc USING (doc_id) JOIN qd USING (doc_id)),
+scored AS (SELECT *, CASE WHEN response_length > 0 THEN (coherence_score * 0.25 + readability_score * 0.15 + (1 - lazy_score) * 0.40 + lint_score / 100.0 * 0.20) * (1 - repetition_penalty) * (1 - prose_penalty) ELSE 0 END AS quality_score,
+  0.1 * (doc_id % 5) AS temperature, 0.05 * (doc_id % 3) AS min_p, 0.25 * (doc_id % 2) AS adaptive_target, doc_id % 10 <> 0 AS success FROM qe)"""

@@ -30,14 +30,14 @@ def test_full_reports(spark):
     from proseline.operators import reports as R
 
     rows = score(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "source", *R.CALIBRATION_METRICS, "lazy_pattern_count").toPandas()
-    got = QUERIES["average_by_trial_full"](spark, DATA).toPandas().set_index("trial")
+    got = QUERIES["average_by_trial"](spark, DATA).toPandas().set_index("trial")
     means = rows.groupby("source")[["quality_score", "lazy_score", "prose_penalty", "lint_score"]].mean()
     for k in means.columns:
         assert ((got["mean_score" if k == "quality_score" else k] - means[k]).abs() < 2e-6).all()
     assert (got["lazy_pattern_count"].sort_index() == rows.groupby("source")["lazy_pattern_count"].sum()).all()
     labels = spark.read.parquet(f"{DATA}/labels.parquet").toPandas()
     merged = rows.merge(labels, on="doc_id")
-    found = {(r["corpus"], r["metric"]): r["mean"] for r in QUERIES["calibration_full"](spark, DATA).collect()}
+    found = {(r["corpus"], r["metric"]): r["mean"] for r in QUERIES["calibration"](spark, DATA).collect()}
     assert {m for _, m in found} == set(R.CALIBRATION_METRICS)
     for (corpus, metric), mean in found.items():
         assert abs(mean - merged[merged["quality"] == corpus][metric].mean()) < 2e-6

@@ -126,3 +126,40 @@ def test_whole_standard_list(spark):
     names = {x.lower() for x in once}
     have = [sum(h["n"] for h in r["lazy_patterns_found"] if h["pattern"].lower() in names) for r in got]
     assert have == want and have[0] >= 4 and have[1] == 0 and min(have[2:]) >= 1
+
+
+def test_standard_patterns_against_plain_python(spark):
+    """Every standard literal and regex, back-references included, against Python's own counts."""
+    import re
+
+    from proseline.functions.lazy import STANDARD, lazy
+    from tests.conftest import DATA
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    odd = ["As an AI, I cannot. The sky. The sea. The end!!!! no no no", "", None, "eyes of steel... so it goes ...", "He muttered softly; slowly reached. tasted like iron and salt", "Not today, not ever"]
+    rows = rows.unionByName(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    for r in rows.withColumn("m", lazy(F.col("text"))).collect():
+        text = r["text"] or ""
+        want = [(s, text.lower().count(s.lower())) for s in STANDARD.literals] + [(p, len(list(re.finditer(p, text, re.I)))) for p in STANDARD.regexes]
+        assert [tuple(h) for h in r["m"]["lazy_patterns_found"]] == [(p, n) for p, n in want if n], r["doc_id"]
+
+
+def test_unusable_patterns(spark, tmp_path, monkeypatch):
+    """What can't be read means the fallback, and a regex that doesn't compile is passed over."""
+    import builtins
+
+    from proseline.functions.lazy import PatternSet, lazy, load_patterns
+
+    def loaded(text):
+        (tmp_path / "p.yaml").write_text(text)
+        return load_patterns(str(tmp_path / "p.yaml"))
+
+    for text in ("literal_strings: 5", "- a\n- b", "", "literal_strings: [1, 2]", "{", "regex_patterns: {a: b}"):
+        assert loaded(text) == PatternSet()
+    assert load_patterns(str(tmp_path / "none.yaml")) == PatternSet()
+    real = builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError(name)) if name == "yaml" else real(name, *a, **k))
+    assert loaded("literal_strings: [a]") == PatternSet()
+    monkeypatch.undo()
+    found = spark.createDataFrame([("a b a",)], "t string").select(lazy(F.col("t"), PatternSet(("b",), ("(", "a", "(?P<x>a)"))).alias("m")).first()["m"]
+    assert [tuple(h) for h in found["lazy_patterns_found"]] == [("b", 1), ("a", 2)]

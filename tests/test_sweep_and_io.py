@@ -64,7 +64,7 @@ def test_whole_studies(spark):
             best = max(value, best or value)
         if n % 5 == 0:
             want[trial] = (round(best, 6), pruned)
-    got = {r["trial"]: (r["best"], r["pruned"]) for r in catalog.progress_all(spark, "/root/testdata/sf0.01").collect()}
+    got = {r["trial"]: (r["best"], r["pruned"]) for r in catalog.progress(spark, "/root/testdata/sf0.01").collect()}
     assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 2e-6 and got[k][1] == want[k][1] for k in want)
     picked = catalog.select_prompts(spark, "/root/testdata/sf0.01")
     assert picked.select("trial").distinct().count() == len(orders) and picked.count() == 12 + 3 * (len(orders) - 12)
