@@ -139,6 +139,12 @@ def pattern_frequency(df: DataFrame, trial: str = "trial", hits: str = "lazy_pat
     return few.join(F.broadcast(n)).select("pattern", "hits", "trials", (F.col("trials") * 100.0 / F.col("n_trials")).alias("percent"))  # one row on the other side
 
 
+def eval_summary(responses: DataFrame, score_col: str, valid: Column) -> DataFrame:
+    """One row over all prompts: how many there are, how many had a valid response, and the mean, least and largest score of those."""
+    value = F.when(valid, F.col(score_col))
+    return responses.agg(F.count("*").alias("prompts"), F.count(value).alias("evaluated"), F.avg(value).alias("mean_score"), F.min(value).alias("min_score"), F.max(value).alias("max_score"))
+
+
 def interpretation(temperature: Column, repetition: Column, coherence: Column) -> Column:
     """The report's words for a configuration."""
     return F.struct(

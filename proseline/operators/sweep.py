@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proseline.functions import arrow  # noqa: F401 - functions that go to workers travel by value
-from proseline.functions.score import composite
+from proseline.functions.lazy import STANDARD, PatternSet
+from proseline.functions.score import composite, score
+from proseline.functions.text import valid_response
 
 NATIVE_PARAMETERS = ("temperature", "top_p", "max_tokens", "presence_penalty", "frequency_penalty")
 TRIAL_DEFAULTS = {
@@ -82,12 +84,32 @@ def select_prompts(trials: DataFrame, prompts: DataFrame, mode: str, k: int, stu
 
 
 def trials_frame(trials: DataFrame) -> DataFrame:
-    """Completed trials with defaults for what they lack and the overall score. trials: trial, state, value and any metrics."""
+    """Completed trials with defaults for what they lack, their parameters as columns, the first response and the overall score.
+
+    trials: trial, state, value, and any of the metrics, parameters (a struct) and response_texts (a map)."""
     done = trials.where("state = 'COMPLETE'")
+    if "parameters" in trials.columns:
+        done = done.select(*[c for c in trials.columns if c != "parameters"], "parameters.*")
     for name, default in TRIAL_DEFAULTS.items():
         done = done.withColumn(name, F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in trials.columns else F.lit(default))
+    for name, default in (("lint_band", "unknown"), ("prompt_mode", "single")):
+        done = done.withColumn(name, F.coalesce(F.col(name), F.lit(default)) if name in trials.columns else F.lit(default))
+    first = F.coalesce(F.get(F.map_values("response_texts"), F.lit(0)), F.lit("")) if "response_texts" in trials.columns else F.lit("")
     overall = composite(F.col("coherence_score"), F.col("readability_score"), F.col("lazy_score"), F.col("lint_score"), F.col("repetition_penalty"), F.col("prose_penalty"), (0.2, 0.2, 0.3, 0.3))
-    return done.withColumn("overall_score", overall)
+    return done.withColumn("response_text", first).withColumn("overall_score", overall)
+
+
+def objective(responses: DataFrame, text_col: str = "text", least: int = 20, floor: float = 0.1, patterns: PatternSet = STANDARD) -> DataFrame:
+    """What a trial is worth, from its responses (trial and the text; other columns are left out): prompts, failed_prompts, mean_score,
+    score_variance, score_min and the state. Responses of fewer than ``least`` characters fail; a trial without a valid response, or
+    with a mean under ``floor``, is pruned. Texts are scored where they are; one shuffle of partial sums by trial."""
+    rows = responses.select("trial", F.when(valid_response(F.col(text_col), least), F.col(text_col)).alias("text"))
+    scored = score(rows, patterns=patterns).select("trial", F.when(F.col("text").isNotNull(), F.col("quality_score")).alias("value"))
+    stats = scored.groupBy("trial").agg(
+        F.count("*").alias("prompts"), F.count_if(F.col("value").isNull()).alias("failed_prompts"), F.avg("value").alias("mean_score"),
+        F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("score_variance"), F.min("value").alias("score_min"),
+    )
+    return stats.withColumn("state", F.when(F.col("mean_score") >= floor, "COMPLETE").otherwise("PRUNED"))
 
 
 def trial_summary(frame: DataFrame) -> DataFrame:

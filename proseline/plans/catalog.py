@@ -374,6 +374,26 @@ def failures(spark, sf_dir):
     return S.failures(table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "trial"), T.valid_response(F.col("text"), 120))
 
 
+_TURN_DOCS = f"""WITH documents AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS doc_id, text, CAST(conv_id AS VARCHAR) AS source,
+  CASE WHEN len({O.strip('text')}) >= 20 THEN 'valid' ELSE 'failed' END AS lang FROM conversations), qa AS"""
+
+
+@query("objective", f"""{O.FULL.replace('WITH qa AS', _TURN_DOCS, 1)}, o AS (SELECT CAST(source AS BIGINT) AS trial, count(*) AS prompts, count(*) FILTER (WHERE lang = 'failed') AS failed_prompts, avg(quality_score) FILTER (WHERE lang = 'valid') AS m,
+  coalesce(var_pop(quality_score) FILTER (WHERE lang = 'valid'), 0) AS v, min(quality_score) FILTER (WHERE lang = 'valid') AS score_min FROM scored GROUP BY source)
+  SELECT trial, prompts, failed_prompts, round(m, 6) AS mean_score, round(v, 6) AS score_variance, round(score_min, 6) AS score_min, CASE WHEN m >= 0.1 THEN 'COMPLETE' ELSE 'PRUNED' END AS state FROM o""")
+def objective(spark, sf_dir):
+    """Conversations as trials, their turns as responses."""
+    return rounded(S.objective(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trial"), "text")))
+
+
+@query("eval_summary", f"""WITH e AS (SELECT len({O.words("coalesce(text, '')")}) / 100.0 AS s, len({O.strip('text')}) >= 10 AS ok FROM conversations)
+  SELECT count(*) AS prompts, count(*) FILTER (WHERE ok) AS evaluated, round(avg(s) FILTER (WHERE ok), 6) AS mean_score, round(min(s) FILTER (WHERE ok), 6) AS min_score, round(max(s) FILTER (WHERE ok), 6) AS max_score FROM e""")
+def eval_summary(spark, sf_dir):
+    """Turns as prompts, with a word count for a score."""
+    rows = table(spark, sf_dir, "conversations").select("text", (F.size(T.words(F.coalesce("text", F.lit("")))) / 100.0).alias("score"))
+    return rounded(R.eval_summary(rows, "score", T.valid_response(F.col("text"), 10)))
+
+
 @query("select_prompts")
 def select_prompts(spark, sf_dir):
     known = {f"p{i}": {"text": f"prompt {i}", "category": "Test"} for i in range(8)}

@@ -90,6 +90,23 @@ def test_prune_revalidate_and_summary(spark):
     assert r["native"] == {"temperature": 1.0} and r["extra_body"] == {"min_p": 0.1, "x": 2.0}
 
 
+def test_trials_frame_columns(spark):
+    """Parameters become columns, missing attributes their defaults, and the first response is there."""
+    rows = spark.sql("SELECT 1L AS trial, 'COMPLETE' AS state, 0.5D AS value, named_struct('temperature', 1.5D, 'min_p', 0.1D) AS parameters, map('p1', 'first', 'p2', 'second') AS response_texts, 0.25D AS score_min, CAST(NULL AS DOUBLE) AS lint_score")
+    r = S.trials_frame(rows).first().asDict()
+    want = {"trial": 1, "value": 0.5, "temperature": 1.5, "min_p": 0.1, "response_text": "first", "score_min": 0.25, "lint_score": 50.0, "lint_band": "unknown", "lint_violations": 0.0, "prompt_mode": "single", "num_prompts_evaluated": 1.0}
+    assert all(r[k] == v for k, v in want.items()) and len(set(S.TRIAL_DEFAULTS) - set(r)) == 0
+
+
+def test_objective_prunes(spark):
+    text = "The sky was wide and blue over the hills. A small dog ran after the cart, and nobody called it back."
+    rows = spark.createDataFrame([(1, text), (1, "short"), (2, " short "), (2, None), (3, text)], "trial long, text string")
+    got = {r["trial"]: r for r in S.objective(rows).collect()}
+    assert (got[1]["prompts"], got[1]["failed_prompts"], got[1]["state"]) == (2, 1, "COMPLETE") and got[1]["mean_score"] == got[3]["mean_score"] == got[1]["score_min"]
+    assert (got[2]["failed_prompts"], got[2]["mean_score"], got[2]["state"]) == (2, None, "PRUNED")
+    assert {r["state"] for r in S.objective(rows, floor=0.99).collect()} == {"PRUNED"}
+
+
 def test_worst_band_quirk_and_correlations(spark):
     df = spark.createDataFrame([(1, 1, "heavy"), (1, 2, "saturated"), (2, 1, "moderate"), (2, 2, "saturated")], "t int, o int, band string")
     got = {r["t"]: (r["worst_band"], r["worst_band_fixed"]) for r in R.worst_band(df, "t", "band", "o").collect()}
