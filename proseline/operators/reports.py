@@ -155,8 +155,8 @@ def interpretation(temperature: Column, repetition: Column, coherence: Column) -
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows, the same ones for the same seed: those whose md5 of seed and key comes first."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

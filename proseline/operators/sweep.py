@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import hashlib
 import os
 from dataclasses import dataclass
 
@@ -72,13 +71,12 @@ def prompt_pool(spark: SparkSession, config: dict, known: dict[str, dict]) -> tu
 
 
 def select_prompts(trials: DataFrame, prompts: DataFrame, mode: str, k: int, study: str, startup: int = 0) -> DataFrame:
-    """(trial, prompt, pos): all prompts, one, or k of them for each trial, chosen by a hash of study, trial and prompt; the first
+    """(trial, prompt, pos): all prompts, one, or k of them for each trial, chosen by the md5 of study, trial and prompt; the first
     ``startup`` trials keep one. Each trial meets the pool (its size is that of a configuration, not of the data)."""
-    seed = int(hashlib.md5(study.encode()).hexdigest()[:8], 16)
     take = {"all": 1 << 30, "random": 1}.get(mode, k)
     pool = prompts.agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("pool"))
     pairs = trials.select("trial").join(F.broadcast(pool)).select("trial", F.explode("pool").alias("p")).select("trial", F.col("p.id").alias("prompt"), F.col("p.pos").alias("pos"))
-    order = Window.partitionBy("trial").orderBy(F.col("pos") if mode == "all" else F.xxhash64(F.col("trial") + seed, "prompt"), "pos")
+    order = Window.partitionBy("trial").orderBy(F.col("pos") if mode == "all" else F.md5(F.concat_ws(":", F.lit(study), F.col("trial").cast("string"), "prompt")), "pos")
     n = F.when(F.col("trial") < startup, 1).otherwise(take)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
 

@@ -315,7 +315,7 @@ def interpretation(spark, sf_dir):
     return means.select("source", R.interpretation(F.lit(1.0), F.col("repetition_penalty"), F.col("coherence_score")).alias("i")).select("source", "i.repetition", "i.coherence")
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT doc_id, source FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 40")
 def seeded_sample(spark, sf_dir):
     return R.seeded_sample(docs(spark, sf_dir).select("doc_id", "source"), "doc_id", 40)
 
@@ -394,7 +394,9 @@ def eval_summary(spark, sf_dir):
     return rounded(R.eval_summary(rows, "score", T.valid_response(F.col("text"), 10)))
 
 
-@query("select_prompts")
+@query("select_prompts", f"""WITH {_TRIALS}, p AS (SELECT 'p' || CAST(k AS VARCHAR) AS prompt, CAST(k AS INT) AS pos FROM (SELECT unnest(range(8)) AS k)),
+  r AS (SELECT trial, prompt, pos, row_number() OVER (PARTITION BY trial ORDER BY md5('study:' || CAST(trial AS VARCHAR) || ':' || prompt), pos) AS rank FROM trials, p)
+  SELECT trial, prompt, pos FROM r WHERE rank <= CASE WHEN trial < 12 THEN 1 ELSE 3 END""")
 def select_prompts(spark, sf_dir):
     known = {f"p{i}": {"text": f"prompt {i}", "category": "Test"} for i in range(8)}
     prompts, mode, k = S.prompt_pool(spark, {}, known)
