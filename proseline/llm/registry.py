@@ -2,6 +2,7 @@
 
 from . import sql
 from .decontaminate import op1_decontamination
+from .hardneg import op12_hard_negatives
 from .langid import op8_language_id
 from .lattice import op5_lm_scores
 from .licences import op6_licences
@@ -9,6 +10,7 @@ from .mixing import op3_mixing
 from .neardup import op4_near_duplicates
 from .tokens import op9_token_counts
 from .toxicity import op10_toxicity
+from .urlfilter import op13_url_filter
 from .vectors import op7_embedding_duplicates
 from .warc import op2_warc
 
@@ -23,9 +25,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_url_filter": op13_url_filter,
 }
 ORACLE_SQL = {
     "op1_decontamination": sql.OP1,
     "op2_warc": sql.OP2,
     "op6_licences": sql.OP6,
+    "op12_hard_negatives": sql.OP12,
+    "op13_url_filter": sql.OP13,
 }

@@ -53,3 +53,23 @@ k AS (SELECT rid, count(DISTINCT licence) AS n, string_agg(DISTINCT licence, ','
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licences, coalesce(ids, '') AS licences, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best_dice
 FROM dw LEFT JOIN k USING (rid)
 """
+
+
+OP12 = """
+WITH r AS (SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rn AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+      FROM r a JOIN r b ON len(a.v) = len(b.v) AND a.rn <> b.rn WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, k ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.a = p.a AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+OP13 = rf"""
+WITH u AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(action, h, s) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+f AS (SELECT page_id, h || s AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY len(h || s) DESC, len(h) DESC) AS k FROM p JOIN r ON (host = h OR suffix(host, '.' || h)) AND prefix(path, s))
+SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id AND k = 1
+"""
