@@ -1,6 +1,7 @@
 """The operators' queries and, where SQL can express one, its DuckDB SQL."""
 
 from . import sql
+from .alignment import op11_alignment
 from .decontaminate import op1_decontamination
 from .hardneg import op12_hard_negatives
 from .langid import op8_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filter": op13_url_filter,
 }
@@ -32,6 +34,7 @@ ORACLE_SQL = {
     "op1_decontamination": sql.OP1,
     "op2_warc": sql.OP2,
     "op6_licences": sql.OP6,
+    "op11_alignment": op11_alignment,
     "op12_hard_negatives": sql.OP12,
     "op13_url_filter": sql.OP13,
 }
