@@ -97,21 +97,96 @@ def repetition_rates(text: Column) -> Column:
     return F.pandas_udf(run, "tok double, bi double, tri double, run double, seq double, dup double, enough boolean")(text)
 
 
+def phrases(words: list[str], at: np.ndarray, sizes: range, least: int, stop: set[str]) -> list[tuple[int, int, int]]:
+    """(n, count, first place) of the runs that repeated_phrases tells of. at: places where a recurring shortest run may begin, in order.
+
+    Runs are numbered size by size, each from the run that is one word shorter, at places where both shorter ones recur. Inside a longer run of
+    as many places a run is covered; as every one of its places then lies in the longer one, its first place tells. What else covers is a run that
+    holds it within its words (the first one's end and the last one's beginning); only runs with the same words between are tried."""
+    number: dict[str, int] = {}
+    w = np.array([number.setdefault(x, len(number)) for x in words], np.int64)
+    content = np.concatenate([[0], np.cumsum([x not in stop for x in words])])
+    at = at[at + sizes[0] <= len(w)]
+    ids = w[at]
+    for k in range(1, sizes[0]):
+        ids = np.unique(ids * len(number) + w[at + k], return_inverse=True)[1]
+    of, rows = {}, []
+    for n in sizes:
+        if n > sizes[0]:
+            next_to = np.zeros(len(w) + 1, bool)
+            next_to[at] = True
+            keep = next_to[at + 1] & (at + n <= len(w))
+            at, ids = at[keep], ids[keep]
+            ids = np.unique(ids * len(number) + w[at + n - 1], return_inverse=True)[1]
+        counts = np.bincount(ids)
+        keep = counts[ids] >= least if len(ids) else np.zeros(0, bool)
+        at, ids = at[keep], ids[keep]
+        place = np.full(len(w), -1)
+        place[at] = ids
+        of[n] = place, counts
+        first = np.unique(ids, return_index=True)[1]
+        rows.append(np.stack([np.full(len(first), n), counts[ids[first]], at[first]], 1).reshape(-1, 3))
+    every = np.concatenate(rows)
+    n, count, first = every[(content[every[:, 2] + every[:, 0]] > content[every[:, 2]])].T
+    covered = np.zeros(len(n), bool)
+    for size in sizes:
+        mine = np.flatnonzero(n == size)
+        for longer in range(size + 1, sizes[-1] + 1):
+            place, counts = of[longer]
+            for back in range(longer - size + 1):
+                q = first[mine] - back
+                r = np.where(q >= 0, place[q], -1)
+                covered[mine] |= (r >= 0) & (np.append(counts, -1)[r] >= count[mine])
+    for size in sizes:
+        _cover_within(words, w, len(number), n, count, first, covered, size)
+    order = np.lexsort((first, -count, -n))
+    return [(int(n[k]), int(count[k]), int(first[k])) for k in order.tolist() if not covered[k]]
+
+
+def _cover_within(words: list[str], w: np.ndarray, base: int, n: np.ndarray, count: np.ndarray, first: np.ndarray, covered: np.ndarray, size: int) -> None:
+    """Marks the runs of one size that a run of that size or more holds, not word by word: their first word ends one of its words, their last
+    word begins another, and the words between are the same."""
+    asked = np.flatnonzero((n == size) & ~covered)
+    holders = [(k, np.flatnonzero(n == k)) for k in np.unique(n[n >= size]).tolist()]
+    row = np.concatenate([[], *[np.repeat(r, k - size + 1) for k, r in holders]]).astype(np.int64)
+    begin = np.concatenate([[], *[(first[r][:, None] + np.arange(k - size + 1)).reshape(-1) for k, r in holders]]).astype(np.int64)
+    if not len(asked) or not len(row):
+        return
+    middle, theirs = w[first[asked] + 1], w[begin + 1]
+    for k in range(2, size - 1):  # the words between, numbered alike on both sides; what no run asked has drops out
+        middle, theirs = middle * base + w[first[asked] + k], theirs * base + w[begin + k]
+        kinds, middle = np.unique(middle, return_inverse=True)
+        spot = np.minimum(np.searchsorted(kinds, theirs), len(kinds) - 1)
+        keep = kinds[spot] == theirs
+        row, begin, theirs = row[keep], begin[keep], spot[keep]
+    groups: dict[int, dict[str, dict[str, int]]] = {}
+    for r, m in zip(asked.tolist(), middle.tolist(), strict=True):
+        groups.setdefault(m, {}).setdefault(words[first[r]], {})[words[first[r] + size - 1]] = r
+    alone = np.bincount(middle) == 1
+    only = np.zeros(len(alone), np.int64)
+    only[middle] = first[asked]
+    # where a group is one run, and that run itself stands here, there is nothing to find
+    here = alone[theirs] & (w[begin] == w[only[theirs]]) & (w[begin + size - 1] == w[only[theirs] + size - 1])
+    for r, b, m in zip(row[~here].tolist(), begin[~here].tolist(), theirs[~here].tolist(), strict=True):
+        a, z = words[b], words[b + size - 1]
+        for head in _among(groups[m], a, str.endswith, lambda x, k: x[k:]):
+            for tail in _among(groups[m][head], z, str.startswith, lambda x, k: x[: len(x) - k]):
+                k = groups[m][head][tail]
+                if k != r and count[r] >= count[k] and (n[r] > size or first[r] < first[k]):
+                    covered[k] = True
+
+
+def _among(known: dict, word: str, test, piece) -> list[str]:
+    """The strings of known that the word ends or begins with; as many steps as the smaller of both needs."""
+    if len(known) <= len(word):
+        return [x for x in known if test(word, x)]
+    return [x for x in (piece(word, k) for k in range(len(word))) if x in known]
+
+
 def repeated_phrases(low: Column, sizes: range, least: int, stopwords: tuple[str, ...]) -> Column:
     """array of (phrase, count, n): runs of n words (without outer punctuation, not stop words alone) that stand in a (lowered) text ``least``
     times or more, longest first, without those that a longer or earlier one covers."""
 
-    def of(words: list[str], at: list[int]) -> list[tuple]:
-        # a recurring longer run is made of recurring shortest ones, so only the places where those begin are looked at
-        marked, seen = set(at), {}
-        for n in sizes:
-            for i in at:
-                if all(i + k in marked for k in range(n - sizes[0] + 1)):
-                    seen.setdefault((n, " ".join(words[i : i + n])), []).append(i)
-        rows = [(-n, -len(places), places[0], gram) for (n, gram), places in seen.items() if len(places) >= least and not set(gram.split(" ")) <= stop]
-        covers = lambda o, r: (o[0] < r[0] or (o[0] == r[0] and o[2] < r[2])) and o[1] <= r[1] and r[3] in o[3]
-        return [{"phrase": g, "count": -c, "n": -n} for n, c, p, g in sorted(rows) if not any(covers(o, (n, c, p, g)) for o in rows)]
-
     stop = set(stopwords)
 
     def run(texts: pd.Series) -> pd.Series:
@@ -128,7 +203,8 @@ def repeated_phrases(low: Column, sizes: range, least: int, stopwords: tuple[str
         out = [[] for _ in words]
         for k in np.unique(own[often]).tolist():
             mine = often[np.searchsorted(often, begin[k]) : np.searchsorted(often, begin[k + 1])]
-            out[k] = of(words[k], (mine - begin[k]).tolist())
+            found = phrases(words[k], mine - begin[k], sizes, least, stop)
+            out[k] = [{"phrase": " ".join(words[k][p : p + n]), "count": c, "n": n} for n, c, p in found]
         return pd.Series(out)
 
     return F.pandas_udf(run, "array<struct<phrase:string,count:int,n:int>>")(low)
