@@ -42,13 +42,15 @@ probe AS (SELECT tid, pos, bg FROM (SELECT tid, pos, bg, row_number() OVER (PART
           FROM (SELECT tid, n, unnest(range(len(g))) AS pos, unnest(g) AS bg FROM t)) WHERE k = 1),
 dw AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
 dg AS (SELECT rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM dw WHERE len(w) >= 2),
-df AS (SELECT rid, bg, min(pos) AS pos FROM (SELECT rid, unnest(range(len(g))) AS pos, unnest(g) AS bg FROM dg) GROUP BY rid, bg),
-c AS (SELECT rid, tid FROM df JOIN (SELECT tid, m, unnest(b) AS bg FROM t) USING (bg) GROUP BY rid, tid, m HAVING count(*) >= m * 0.8 / 1.2 - 1e-9),
+df AS (SELECT rid, unnest(range(len(g))) AS pos, unnest(g) AS bg FROM dg),
+ds AS (SELECT DISTINCT rid, bg FROM df),
+c AS (SELECT rid, tid FROM ds JOIN (SELECT tid, m, unnest(b) AS bg FROM t) USING (bg) GROUP BY rid, tid, m HAVING count(*) >= m * 0.8 / 1.2 - 1e-9),
 st AS (SELECT DISTINCT rid, tid, greatest(0, df.pos - probe.pos) AS s FROM c JOIN probe USING (tid) JOIN df USING (rid, bg)),
 wi AS (SELECT rid, tid, licence, s, m, b, dg.g[s + 1 : s + n] AS a FROM st JOIN t USING (tid) JOIN dg USING (rid)),
 di AS (SELECT rid, tid, licence, s AS first, s + len(a) AS last, 2 * len(list_intersect(list_distinct(a), b)) - m AS lead_, 2.0 * len(list_intersect(list_distinct(a), b)) / (len(list_distinct(a)) + m) AS dice FROM wi),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid, tid ORDER BY dice DESC, lead_ DESC, first) AS k FROM di) WHERE k = 1 AND dice >= 0.8),
-r AS (SELECT * FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.rid = x.rid AND y.licence <> x.licence AND y.first < x.last AND x.first < y.last AND (y.lead_ > x.lead_ OR (y.lead_ = x.lead_ AND y.dice > x.dice)))),
+h AS (SELECT rid, list(struct_pack(lead_ := lead_, dice := dice, first := first, last := last, licence := licence) ORDER BY lead_ DESC, dice DESC, first, last, licence) AS hits FROM di WHERE dice >= 0.8 GROUP BY rid),
+r AS (SELECT rid, x.licence AS licence, x.dice AS dice FROM (SELECT rid, unnest(list_reduce(list_transform(hits, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y:
+        2 * (least(y.last, x[1].last) - greatest(y.first, x[1].first)) > least(y.last - y.first, x[1].last - x[1].first) AND NOT (y.lead_ = x[1].lead_ AND y.dice = x[1].dice AND y.licence <> x[1].licence))) > 0 THEN kept ELSE kept || x END)) AS x FROM h)),
 k AS (SELECT rid, count(DISTINCT licence) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS ids, max(dice) AS best FROM r GROUP BY rid)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licences, coalesce(ids, '') AS licences, round(CAST(coalesce(best, 0) AS DOUBLE), 6) AS best_dice
 FROM dw LEFT JOIN k USING (rid)
