@@ -29,7 +29,7 @@ import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
@@ -433,34 +433,58 @@ def write_warc(df: DataFrame, path: str) -> None:
 
 
 def find_revisits(pages: DataFrame, *, least: int = 100, id_col: str = "page_id", payload_col: str = "payload", scratch: Scratch | None = None) -> DataFrame:
-    """(id, refers_to) of the pages that revisit another: of equal payloads of at least ``least`` bytes all but the one with the smallest id.
+    """(id, digest, refers_to) of the pages that revisit another: of equal payloads of at least ``least`` bytes all but the one with the smallest id.
 
     Only ids and digests travel. Digests that hold a large share of the rows are few, whatever the table's size, and are joined by
-    broadcast, so a hot payload is in no task of its own. Ids that repeat count as one page each; rows with a null id are responses.
+    broadcast, so a hot payload is in no task of its own. Where ids repeat with one payload all rows of the smallest id are responses, and with several
+    payloads each is judged by itself; rows with a null id are responses.
     """
     scratch = scratch or Scratch(pages.sparkSession)
     digest = F.sha2(payload_col, 256).alias("digest")
     rows = scratch.save(pages.where((F.octet_length(payload_col) >= least) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), digest))
     heads = rows.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
-    return join_heads(rows, scratch.save(heads), "digest", rows.count()).where("id <> refers_to").select("id", "refers_to").distinct()
+    return join_heads(rows, scratch.save(heads), "digest", rows.count()).where("id <> refers_to").select("id", "digest", "refers_to").distinct()
 
 
 def mark_revisits(pages: DataFrame, *, least: int = 100, id_col: str = "page_id", payload_col: str = "payload", scratch: Scratch | None = None) -> DataFrame:
-    """pages with payload_bytes, payload_digest, record_type and refers_to; columns of these names are replaced."""
+    """pages with payload_bytes, payload_digest, record_type and refers_to; columns of these names are replaced.
+
+    Pages whose id and digest are not in a bitmap of the revisits' (at most 8 MB) are responses and stay where they are; only the others,
+    revisits but for a few, are joined."""
     added = ("payload_bytes", "payload_digest", "record_type", "refers_to")
     pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in added])
-    key, first = fresh(pages, "revisit_id"), "refers_to"
-    revisits = find_revisits(pages, least=least, id_col=id_col, payload_col=payload_col, scratch=scratch).withColumnRenamed("id", key)
-    joined = pages.join(revisits, F.col(id_col) == F.col(key), "left").drop(key)
+    scratch = scratch or Scratch(pages.sparkSession)
+    revisits = scratch.save(find_revisits(pages, least=least, id_col=id_col, payload_col=payload_col, scratch=scratch))
+    key = lambda i, d: F.xxhash64(F.col(i).cast("string"), d)
     sized = F.octet_length(payload_col).cast("long")
-    again = F.col(first).isNotNull() & (sized >= least)
-    return joined.select(*pages.columns, sized.alias("payload_bytes"), F.sha2(payload_col, 256).alias("payload_digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col(first)).alias("refers_to"))
+    marked = pages.select("*", sized.alias("payload_bytes"), F.sha2(payload_col, 256).alias("payload_digest"))
+    near = fresh(marked, "revisit_near")
+    marked = is_likely(marked, revisits.select(key("id", F.col("digest")).alias("key")), F.when(sized >= least, key(id_col, F.col("payload_digest"))), near)
+    again = revisits.select(F.col("id").alias(f"{near}_id"), F.col("digest").alias(f"{near}_digest"), "refers_to")
+    joined = marked.where(near).join(again, (F.col(id_col) == F.col(f"{near}_id")) & (F.col("payload_digest") == F.col(f"{near}_digest")), "left")
+    kinds = [F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to"]
+    kept = [*[F.col(f"`{c}`") for c in pages.columns], "payload_bytes", "payload_digest"]
+    alone = marked.where(~F.col(near)).withColumn("refers_to", F.lit(None).cast(pages.schema[id_col].dataType))
+    return joined.select(*kept, *kinds).unionByName(alone.select(*kept, *kinds))
+
+
+def is_likely(rows: DataFrame, keys: DataFrame, key: Column, name: str, bits: int = 1 << 26) -> DataFrame:
+    """rows with a column that tells whether the key is set in a bitmap of all keys (64-bit hashes): true for all that are among them and for
+    some others. The bitmap has ``bits`` bits in pieces of 32768, at most 8 MB, whatever the number of keys. A null key is not set."""
+    spot = lambda k: F.pmod(k, F.lit(bits))
+    pieces = keys.select(spot(F.col("key")).alias("s")).groupBy(F.floor(F.col("s") / 32768).alias("piece")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits"))
+    own = rows.withColumn(f"{name}_spot", spot(key))
+    at = F.col(f"{name}_spot") % 32768
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = own.join(F.broadcast(pieces.withColumnsRenamed({"piece": f"{name}_piece"})), F.floor(F.col(f"{name}_spot") / 32768) == F.col(f"{name}_piece"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(name))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages to archives in the shared folder and answers from the archives alone.
 
-    Responses are read with their payloads, whose digest and length are computed anew; revisits by their headers only.
+    Responses are read with their payloads, whose digest and length are computed anew; revisits by their headers only. Like every use of the
+    source it switches on the handing of filters to Python sources for the session (see ``register``).
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     scratch = Scratch(spark)
