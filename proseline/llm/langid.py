@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, fresh, shards, table
+from .common import Held, bucket_of, fresh, shards, table
 
 FEATURES_LOG2 = 16
 ORDERS = (1, 2, 3)
@@ -126,7 +126,7 @@ def add_rows(sums: np.ndarray, matrix: np.ndarray, g: np.ndarray, own: np.ndarra
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with a predicted language and its posterior; columns of those names are replaced."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (pred_col, score_col)])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Held(docs.sparkSession, model)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
@@ -153,15 +153,12 @@ def keep_wanted(docs: DataFrame, *, id_col: str = "doc_id", wanted: tuple[str, .
     """docs (with text and lang) whose predicted language is one of ``wanted`` with a posterior of ``least`` or more.
 
     A row's own label has no part in its prediction: labelled rows fall into two folds by their id, and each fold is judged by a
-    model that learned from the other. Only if the two halves don't teach the same languages (small tables), both are judged by
-    what all rows teach. Null ids are of the first fold. Rejected are other languages, texts without a letter and nulls.
+    model that learned from the other, and from nothing else: a language that stands in one fold only is not learned by its judge, and a
+    fold whose judge has learned nothing is rejected. Null ids are of the first fold. Rejected are other languages, texts without a letter and nulls.
     """
     fold = F.coalesce(bucket_of(id_col, 2), F.lit(0)).cast("int")
     halves = count_grams(docs, fold=fold)
     teach = [halves.get(1, {}), halves.get(0, {})]  # fold 0 is judged by fold 1
-    if set(teach[0]) != set(teach[1]):
-        names = sorted(set(teach[0]) | set(teach[1]))
-        teach = [{n: sum(t[n] for t in teach if n in t) for n in names}] * 2
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     parts = [predict(docs.where(fold == k), model_of(teach[k]), pred_col=pred, score_col=score) for k in (0, 1)]
     found = parts[0].unionByName(parts[1])

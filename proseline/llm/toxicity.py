@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bucket_of, fresh, mix64, shards, table, word_hashes, word_parts
+from .common import Held, Scratch, bucket_of, fresh, mix64, shards, table, word_hashes, word_parts
 
 ROWS_LOG2, PREFIXES = 16, (4, 6)
 PARTS = 2 + len(PREFIXES)
@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_w
 
 def calibrate(docs: DataFrame, marks: DataFrame, model: Filters) -> np.ndarray:
     """The thresholds by all labelled rows (marks: doc_id, toxic). Texts are scored where they are; only ids and bins are joined."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Held(docs.sparkSession, model)
 
     def run(batches):
         model = held.value
@@ -274,7 +274,7 @@ def calibrate(docs: DataFrame, marks: DataFrame, model: Filters) -> np.ndarray:
 def score(docs: DataFrame, model: Filters | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a column of scores; one of that name is replaced."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != score_col])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Held(docs.sparkSession, model)
 
     def run(batches):
         model = held.value
@@ -287,9 +287,16 @@ def score(docs: DataFrame, model: Filters | None, *, text_col: str = "text", sco
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier, trained on their labels, scores at 0.5 or more."""
-    model, name = train(docs, labels), fresh(docs, "toxic_score")
-    return score(docs, model, score_col=name).where(F.col(name) < 0.5).drop(name)
+    """docs without those that the classifier scores at 0.5 or more.
+
+    A row's own label has no part in its score: rows fall into two folds by their id, and each fold is judged by a classifier that learned
+    from the other fold's labels. Null ids are of the first fold. A fold whose judge has no labels of both kinds is kept whole."""
+    name, parts = fresh(docs, "toxic_score"), []
+    fold = lambda c: F.coalesce(bucket_of(c, 2), F.lit(0))
+    for k in (0, 1):
+        model = train(docs, labels.where(fold("doc_id") == 1 - k))
+        parts.append(score(docs.where(fold("doc_id") == k), model, score_col=name))
+    return parts[0].unionByName(parts[1]).where(F.col(name) < 0.5).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
