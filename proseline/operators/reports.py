@@ -5,10 +5,15 @@ Only these shuffle, and only partial aggregates or top-k rows do.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseline.functions.score import combo_score
+from proseline.sources.scratch import saved
+
+from .ordered import quantiles
 
 CONFIG_KEYS = ["temperature", "min_p", "adaptive_target"]
 CALIBRATION_METRICS = ["quality_score", "coherence_score", "readability_score", "lazy_score", "prose_penalty", "repetition_penalty", "lint_score"]
@@ -69,13 +74,15 @@ def chat_configs(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row of overall statistics; ranges as text."""
+    """One row of overall statistics; ranges as text. What is needed of df is written once; the median is exact, in bounded memory."""
+    wanted = ["success", "response_length", "quality_score", "repetition_penalty", "coherence_score", "readability_score", "overall_quality", *[c for c in [*CONFIG_KEYS, "top_nsigma"] if c in df.columns]]
+    df = saved(df.select(*wanted))
+    median = quantiles(df, [], "response_length", {"median_response_length": 0.5}).select("median_response_length")
     between = lambda c: F.concat(F.min(c).cast("string"), F.lit(" - "), F.max(c).cast("string"))
-    return df.agg(
+    one = df.agg(
         F.count("*").alias("total_requests"),
         F.avg(F.col("success").cast("int")).alias("success_rate"),
         F.avg("response_length").alias("avg_response_length"),
-        F.expr("percentile(response_length, 0.5)").alias("median_response_length"),
         F.min("response_length").alias("min_response_length"),
         F.max("response_length").alias("max_response_length"),
         *[between(c).alias(f"{c}_range") for c in [*CONFIG_KEYS, "top_nsigma"] if c in df.columns],
@@ -87,6 +94,7 @@ def summary(df: DataFrame) -> DataFrame:
         F.max("quality_score").alias("best_quality_score"),
         F.min("quality_score").alias("worst_quality_score"),
     )
+    return one.join(median, how="left")  # one row, and one or none
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -161,21 +169,51 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """bin (from 0), low, high, n; the last bin is closed. Bins without rows are there with 0."""
-    edges = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
     x = F.col(column).cast("double")
+    df = saved(df.select(x.alias("x")).where(x.isNotNull()))
+    x = F.col("x")
+    edges = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((x - F.col("lo")) / width))).cast("long")
-    counted = df.where(x.isNotNull()).join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row of edges
+    counted = df.join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row of edges
     every = edges.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return every.join(counted, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def density(df: DataFrame, columns: list[str], points: int = 200, cells: int = 2000) -> DataFrame:
+    """parameter, point (from 0), x, density: Gaussian kernel estimates of some columns, from the least value to the largest, with Scott's
+    bandwidth (the deviation of n - 1 times n to the power of -1/5).
+
+    Binned: a value's weight is shared by the two nodes of a grid of ``cells`` cells that it lies between (a value on a node is that node's). Weights
+    are sums that merge before they are shuffled, at most cells + 1 for a column; kernels are summed over the grid only. Values on nodes give the
+    estimate itself, others one that is off by the order of (cell / bandwidth)^2. A column of one value (no spread) or none gives no curve; nulls and NaN are no values."""
+    tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "parameter", "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    tall = saved(tall.groupBy("parameter", "v").agg(F.count("*").alias("w")))
+    mean = tall.groupBy("parameter").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
+    # a row for each of the columns named
+    near = tall.join(F.broadcast(mean), "parameter")
+    spread = near.groupBy("parameter", "lo", "hi", "n").agg(F.sqrt(F.sum(F.col("w") * (F.col("v") - F.col("mean")) ** 2) / (F.col("n") - 1)).alias("std")) if columns else near
+    shape = spread.where("n > 1 AND std > 0").select("parameter", "lo", "hi", "n", (F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"), ((F.col("hi") - F.col("lo")) / cells).alias("cell"))
+    at = (F.col("v") - F.col("lo")) / F.col("cell")
+    node = F.when(F.abs(at - F.round(at)) < 1e-9, F.round(at)).otherwise(F.floor(at)).cast("long")
+    share = F.when(F.abs(at - F.round(at)) < 1e-9, 0.0).otherwise(at - F.floor(at))
+    halves = F.explode(F.array(F.struct(node.alias("node"), (F.col("w") * (1.0 - share)).alias("w")), F.struct((node + 1).alias("node"), (F.col("w") * share).alias("w"))))
+    grid = tall.join(F.broadcast(shape), "parameter").select("parameter", "lo", "hi", "n", "bandwidth", "cell", halves.alias("g")).groupBy("parameter", "lo", "hi", "n", "bandwidth", "cell", "g.node").agg(F.sum("g.w").alias("w")).where("w > 0")
+    x = F.col("lo") + F.col("point") * ((F.col("hi") - F.col("lo")) / (points - 1))
+    curve = grid.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long")))).withColumn("x", x)
+    z = (F.col("x") - (F.col("lo") + F.col("node") * F.col("cell"))) / F.col("bandwidth")
+    return curve.groupBy("parameter", "point", "x").agg((F.sum(F.col("w") * F.exp(z * z * -0.5)) / (F.first("n") * F.first("bandwidth") * float(math.sqrt(2 * math.pi)))).alias("density"))
+
+
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Exact quartiles, whisker ends (1.5 times the box) and number of outliers by group."""
-    box = df.where(F.col(value).isNotNull()).groupBy(key).agg(*[F.expr(f"percentile({value}, {q})").alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    """Exact quartiles, whisker ends (1.5 times the box) and number of outliers by group. What is needed of df is written once."""
+    df = saved(df.select(F.col(key).alias("k"), F.col(value).alias("v")))
+    box = quantiles(df, ["k"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    few = df.where(F.col("k").isNotNull()).groupBy("k", "v").agg(F.count("v").alias("c"))  # a value's repeats are one row
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return df.join(box, key).groupBy(key, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("outliers"), F.count(value).alias("n"))
+    inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
+    out = few.join(box, "k").groupBy("k", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("outliers"), F.sum("c").alias("n"))
+    return out.withColumnRenamed("k", key)
 
 
 def top_report(df: DataFrame, title: str, by: str, ties: list[str], columns: list[str], n: int = 10, text: str | None = None, most: int = 2000) -> str:

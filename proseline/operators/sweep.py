@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
 import os
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from proseline.functions.lazy import STANDARD, PatternSet
 from proseline.functions.score import composite, score
 from proseline.functions.text import valid_response
 
+from .ordered import first_stop, running_medians
+
 NATIVE_PARAMETERS = ("temperature", "top_p", "max_tokens", "presence_penalty", "frequency_penalty")
 TRIAL_DEFAULTS = {
     "response_length": 0.0, "repetition_penalty": 0.0, "coherence_score": 0.0, "readability_score": 0.0, "lazy_score": 0.0, "lazy_pattern_count": 0.0,
@@ -124,65 +124,29 @@ def failures(responses: DataFrame, valid: Column) -> DataFrame:
     return responses.groupBy("trial").agg(F.count("*").alias("prompts"), F.count_if(~valid).alias("failed_prompts"), (F.count_if(valid) == 0).alias("all_failed"))
 
 
-def convergence(trials: DataFrame, patience: int, delta: float, chunk: int = 10_000) -> DataFrame:
+def convergence(trials: DataFrame, patience: int, delta: float) -> DataFrame:
     """Where a study stops: (stop_trial, best). Trials in order; only a completed one can improve, and only by more than delta over the
-    best that counted; patience completed trials without improvement, or twice as many completed and pruned ones, end it.
+    best that counted; patience completed trials without improvement, or twice as many completed and pruned ones, end it. stop_trial is
+    null if it goes on.
 
-    Order-dependent, so it is a fold, but one that ends at the stop: it takes ``chunk`` trials at a time from the lowest up and carries its
-    state over, so no task holds more than a chunk and trials past the stop are not folded. stop_trial is null if it goes on. Each chunk
-    is a job of its own, run when this is called.
+    Order-dependent, but composed from blocks of trials (``ordered.first_stop``): no task holds more than a block, and no job follows another's result.
     """
-    kept = trials.where("state IN ('COMPLETE', 'PRUNED')").select(F.struct("trial", "state", F.col("value").cast("double").alias("value")).alias("t"))
-    state = "struct<seen:double,best:double,done:int,total:int,stop:bigint>"
-
-    def step(a: Column, t: Column) -> Column:
-        complete = t["state"] == "COMPLETE"
-        seen = F.when(complete, F.greatest(a["seen"], t["value"])).otherwise(a["seen"])  # greatest passes nulls over
-        better = complete & (a["best"].isNull() | (seen > a["best"] + delta))
-        done = F.when(better, 0).otherwise(a["done"] + complete.cast("int"))
-        total = F.when(better, 0).otherwise(a["total"] + 1)
-        stop = F.when((done >= patience) | (total >= 2 * patience), t["trial"].cast("long"))
-        new = F.struct(seen.alias("seen"), F.when(better, seen).otherwise(a["best"]).alias("best"), done.alias("done"), total.alias("total"), stop.alias("stop"))
-        return F.when(a["stop"].isNotNull(), a).otherwise(new)
-
-    carried, left, spark = (None, None, 0, 0, None), kept.where("t.trial IS NOT NULL"), trials.sparkSession
-    while carried[4] is None:
-        end = left.orderBy("t.trial").limit(chunk).agg(F.max("t.trial")).first()[0]
-        if end is None:
-            break
-        zero = F.struct(*[F.lit(v).alias(k) for k, v in zip(("seen", "best", "done", "total", "stop"), carried, strict=True)]).cast(state)
-        carried = left.where(F.col("t.trial") <= end).agg(F.aggregate(F.array_sort(F.collect_list("t")), zero, step).alias("r")).first()["r"]
-        left = kept.where(F.col("t.trial") > end)
-    return spark.createDataFrame([(carried[4], carried[1])], "stop_trial bigint, best double")
+    kept = trials.where("state IN ('COMPLETE', 'PRUNED')").select("trial", (F.col("state") == "COMPLETE").alias("complete"), "value")
+    stop, best = first_stop(kept, patience, delta)
+    return trials.sparkSession.createDataFrame([(None if stop is None else int(stop), best)], "stop_trial bigint, best double")
 
 
 def median_prune(steps: DataFrame, startup: int = 10, warmup: int = 1) -> DataFrame:
     """Steps (trial, step, value: running mean) at which a trial falls below the median of the completed earlier trials at that step.
 
-    A trial is held against trials before it, from the startup-th completed one and past the warm-up steps on, by its best value so far. It is a
-    fold over the trials of a study in their order: the completed values of a step are kept sorted, one number for each trial. Steps are folded
-    in parallel. Rows of one trial and step see the same earlier trials. Null steps, trials and values are passed over."""
+    A trial is held against trials before it, from the startup-th completed one and past the warm-up steps on, by its best value so far. The medians
+    are exact (``ordered.running_medians``, a block of a step's trials at a time). Rows of one trial and step see the same earlier trials. Null
+    steps, trials and values are passed over."""
     so_far = Window.partitionBy("trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     mine = steps.withColumn("best", F.max("value").over(so_far)).where((F.col("step") >= warmup) & F.col("trial").isNotNull() & F.col("best").isNotNull())
-    rows = mine.select("trial", "step", F.col("best").cast("double").alias("best"), F.when(F.col("state") == "COMPLETE", F.col("value").cast("double")).alias("there"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def fold(group: pa.Table) -> pa.Table:
-        kept, waiting, now, out = [], [], None, []
-        for trial, step, best, there in zip(*(c.to_pylist() for c in group.sort_by("trial").columns), strict=True):
-            if trial != now:
-                for v in waiting:
-                    bisect.insort(kept, v)
-                waiting, now = [], trial
-            n = len(kept)
-            if n >= startup:
-                out.append((trial, step, best, (kept[(n - 1) // 2] + kept[n // 2]) / 2))
-            if there is not None:
-                waiting.append(there)
-        return pa.table([pa.array([r[k] for r in out], group.schema.field(k).type if k < 3 else pa.float64()) for k in range(4)], ["trial", "step", "best", "median"])
-
-    found = rows.groupBy("step").applyInArrow(fold, f"trial {types['trial']}, step {types['step']}, best double, median double")
-    return found.select("trial", "step", "best", "median", (F.col("best") < F.col("median")).alias("prune"))
+    rows = mine.select("trial", "step", F.col("best").cast("double").alias("best"), F.when(F.col("state") == "COMPLETE", F.col("value").cast("double")).alias("value"))
+    medians = running_medians(rows.select("step", "trial", "value"), startup).select("step", "trial", "median")
+    return rows.join(medians, ["step", "trial"]).select("trial", "step", "best", "median", (F.col("best") < F.col("median")).alias("prune"))
 
 
 def revalidation(frame: DataFrame, startup: int, k: int, n: int = 3) -> DataFrame:
