@@ -18,6 +18,7 @@ from proseline.functions import text as T
 from proseline.functions.score import score
 from proseline.operators import reports as R
 from proseline.operators import sweep as S
+from proseline.operators.schedule import ledger
 
 from . import oracle as O
 
@@ -197,8 +198,8 @@ COMBO = "avg(quality_score) * 0.4 + (1 - avg(repetition_penalty)) * 0.3 + avg(co
 MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("quality_score", "repetition_penalty", "coherence_score", "readability_score", "response_length"))
 
 
-@query("best_configs", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, round(min_p, 6) AS min_p, round(adaptive_target, 6) AS adaptive_target, {MEANS}, count(*) AS n, {COMBO} AS o FROM scored GROUP BY ALL)
-  SELECT * EXCLUDE o, round(o, 6) AS overall_score, row_number() OVER (ORDER BY o DESC) AS rank FROM b ORDER BY o DESC LIMIT 10""".replace("GROUP BY ALL", "GROUP BY temperature, min_p, adaptive_target"))
+@query("best_configs", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, round(min_p, 6) AS min_p, round(adaptive_target, 6) AS adaptive_target, {MEANS}, count(*) AS n, {COMBO} AS o FROM scored GROUP BY temperature, min_p, adaptive_target)
+  SELECT * EXCLUDE o, round(o, 6) AS overall_score, row_number() OVER (ORDER BY o DESC) AS rank FROM b ORDER BY o DESC LIMIT 10""")
 def best_configs(spark, sf_dir):
     return rounded(R.best_configs(responses(spark, sf_dir), R.CONFIG_KEYS))
 
@@ -293,14 +294,24 @@ def histogram(spark, sf_dir):
     return rounded(R.histogram(responses(spark, sf_dir), "quality_score", 20))
 
 
-@query("box_stats", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, quantile_cont(CAST(response_length AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(response_length AS DOUBLE), 0.5) AS median, quantile_cont(CAST(response_length AS DOUBLE), 0.75) AS q3 FROM scored GROUP BY ALL)
+@query("box_stats", f"""{O.FULL}, b AS (SELECT round(temperature, 6) AS temperature, quantile_cont(CAST(response_length AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(response_length AS DOUBLE), 0.5) AS median, quantile_cont(CAST(response_length AS DOUBLE), 0.75) AS q3 FROM scored GROUP BY 1)
   SELECT b.temperature, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(response_length) FILTER (WHERE response_length BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low,
     max(response_length) FILTER (WHERE response_length BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high, count(*) FILTER (WHERE NOT response_length BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers, count(*) AS n
-  FROM scored JOIN b ON round(scored.temperature, 6) = b.temperature GROUP BY b.temperature, q1, median, q3""".replace("round(temperature, 6) AS temperature, quantile_cont", "round(temperature, 6) AS temperature, quantile_cont").replace("GROUP BY ALL)", "GROUP BY 1)"))
+  FROM scored JOIN b ON round(scored.temperature, 6) = b.temperature GROUP BY b.temperature, q1, median, q3""")
 def box_stats(spark, sf_dir):
     return rounded(R.box_stats(responses(spark, sf_dir).withColumn("temperature", F.round("temperature", 6)), "temperature", "response_length"))
 
 
+@query("parameter_density", """WITH v AS (SELECT 'temperature' AS parameter, CAST(0.1 * (doc_id % 5) AS DOUBLE) AS v FROM documents UNION ALL SELECT 'min_p', CAST(0.05 * (doc_id % 3) AS DOUBLE) FROM documents UNION ALL SELECT 'adaptive_target', CAST(0.25 * (doc_id % 2) AS DOUBLE) FROM documents),
+  s AS (SELECT parameter, min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h FROM v GROUP BY parameter), x AS (SELECT *, lo + point * (hi - lo) / 100 AS x FROM (SELECT *, unnest(range(101)) AS point FROM s))
+  SELECT parameter, CAST(point AS BIGINT) AS point, round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM x JOIN v USING (parameter) GROUP BY parameter, point, x""")
+def parameter_density(spark, sf_dir):
+    """Density curves of the sampler parameters; all their values lie on nodes of the grid, so they are the kernel sums themselves."""
+    i = F.col("doc_id")
+    rows = docs(spark, sf_dir).select((0.1 * (i % 5)).alias("temperature"), (0.05 * (i % 3)).alias("min_p"), (0.25 * (i % 2)).alias("adaptive_target"))
+    return rounded(R.density(rows, R.CONFIG_KEYS, points=101))
+
+
 @query("flatten_parameters", "SELECT doc_id, round(0.1 * (doc_id % 5), 6) AS temperature, round(CASE WHEN doc_id % 2 = 0 THEN 2.0 ELSE 1.0 END, 6) AS top_nsigma FROM documents")
 def flatten_parameters(spark, sf_dir):
     i = F.col("doc_id")
@@ -330,10 +341,15 @@ def _trials(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("trial"), F.when(F.col("o_orderkey") % 4 == 3, "PRUNED").otherwise("COMPLETE").alias("state"), (F.col("o_totalprice") / 1e6).alias("value"))
 
 
-@query("trial_summary", f"""WITH {_TRIALS} SELECT count(*) AS completed_trials, round(max(value), 6) AS best_quality_score, round(avg(value), 6) AS avg_quality_score, round((0.3 + 0.5 * 0.3), 6) AS best_overall_score,
-  round(0.45, 6) AS avg_overall_score, min(trial) AS best_trial, 1.0 AS avg_prompts_per_trial, 0.0 AS avg_score_variance, 0.0 AS avg_score_min FROM trials WHERE state = 'COMPLETE'""".replace("round((0.3 + 0.5 * 0.3), 6)", "0.45").replace("round(0.45, 6)", "0.45").replace("0.45", "CAST(0.45 AS DOUBLE)").replace("1.0 AS", "CAST(1 AS DOUBLE) AS").replace("0.0 AS", "CAST(0 AS DOUBLE) AS"))
+@query("trial_summary", f"""{O.FULL}, t AS (SELECT doc_id AS trial, quality_score AS value, (0.2 * coherence_score + 0.2 * readability_score + 0.3 * (1 - lazy_score) + 0.3 * lint_score / 100) * (1 - repetition_penalty) * (1 - prose_penalty) AS o FROM scored WHERE success),
+  k AS (SELECT *, round(o, 12) AS ok FROM t)
+  SELECT count(*) AS completed_trials, round(max(value), 6) AS best_quality_score, round(avg(value), 6) AS avg_quality_score, round(max(ok), 6) AS best_overall_score, round(avg(ok), 6) AS avg_overall_score, first(trial ORDER BY ok DESC, trial) AS best_trial,
+  round(avg(1 + trial % 3), 6) AS avg_prompts_per_trial, round(avg(value / 100), 6) AS avg_score_variance, round(avg(value / 2), 6) AS avg_score_min FROM k""")
 def trial_summary(spark, sf_dir):
-    return rounded(S.trial_summary(S.trials_frame(_trials(spark, sf_dir))))
+    """Documents as trials, with their metrics; a tenth of them failed."""
+    rows = responses(spark, sf_dir).withColumns({"state": F.when(F.col("success"), "COMPLETE").otherwise("FAIL"), "num_prompts_evaluated": 1 + F.col("doc_id") % 3, "score_variance": F.col("quality_score") / 100, "score_min": F.col("quality_score") / 2})
+    frame = S.trials_frame(rows.withColumnsRenamed({"doc_id": "trial", "quality_score": "value"}))
+    return rounded(S.trial_summary(frame.withColumn("overall_score", F.round("overall_score", 12))))
 
 
 @query("revalidation", f"WITH {_TRIALS} SELECT trial, round(value, 6) AS value FROM trials WHERE state = 'COMPLETE' AND trial < 12 ORDER BY value DESC, trial LIMIT 3")
@@ -342,6 +358,15 @@ def revalidation(spark, sf_dir):
     return rounded(S.revalidation(rows, 12, 3).select("trial", "value"))
 
 
+@query("schedule", f"""WITH {_TRIALS}, r AS (SELECT *, row_number() OVER (ORDER BY trial) AS place FROM trials),
+  q AS (SELECT trial AS original_trial, value AS original_value, 12 + row_number() OVER (ORDER BY value DESC, trial) AS queued FROM (SELECT * FROM r WHERE place <= 12 AND state = 'COMPLETE' ORDER BY value DESC, trial LIMIT 3))
+  SELECT trial, place, CASE WHEN place <= 12 THEN 'startup' WHEN queued IS NOT NULL THEN 'revalidation' WHEN place <= 103 THEN 'search' ELSE 'over' END AS phase, original_trial, round(original_value, 6) AS original_value,
+    round(CASE WHEN state = 'COMPLETE' THEN value - original_value END, 6) AS change, greatest(0, 103 - place) AS "left" FROM r LEFT JOIN q ON place = queued""")
+def schedule(spark, sf_dir):
+    """The two-phase ledger of a budget of 100 trials, 12 of them for the start, over all recorded ones."""
+    return rounded(ledger(_trials(spark, sf_dir), 100, 12, 5))
+
+
 @query("progress", f"""WITH {_TRIALS}, r AS (SELECT trial, max(CASE WHEN state = 'COMPLETE' THEN value END) OVER w AS best, CAST(sum(CASE WHEN state = 'PRUNED' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS pruned,
   row_number() OVER (ORDER BY trial) AS n FROM trials WINDOW w AS (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT trial, round(best, 6) AS best, pruned FROM r WHERE n % 5 = 0""")
 def progress(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import read_arrays
+
 RESPONSES = "prompt string, parameters struct<temperature:double,min_p:double,adaptive_target:double,adaptive_decay:double,top_nsigma:double>, response string, success boolean"
 TRIALS = (
     "trial_number long, state string, value double, parameters map<string,double>, user_attrs map<string,string>, response_texts map<string,string>, prompt_scores map<string,double>, "
@@ -13,8 +15,8 @@ TRIALS = (
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str = RESPONSES) -> DataFrame:
-    """Files that each hold one JSON array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files that each hold one JSON array; large ones are split."""
+    return read_arrays(spark, path, schema)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
