@@ -52,6 +52,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Held:
+    """A broadcast of anything, of the package's own classes too: what travels is a pickle by value, so workers need no package. Read once a task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed, self.read = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    @property
+    def value(self):
+        if not self.read:
+            self.read.append(cloudpickle.loads(self.packed.value))
+        return self.read[0]
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor costs a re-read, not a recomputation.
 
@@ -66,9 +79,10 @@ class Scratch:
         self.paths.append(f"{shared_dir(self.spark)}/proseline/{uuid.uuid4().hex}")
         return self.paths[-1]
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, codec: str | None = None) -> DataFrame:
+        """codec: zstd for tables that are large for what they are worth."""
         path = self.path()
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh, mix64, shards, table, word_hashes
+from .common import Held, Scratch, fresh, mix64, shards, table, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -215,7 +215,7 @@ def find_contamination(
     spark, saved = docs.sparkSession, None
     out, scratch = docs, scratch or Scratch(docs.sparkSession)
     for k, block in enumerate(blocks(benchmark, window, item_id, item_text, block_words)):
-        held = spark.sparkContext.broadcast(block)
+        held = Held(spark, block)
         schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(name, _STATE)])
 
         def run(batches, held=held, merge=k > 0):

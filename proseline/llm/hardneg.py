@@ -13,7 +13,7 @@ What the bounds leave is scored exactly, in whole numbers, and completes the win
 Scale. Anchors are taken in rounds of at most ``ROUND_BYTES``, which is what a broadcast and the driver hold; each round is two narrow
 scans over the saved rows, in blocks of ``ROWS`` x ``TILE`` pairs. A task hands over its best few rows for each anchor (or window), and
 a window function that keeps only the first few of each task's merges them. No row is shuffled, so neither a label nor an id can be
-hot. The fifty-fold of the rounds is inherent: the anchors are a fixed share of the rows and each is held against all of them.
+hot. The rounds grow with the rows, as the anchors are a fixed share of them and each is held against all.
 
 Defined results. Rows with a null label, a null vector or a null or non-finite component take no part. Vectors of different lengths are never
 held against each other; each of the ``MAX_DIMS`` commonest lengths has codebooks, for others the bound is the product of the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Held, Scratch, table
 from .vectors import kmeans, squared
 
 WIDTH, CODEWORDS, SAMPLE, MAX_DIMS = 4, 256, 20_000, 16
@@ -233,7 +233,7 @@ def mine(
     for size in common:
         sample = plain.where(F.size("v") == size).select("v", F.xxhash64("v", "id").alias("h")).orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
         books[size] = codebooks(matrix(sample.column("v")))
-    held = spark.sparkContext.broadcast(books)
+    held = Held(spark, books)
 
     def code(batches):
         books = held.value
@@ -274,14 +274,14 @@ def _round(spark: SparkSession, coded: DataFrame, now: pa.Table, books: dict, n_
         at = np.flatnonzero(sizes == size)
         part = now.take(pa.array(at))
         anchors[size] = {"number": at, "row": part.column("row").to_numpy(), "label": part.column("label").to_numpy(), "x": matrix(part.column("v"))}
-    found = positives(coded, spark.sparkContext.broadcast((anchors, books)), n_positives).toArrow()  # at most n_positives for each anchor of the round
+    found = positives(coded, Held(spark, (anchors, books)), n_positives).toArrow()  # at most n_positives for each anchor of the round
     number, rank, score = (found.column(c).to_numpy() for c in ("list", "rank", "score"))
     begin, end = np.zeros((len(now), n_positives), np.int64), np.full((len(now), n_positives), -1, np.int64)
     window = [(-(-share[0] * s // 100), share[1] * s // 100) if s >= 0 else (0, -1) for s in score.tolist()]
     begin[number, rank - 1], end[number, rank - 1] = [w[0] for w in window], [w[1] for w in window]
     for a in anchors.values():
         a["low"], a["high"] = begin[a["number"]], end[a["number"]]
-    best = scratch.save(negatives(coded, spark.sparkContext.broadcast((anchors, books)), n_negatives, n_positives))
+    best = scratch.save(negatives(coded, Held(spark, (anchors, books)), n_negatives, n_positives))
     ids = now.column("id").to_pylist()
     heads = list(zip((number * n_positives + rank - 1).tolist(), [ids[k] for k in number.tolist()], found.column("id").to_pylist(), score.tolist(), strict=True))
     # as many rows as the round has positives

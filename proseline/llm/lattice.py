@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX3, Scratch, bucket_of, mix64, shards, table
+from .common import MIX3, Held, Scratch, bucket_of, mix64, shards, table
 
 OFFSET, WORD_END = 10.0, 0.3
 HOT, HOT_BYTES, FLUSH = 200_000, 128, 400_000
@@ -254,7 +254,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counts = scratch.save(count_words(docs))
     model = train(counts, vocabulary)
-    held = spark.sparkContext.broadcast(model)
+    held = Held(spark, model)
 
     def rate(batches):
         for batch in lots(batches):
@@ -268,7 +268,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str
     hot = rated.where((F.octet_length("word") <= HOT_BYTES) & (F.col("word") != F.lit(END))).orderBy(F.desc("a"), "word").limit(HOT)
     hot = hot.unionByName(rated.where(F.col("word") == F.lit(END))).select("word", "base", "score", "known").toArrow()
     hot = {w: (b, s, k) for w, b, s, k in zip(*(hot.column(i).to_pylist() for i in range(4)), strict=True)}
-    held_hot = spark.sparkContext.broadcast(hot)
+    held_hot = Held(spark, hot)
     n_train = int(model.n)
 
     def run(batches):

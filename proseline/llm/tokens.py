@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shards, table, utf8
+from .common import Held, shards, table, utf8
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The table that carries counts from shard to shard: at most twice so many pre-tokens, none of more than KEPT_CHARS characters.
@@ -111,7 +111,7 @@ class RankMerger:
 def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", limit: int = 1024) -> DataFrame:
     """docs without the text, with n_bytes, n_tokens and over_limit. tokenizer: path of a tokenizers .json file."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")])
-    held = docs.sparkSession.sparkContext.broadcast(RankMerger(tokenizer))
+    held = Held(docs.sparkSession, RankMerger(tokenizer))
     rest = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*rest, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 

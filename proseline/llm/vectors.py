@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import Held, Scratch, components, table
 
 THRESHOLD, RECALL, PLANTED = 0.95, 0.999, 0.95
 SAMPLE, QUERIES, CHUNK = 20_000, 256, 512
@@ -106,7 +106,7 @@ def planted_ranks(index: MultiIndex, x: np.ndarray, threshold: float, seed: int
 
 def _cells_needed(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids: list, threshold: float, recall: float) -> tuple[int, float]:
     """How many cells to visit, and the recall measured with so many."""
-    held = reps.sparkSession.sparkContext.broadcast((index, queries, ids))
+    held = Held(reps.sparkSession, (index, queries, ids))
 
     def run(batches):
         index, queries, ids = held.value
@@ -180,7 +180,7 @@ def _links(reps: DataFrame, n: int, threshold: float, recall: float, scratch: Sc
     x, ids = _matrix(sample.column("embedding")), sample.column("rep").to_pylist()
     index = MultiIndex(x, n)
     t, measured = _cells_needed(reps, index, x[:QUERIES], ids[:QUERIES], threshold, recall)
-    held = spark.sparkContext.broadcast(index)
+    held = Held(spark, index)
 
     def place(batches):
         for batch in batches:

@@ -81,3 +81,17 @@ def test_many_languages_in_slices(spark, monkeypatch):
     monkeypatch.setattr(langid, "CELLS", 50)
     langid.add_rows(got, matrix, g, own)
     assert np.allclose(got, want)
+
+
+def test_each_fold_has_its_own_judge(spark, monkeypatch):
+    """One row of a rare language changes nothing for the others: no row is judged by a model that saw it."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    judge = langid.predict
+    monkeypatch.setattr(langid, "predict", lambda docs, model, **k: seen.append((model[0], {r["doc_id"] for r in docs.select("doc_id").collect()})) or judge(docs, model, **k))
+    d = real(spark, "documents").withColumn("lang", F.when(F.col("doc_id") == 7, "xx").otherwise(F.col("lang")))
+    kept = {r["doc_id"] for r in langid.keep_wanted(d).collect()}
+    assert sum("xx" in names for names, _ in seen) == 1 and all(7 not in ids for names, ids in seen if "xx" in names)
+    plain = {r["doc_id"] for r in langid.keep_wanted(real(spark, "documents")).collect()}
+    assert len(kept ^ plain) <= 3

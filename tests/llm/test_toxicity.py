@@ -111,3 +111,21 @@ def test_thresholds_by_all_labelled_rows(spark):
             own = groups >= 0
         best = max(f1(own, t) for t in logits[own])
         assert f1(own, model.shifts[g]) >= best - 0.02
+
+
+def test_removed_by_the_other_folds_labels(spark, monkeypatch):
+    """No row is scored by a classifier that learned from its label, and most toxic rows still go."""
+    from proseline.llm import toxicity
+    from proseline.llm.common import table
+
+    data = "/root/testdata/sf0.01"
+    d, labels = table(spark, data, "documents"), table(spark, data, "labels").select("doc_id", "toxic")
+    learned, judged = [], []
+    train, score = toxicity.train, toxicity.score
+    monkeypatch.setattr(toxicity, "train", lambda docs, marks, **k: learned.append({r["doc_id"] for r in marks.collect()}) or train(docs, marks, **k))
+    monkeypatch.setattr(toxicity, "score", lambda docs, model, **k: judged.append({r["doc_id"] for r in docs.select("doc_id").collect()}) or score(docs, model, **k))
+    kept = {r["doc_id"] for r in toxicity.remove_toxic(d, labels).select("doc_id").collect()}
+    assert len(learned) == len(judged) == 2 and not any(a & b for a, b in zip(learned, judged, strict=True))
+    toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
+    clean = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
+    assert len(clean - kept) <= 0.05 * len(clean) and len(toxic - kept) >= 0.6 * len(toxic), (len(clean - kept), len(clean), len(toxic - kept), len(toxic))

@@ -137,3 +137,20 @@ def test_hot_payload_and_clashes(spark):
     for r in sorted(rows.collect()):
         want = first.setdefault(bytes(r["payload"]), r["page_id"])
         assert (r["record_type"], r["refers_to"]) == (("response", None) if want == r["page_id"] else ("revisit", want))
+
+
+def test_repeated_ids(spark):
+    """An id with several payloads: each is judged by itself, and none is lost."""
+    import random
+
+    rng = random.Random(4)
+    body = lambda c: c * 120
+    cases = [[(1, "A"), (2, "A"), (2, "B"), (3, "B")], [(rng.randrange(12), rng.choice("ABCDEF")) for _ in range(80)], [(None, "A"), (None, "A"), (5, "A")], [(1, "A"), (1, "A")]]
+    for rows in cases:
+        df = spark.createDataFrame([(i, body(c).encode()) for i, c in rows], "page_id long, payload binary").repartition(3)
+        got = sorted((r["page_id"], bytes(r["payload"])[:1].decode(), r["record_type"], r["refers_to"]) for r in mark_revisits(df).collect() if r["page_id"] is not None)
+        first = {}
+        for i, c in rows:
+            if i is not None:
+                first[c] = min(i, first.get(c, i))
+        assert got == sorted((i, c, "response" if first[c] == i else "revisit", None if first[c] == i else first[c]) for i, c in rows if i is not None), rows
