@@ -8,7 +8,8 @@ alignments are joined back, and documents are put together from them.
 
 How it is done. Documents are read in blocks of at most ``BLOCK_BYTES``. A block keeps each of its segments once and its documents as
 numbers of segments (dictionary encoding), so what is shuffled grows with the distinct segments of blocks, not with the words; a hot segment is one row
-a block. Distinct segments are tokenised in batches. The joined alignments come back by block, where the
+a block. Distinct segments are tokenised in batches; an alignment is kept as its links in order, with a flag where a token of A or B begins, from
+which tokens and groups follow. The joined alignments come back by block, where the
 block's documents are composed in numpy: a block also counts in how many of its documents each pair of ids is linked, once for each
 pair. Sums of these give the corpus-wide counts, which come back by block in the same way.
 
@@ -29,17 +30,19 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, release, shards, table
+from .common import Scratch, release, shards, table, utf8
 
 BLOCK_BYTES, BATCH = 12_000_000, 20_000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 #: White space beyond ASCII, as UTF-8: no cut is made after it (nor after ASCII white space and the separators 1C to 1F).
 _WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *[b"\xe2\x80" + bytes([k]) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)], b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+NEW_A, NEW_B = 1, 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -68,6 +71,8 @@ class Pair:
         n = self.b.get_piece_size()
         pieces = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
         self.tokens, self.pieces = Table(tokens), Table(pieces)
+        number = "<u2" if max(size, n) <= 1 << 16 else "<u4"
+        self.link = np.dtype([("a", number), ("b", number), ("new", "u1")])
         self.breaks = bytes(c for c in b" \n\t\r\v\f" if not any(self.crosses(t, c) for t in (*tokens, *pieces)))
 
     @staticmethod
@@ -135,7 +140,7 @@ def cut(data: np.ndarray, starts: np.ndarray, breaks: bytes) -> np.ndarray:
 
 
 def align(segments: list[str], pair: Pair) -> pa.RecordBatch:
-    """seg, fine, n_a, n_b, n_groups, groups and links (a * 2^32 + b for each overlap) of segments."""
+    """Segments with their links (``Pair.link``), packed; null where the tokens' bytes are not the segment's."""
     raw = [s.encode() for s in segments]
     data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
     n = len(raw)
@@ -148,43 +153,64 @@ def align(segments: list[str], pair: Pair) -> pa.RecordBatch:
         same = bytes_.joined(ids.values[keep]) == data[np.repeat(good, size)]
         good[np.repeat(np.flatnonzero(good), size[good])[~same]] = False
         fine &= good
-    start = np.cumsum(size * fine) - size * fine
     a, b = ({"id": ids.values[keep], "own": ids.own[keep], "size": bytes_.size[ids.values[keep]]} for ids, bytes_ in zip(found, (pair.tokens, pair.pieces), strict=True) for keep in [fine[ids.own]])
     for x in (a, b):  # segments that are fine lie side by side, and so do their tokens
         x["end"] = np.cumsum(x["size"])
         x["begin"] = x["end"] - x["size"]
-    both = np.intersect1d(a["end"], b["end"], assume_unique=False)
-    of_group = np.searchsorted(start[fine], both, side="left") - 1 if fine.any() else both
-    group_own = np.flatnonzero(fine)[of_group] if len(both) else np.zeros(0, np.int64)
     # links: of an A token the B tokens from the first that ends after its begin to the last that begins before its end
     full = np.flatnonzero(a["size"] > 0)
     first, last = np.searchsorted(b["end"], a["begin"][full], side="right"), np.searchsorted(b["begin"], a["end"][full], side="left")
     many = last - first
-    links = (np.repeat(a["id"][full], many) << 32) | b["id"][spread(first, many)]
+    at_b = spread(first, many)
+    links = np.zeros(len(at_b), pair.link)
+    links["a"], links["b"] = np.repeat(a["id"][full], many), b["id"][at_b]
+    links["new"][np.cumsum(many) - many] = NEW_A
+    links["new"][np.concatenate([[True], at_b[1:] != at_b[:-1]]) if len(at_b) else slice(0)] |= NEW_B
     n_links = np.bincount(np.repeat(a["own"][full], many), minlength=n)
-    counts = [np.bincount(x, minlength=n) for x in (a["own"], b["own"], group_own)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(segments, pa.string()), pa.array(fine), *[pa.array(c.astype(np.int32), pa.int32()) for c in counts], pa.array(_texts(a, b, both, counts[2]), pa.string()),
-            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]), pa.int32()), pa.array(links, pa.int64())),
-        ],
-        ["seg", "fine", "n_a", "n_b", "n_groups", "groups", "links"],
-    )
-
-
-def _texts(a: dict, b: dict, both: np.ndarray, n_groups: np.ndarray) -> list[str]:
-    """The groups of each segment as text."""
-    ids = [list(map(str, x["id"].tolist())) for x in (a, b)]
-    upto = [np.searchsorted(x["end"], both, side="right").tolist() for x in (a, b)]
-    groups, i, j = [], 0, 0
-    for p, q in zip(*upto, strict=True):
-        groups.append((ids[0][i] if p == i + 1 else ",".join(ids[0][i:p])) + "|" + (ids[1][j] if q == j + 1 else ",".join(ids[1][j:q])))
-        i, j = p, q
-    out, at = [], 0
-    for n in n_groups.tolist():
-        out.append(groups[at] if n == 1 else ";".join(groups[at : at + n]))
-        at += n
-    return out
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n_links)]) * pair.link.itemsize, pa.int32())
+    packed = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(links.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(segments, pa.string()), pc.if_else(pa.array(fine), packed, pa.scalar(None, pa.binary()))], ["seg", "packed"])
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers under 2^32, compressed byte by byte: all lowest ones first, without bytes that all lack."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+    return bytes([width]) + len(planes).to_bytes(6, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unsqueeze(packed: bytes) -> np.ndarray:
+    width, size = packed[0], int.from_bytes(packed[1:7], "little")
+    planes = np.frombuffer(pa.decompress(packed[7:], size, "zstd", asbytes=True), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u4").reshape(-1).astype(np.int64)
+
+
+def unsqueezed(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a squeezed column, and how many each row has (a null: none)."""
+    rows = [unsqueeze(x) if x else np.zeros(0, np.int64) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *rows]), np.array([len(r) for r in rows], np.int64)
+
+
+def written(links: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The groups of n segments as text, side by side, each group with a semicolon after it; and their sizes. own: the segment of each link."""
+    new_a, new_b = links["new"] & NEW_A > 0, links["new"] & NEW_B > 0
+    group = np.cumsum(new_a & new_b)
+    ids = np.concatenate([links["a"][new_a], links["b"][new_b]]).astype(np.int64)
+    key = np.concatenate([2 * group[new_a], 2 * group[new_b] + 1])
+    order = np.argsort(key, kind="stable")
+    ids, key = ids[order], key[order]
+    kinds, which = np.unique(ids, return_inverse=True)
+    digits = Table([str(k).encode() for k in kinds.tolist()])
+    size = digits.size[which] + 1
+    out = np.empty(int(size.sum()), np.uint8)
+    ends = np.cumsum(size)
+    closing = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)
+    out[ends - 1] = np.where(closing, np.where(key % 2 == 0, ord("|"), ord(";")), ord(","))
+    out[spread(ends - size, size - 1)] = digits.joined(which)
+    owner = np.concatenate([own[new_a], own[new_b]])[order]
+    return out, np.bincount(owner, size, n).astype(np.int64)
 
 
 def _cutter(text_col: str, rest: list[str], breaks: bytes):
@@ -193,61 +219,66 @@ def _cutter(text_col: str, rest: list[str], breaks: bytes):
     def run(batches):
         number, none = TaskContext.get().partitionId() << 32, pa.scalar(None, pa.string())
         for batch in shards(batches, text_col, BLOCK_BYTES):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            full = np.array([bool(t) for t in texts], bool)
-            body = "".join([" " + t for t in texts if t]).encode()
-            size = np.zeros(len(texts), np.int64)
-            size[full] = [len(t.encode()) + 1 for t in texts if t]
-            del texts
-            data = np.frombuffer(body, np.uint8)
-            begins = (np.cumsum(size) - size)[full]
+            raw, starts, ends = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            full = ends > starts
+            size = ends - starts + full
+            begins = np.cumsum(size) - size
+            data = np.full(int(size.sum()), ord(" "), np.uint8)
+            for s, e, b in zip(starts[full].tolist(), ends[full].tolist(), begins[full].tolist(), strict=True):
+                data[b + 1 : b + 1 + e - s] = raw[s:e]
+            begins = begins[full]
             at = cut(data, begins, breaks) if len(data) else np.zeros(0, np.int64)
             offsets = np.append(at, len(data)).astype(np.int64)
-            coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(body)).dictionary_encode()
+            coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
             per_doc = np.zeros(len(size), np.int64)
             per_doc[full] = np.diff(np.append(np.searchsorted(at, begins), len(at)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), coded.indices.cast(pa.int32()))
-            n, known = len(batch), coded.dictionary.cast(pa.string())
-            schema = pa.schema([*[batch.schema.field(batch.schema.get_field_index(c)).with_nullable(True) for c in rest], ("block", pa.int64()), ("ids", pa.list_(pa.int32())), ("at", pa.int32()), ("seg", pa.string())])
+            # frequent segments get small numbers
+            often = np.argsort(-np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)), kind="stable")
+            number_of = np.empty(len(often), np.int64)
+            number_of[often] = np.arange(len(often))
+            ids, upto = number_of[coded.indices.to_numpy()], np.cumsum(per_doc).tolist()
+            lists = pa.array([squeeze(ids[j - k : j]) if k else None for j, k in zip(upto, per_doc.tolist(), strict=True)], pa.binary())
+            n, known = len(batch), coded.dictionary.take(pa.array(often)).cast(pa.string())
+            schema = pa.schema([*[batch.schema.field(batch.schema.get_field_index(c)).with_nullable(True) for c in rest], ("block", pa.int64()), ("ids", pa.binary()), ("at", pa.int32()), ("seg", pa.string())])
             own = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(n, number)), lists, pa.nulls(n, pa.int32()), pa.nulls(n, none.type)], schema=schema)
             for k in range(0, len(known), 50_000):
                 m = min(50_000, len(known) - k)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(m, schema.field(c).type) for c in rest], pa.array(np.full(m, number)), pa.nulls(m, pa.list_(pa.int32())), pa.array(np.arange(k, k + m), pa.int32()), known.slice(k, m)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(m, schema.field(c).type) for c in rest], pa.array(np.full(m, number)), pa.nulls(m, pa.binary()), pa.array(np.arange(k, k + m), pa.int32()), known.slice(k, m)], schema=schema)
             number += 1
 
     return run
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column, and how many each row has."""
-    lists = lists.combine_chunks()
-    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False), size
-
-
-def _compose(rest: list[str]):
+def _compose(rest: list[str], link: np.dtype):
     """A block's documents from its segments' alignments; and in how many of them each id pair is linked."""
 
     def run(docs: pa.Table, segs: pa.Table) -> pa.Table:
-        segs = segs.sort_by("at")  # numbers 0, 1, ... without gaps
-        ids, size = _flat(docs.column("ids"))
+        packed = segs.sort_by("at").column("packed").to_pylist()  # numbers 0, 1, ... without gaps
+        links = np.frombuffer(b"".join([x for x in packed if x]), link)
+        many = np.array([len(x or b"") for x in packed], np.int64) // link.itemsize
+        fine = np.array([x is not None for x in packed], bool)
+        del packed
+        n_segs = max(1, len(many))
+        owner = np.repeat(np.arange(len(many)), many)
+        ids, size = unsqueezed(docs.column("ids"))
         n, own = len(docs), np.repeat(np.arange(len(docs)), size)
-        fine = segs.column("fine").to_numpy().astype(bool)
-        good = np.bincount(own, ~fine[ids], n) == 0 if len(ids) else np.ones(n, bool)
-        good &= size > 0
+        good = (np.bincount(own, ~fine[ids], n) == 0 if len(ids) else np.ones(n, bool)) & (size > 0)
         ids, own, size = ids[good[own]], own[good[own]], size * good
-        sums = [np.bincount(own, segs.column(c).to_numpy()[ids], n).astype(np.int64) if len(ids) else np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups")]
-        groups, digests, at = segs.column("groups").to_pylist(), [], 0
+        flags = [links["new"] & NEW_A > 0, links["new"] & NEW_B > 0]
+        counted = [np.bincount(owner[f], minlength=n_segs) for f in (*flags, flags[0] & flags[1])]
+        sums = [np.bincount(own, c[ids], n).astype(np.int64) for c in counted]
+        text, length = written(links, owner, n_segs)
+        begin, digests, at = np.cumsum(length) - length, [], 0
         for k, fit in zip(size.tolist(), good.tolist(), strict=True):
-            digests.append(hashlib.sha256(";".join([groups[i] for i in ids[at : at + k].tolist()]).encode()).hexdigest() if fit else "")
+            mine = ids[at : at + k]
+            digests.append(hashlib.sha256(memoryview(text[spread(begin[mine], length[mine])])[:-1]).hexdigest() if fit else "")
             at += k
-        values, many = _flat(segs.column("links"))
         start = np.cumsum(many) - many
-        pairs, local = np.unique(values, return_inverse=True)
+        pairs, local = np.unique(links["a"].astype(np.int64) << 32 | links["b"], return_inverse=True)
         # each document's distinct segments, then its distinct pairs, with how often they are there
-        key, often = np.unique(own * max(1, len(many)) + ids, return_counts=True)
-        doc, seg = key // max(1, len(many)), key % max(1, len(many))
+        key, often = np.unique(own * n_segs + ids, return_counts=True)
+        doc, seg = key // n_segs, key % n_segs
         width = max(1, len(pairs))
         key = np.repeat(doc, many[seg]) * width + local[spread(start[seg], many[seg])]
         order = np.argsort(key, kind="stable")
@@ -255,16 +286,17 @@ def _compose(rest: list[str]):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         often = np.add.reduceat(often, first) if len(key) else often
         doc, pair = key[first] // width, key[first] % width
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+        upto = np.cumsum(np.bincount(doc, minlength=n)).tolist()
         in_docs = np.bincount(pair, minlength=len(pairs))
         here = np.flatnonzero(in_docs)
         number = np.zeros(len(pairs), np.int64)
         number[here] = np.arange(len(here))
         m, block = len(here), docs.column("of").combine_chunks()
-        lists = lambda v: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v.astype(np.int32), pa.int32()))
+        squeezed = lambda v, step: pa.array([squeeze(np.diff(v[i:j], prepend=0) if step else v[i:j]) for i, j in zip([0, *upto], upto, strict=False)], pa.binary())
         none = pa.nulls(n, pa.int32())
-        columns = [*[docs.column(c).combine_chunks() for c in rest], block, *[pa.array(s) for s in sums], pa.array(digests, pa.string()), lists(number[pair]), lists(often), none, pa.nulls(n, pa.int64()), none]
+        columns = [*[docs.column(c).combine_chunks() for c in rest], block, *[pa.array(s) for s in sums], pa.array(digests, pa.string()), squeezed(number[pair], True), squeezed(often, False), none, pa.nulls(n, pa.int64()), none]
         names = [*rest, "block", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "often", "at", "pair", "docs"]
+        release()
         tail = [pa.nulls(m, c.type) for c in columns]
         tail[len(rest)] = pa.array(np.full(m, block[0].as_py() if n else 0), pa.int64())
         tail[-3:] = [pa.array(np.arange(m), pa.int32()), pa.array(pairs[here], pa.int64()), pa.array(in_docs[here], pa.int32())]
@@ -279,9 +311,11 @@ def _finish(rest: list[str]):
     def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
         pairs = pairs.sort_by("at")
         count, best = pairs.column("count").to_numpy().astype(np.int64), pairs.column("best").to_numpy().astype(np.int64)
-        which, size = _flat(docs.column("pairs"))
-        often = _flat(docs.column("often"))[0].astype(np.int64)
+        which, size = unsqueezed(docs.column("pairs"))
+        often = unsqueezed(docs.column("often"))[0]
         upto = np.cumsum(size)
+        steps = np.cumsum(which)  # each document's numbers are kept as steps from one to the next
+        which = steps - np.repeat(np.concatenate([[0], steps])[upto - size], size)
         total = lambda x: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[upto]]))
         got = [total(often), total(often * best[which]) if len(which) else total(often), total(often * count[which]) if len(which) else total(often)]
         columns = [docs.column(c) for c in (*rest, "n_a", "n_b", "n_groups")]
@@ -303,7 +337,8 @@ def align_corpus(docs: DataFrame, a: str, b: bytes, *, text_col: str = "text", s
     plain = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(rest, inner, strict=True)], F.col(f"`{text_col}`").alias("text"))
     fields = [T.StructField(k, plain.schema[k].dataType) for k in inner]
     kind = lambda ddl: T.StructType([*fields, *T._parse_datatype_string(ddl).fields])
-    blocks = scratch.save(plain.mapInArrow(_cutter("text", inner, Pair(a, b).breaks), kind("block long, ids array<int>, at int, seg string")))
+    pair = Pair(a, b)
+    blocks = scratch.save(plain.mapInArrow(_cutter("text", inner, pair.breaks), kind("block long, ids binary, at int, seg string")), "zstd")
     segs = blocks.where("at IS NOT NULL").select("block", "at", "seg")
 
     def tokenise(batches):
@@ -316,10 +351,10 @@ def align_corpus(docs: DataFrame, a: str, b: bytes, *, text_col: str = "text", s
                 yield align(part.column(0).to_pylist(), pair)
         release()
 
-    aligned = scratch.save(segs.select("seg").distinct().mapInArrow(tokenise, "seg string, fine boolean, n_a int, n_b int, n_groups int, groups string, links array<long>"))
+    aligned = scratch.save(segs.select("seg").distinct().mapInArrow(tokenise, "seg string, packed binary"), "zstd")
     back = segs.join(aligned, "seg").drop("seg")
     whole = blocks.where("at IS NULL").select(*inner, F.col("block").alias("of"), "ids")
-    composed = scratch.save(whole.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_compose(inner), kind("block long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<int>, often array<int>, at int, pair long, docs int")))
+    composed = scratch.save(whole.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_compose(inner, pair.link), kind("block long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs binary, often binary, at int, pair long, docs int")), "zstd")
     scratch.drop(blocks)
     scratch.drop(aligned)
     linked = composed.where("at IS NOT NULL").select("block", "at", "pair", "docs")
