@@ -27,7 +27,7 @@ STANDARD_REGEXES = (
     r"(?:^|\n|[.!?]\s+)(\w+)\b[^.!?]*[.!?]\s+\1\b[^.!?]*[.!?]\s+\1\b",
     r"\b(?:slowly|gently|softly|quietly|carefully|suddenly|quickly)\s+(?:reached|moved|walked|turned|looked|whispered|spoke|opened|closed|touched|pulled|pushed)\b",
     r"\btasted\s+(?:like|of)\s+\w+\s+and\s+",
-    "(?:Not|No)\\s+\\w+[^.!?\\n]{0,60}[.!?,;:——]\\s*(?:not|Not|No|no)\\s+\\w+",
+    r"(?:Not|No)\s+\w+[^.!?\n]{0,60}[.!?,;:\u2014\u2014]\s*(?:not|Not|No|no)\s+\w+",
 )
 
 

@@ -19,8 +19,11 @@ from proseline.functions.score import score
 from proseline.operators import reports as R
 from proseline.operators import sweep as S
 from proseline.operators.schedule import ledger
+from proseline.operators.suggest import suggest
+from proseline.sources.scratch import saved
 
 from . import oracle as O
+from .seeds import seeded, seeded_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -125,6 +128,24 @@ def phrase_reuse(spark, sf_dir):
     return rows.select("doc_id", F.size("g").cast("long").alias("n_phrases"), F.coalesce(F.get("g", F.lit(0))["phrase"], F.lit("")).alias("top_phrase"))
 
 
+@query("lint_counts_seeded", seeded_sql(O.LINT_COUNTS))
+def lint_counts_seeded(spark, sf_dir):
+    """Over documents in which every rule has something to find."""
+    return seeded(docs(spark, sf_dir)).select("doc_id", L.lint_counts(F.col("text")).alias("m")).select("doc_id", "m.counts.*")
+
+
+@query("lint_score_seeded", seeded_sql(O.LINT_SCORE))
+def lint_score_seeded(spark, sf_dir):
+    return seeded(docs(spark, sf_dir)).select("doc_id", L.lint_counts(F.col("text")).alias("m")).select("doc_id", "m.score", "m.band", "m.word_count", "m.weighted_sum")
+
+
+@query("lazy_hits_seeded", seeded_sql(O.lazy_hits(Z.STANDARD.literals, Z.STANDARD.regexes)))
+def lazy_hits_seeded(spark, sf_dir):
+    """The list of hits as text (pattern=n, in the patterns' order) besides the score."""
+    rows = seeded(docs(spark, sf_dir)).select("doc_id", Z.lazy(F.col("text")).alias("m"))
+    return rows.select("doc_id", F.round("m.lazy_score", 6).alias("lazy_score"), "m.lazy_pattern_count", F.array_join(F.transform("m.lazy_patterns_found", lambda x: F.concat(x["pattern"], F.lit("="), x["n"].cast("string"))), ";").alias("hits"))
+
+
 @query("lint_violations")
 def lint_violations(spark, sf_dir):
     """A row for each violation, with its context."""
@@ -182,12 +203,27 @@ def valid_responses(spark, sf_dir):
 
 
 # --- reports ---------------------------------------------------------------------------------------------------------
+_SCORED: dict[tuple, DataFrame] = {}
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Documents with all metrics but without their texts, written once for all reports of a session. A table whose files (name, size or
+    time) have changed is scored anew."""
+    found = docs(spark, sf_dir)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(found.inputFiles())]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in files]
+    key = (spark.sparkContext.applicationId, sf_dir, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in states))
+    if key not in _SCORED:
+        rows = score(found.select("doc_id", "source", "lang", "text")).withColumn("response_length", F.coalesce(F.length("text"), F.lit(0)))
+        _SCORED[key] = saved(rows.drop("text", "lazy_patterns_found"))
+    return _SCORED[key]
+
+
 def responses(spark, sf_dir) -> DataFrame:
     """Documents scored by all families, with derived parameters."""
-    rows = score(docs(spark, sf_dir).select("doc_id", "source", "lang", "text"))
     i = F.col("doc_id")
-    rows = rows.withColumn("response_length", F.coalesce(F.length("text"), F.lit(0))).drop("text")
-    return rows.withColumns({"temperature": 0.1 * (i % 5), "min_p": 0.05 * (i % 3), "adaptive_target": 0.25 * (i % 2), "success": i % 10 != 0})
+    return scored(spark, sf_dir).withColumns({"temperature": 0.1 * (i % 5), "min_p": 0.05 * (i % 3), "adaptive_target": 0.25 * (i % 2), "success": i % 10 != 0})
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -367,6 +403,22 @@ def schedule(spark, sf_dir):
     return rounded(ledger(_trials(spark, sf_dir), 100, 12, 5))
 
 
+_SPACE = "p AS (SELECT trial, value, state, 0.1 * (trial % 5) AS temperature, 0.05 * (trial % 3) AS min_p FROM trials)"
+
+
+@query("suggestion", f"""WITH {_TRIALS}, {_SPACE}, t AS (SELECT *, row_number() OVER (ORDER BY value DESC, trial) AS place FROM p WHERE state = 'COMPLETE' AND value IS NOT NULL), k AS (SELECT least(25, ceil(0.1 * count(*))) AS good FROM t),
+  v AS (SELECT 'temperature' AS parameter, CAST(temperature AS DOUBLE) AS v, place <= good AS good FROM t, k UNION ALL SELECT 'min_p', CAST(min_p AS DOUBLE), place <= good FROM t, k), r AS (SELECT parameter, min(v) AS lo, max(v) AS hi FROM v GROUP BY parameter),
+  s AS (SELECT parameter, good, lo, hi, count(*) AS n, greatest(coalesce(stddev_samp(v), 0) * pow(count(*), -0.2), (hi - lo) / 100) AS h FROM v JOIN r USING (parameter) GROUP BY parameter, good, lo, hi),
+  c AS (SELECT a.v AS temperature, b.v AS min_p FROM (SELECT DISTINCT v FROM v WHERE parameter = 'temperature') a, (SELECT DISTINCT v FROM v WHERE parameter = 'min_p') b),
+  x AS (SELECT DISTINCT parameter, v AS x FROM v), d AS (SELECT parameter, good, x, ln((any_value(1 / (hi - lo)) + sum(exp(-0.5 * pow((x - v) / h, 2)) / (h * sqrt(2 * pi())))) / (any_value(n) + 1)) AS l FROM x JOIN v USING (parameter) JOIN s USING (parameter, good) GROUP BY parameter, good, x),
+  g AS (SELECT parameter, x, sum(CASE WHEN good THEN l ELSE -l END) AS gain FROM d GROUP BY parameter, x)
+  SELECT round(c.temperature, 6) AS temperature, round(c.min_p, 6) AS min_p, round(a.gain + b.gain, 6) AS gain FROM c JOIN g a ON a.parameter = 'temperature' AND a.x = c.temperature JOIN g b ON b.parameter = 'min_p' AND b.x = c.min_p""")
+def suggestion(spark, sf_dir):
+    """How promising each combination of two parameters is, by all recorded trials."""
+    trials = _trials(spark, sf_dir).withColumns({"temperature": 0.1 * (F.col("trial") % 5), "min_p": 0.05 * (F.col("trial") % 3)})
+    return rounded(suggest(trials, trials.select("temperature", "min_p").distinct(), ["temperature", "min_p"]))
+
+
 @query("progress", f"""WITH {_TRIALS}, r AS (SELECT trial, max(CASE WHEN state = 'COMPLETE' THEN value END) OVER w AS best, CAST(sum(CASE WHEN state = 'PRUNED' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS pruned,
   row_number() OVER (ORDER BY trial) AS n FROM trials WINDOW w AS (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT trial, round(best, 6) AS best, pruned FROM r WHERE n % 5 = 0""")
 def progress(spark, sf_dir):

@@ -123,13 +123,27 @@ _THRICE = f"len(regexp_extract_all(array_to_string(list_transform(range(2, len(t
 _STARTS = f"coalesce(list_sum(list_transform(list_filter(list_distinct(st), lambda x: len(list_filter(st, lambda y: y = x)) >= 3), lambda x: len(regexp_extract_all(marked, '{_HEAD}' || x || '{_GAP}' || x || '{_GAP}' || x || '(?:[^\\p{{L}}\\p{{N}}_]|$)')))), 0)"
 
 
-def lazy_table(literals, regexes) -> str:
-    """doc_id, hits, lazy_score of z."""
+def _hit_counts(literals, regexes) -> list[str]:
     counted = [f"(len(low) - len(replace(low, {q(s.lower())}, ''))) // {len(s)}" for s in literals]
-    for r in regexes:
-        counted.append(_THRICE if r.startswith(r"\b(\w+)(?:\s+\1)") else _STARTS if r"\1" in r else n("t", r, "i"))
-    return f"""{BASE}, y AS (SELECT *, lower(t) AS low, regexp_extract_all(lower(t), '{_W}|{_NOT_W}') AS tk, regexp_extract_all(lower(t), '{_HEAD}({_W})', 1) AS st, regexp_replace(lower(t), '([.!?])', chr(1) || '\\1', 'g') AS marked FROM p), y1 AS (SELECT doc_id, w, {' + '.join(counted) or '0'} AS hits FROM y),
-z AS (SELECT doc_id, hits, greatest(0, hits / (greatest(len(w), 1) / 100.0) - 0.3) AS excess FROM y1)"""
+    return counted + [_THRICE if r.startswith(r"\b(\w+)(?:\s+\1)") else _STARTS if r"\1" in r else n("t", r.replace(r"\u2014", "—"), "i") for r in regexes]
+
+
+_SCANNED = f"""{BASE}, y AS (SELECT *, lower(t) AS low, regexp_extract_all(lower(t), '{_W}|{_NOT_W}') AS tk, regexp_extract_all(lower(t), '{_HEAD}({_W})', 1) AS st, regexp_replace(lower(t), '([.!?])', chr(1) || '\\1', 'g') AS marked FROM p)"""
+_EXCESS = "greatest(0, hits / (greatest(len(w), 1) / 100.0) - 0.3)"
+
+
+def lazy_table(literals, regexes) -> str:
+    """doc_id, hits, excess of z."""
+    return f"""{_SCANNED}, y1 AS (SELECT doc_id, w, {' + '.join(_hit_counts(literals, regexes)) or '0'} AS hits FROM y),
+z AS (SELECT doc_id, hits, {_EXCESS} AS excess FROM y1)"""
+
+
+def lazy_hits(literals, regexes) -> str:
+    """With the list of hits, as pattern=n."""
+    patterns = ", ".join(map(q, [*literals, *regexes]))
+    return f"""{_SCANNED}, y1 AS (SELECT doc_id, w, [{', '.join(f'CAST({c} AS BIGINT)' for c in _hit_counts(literals, regexes))}] AS ns FROM y), y2 AS (SELECT *, list_sum(ns) AS hits FROM y1), z AS (SELECT *, {_EXCESS} AS excess FROM y2)
+SELECT doc_id, round(CAST(1 - 1 / (1 + excess / 2) AS DOUBLE), 6) AS lazy_score, CAST(hits AS BIGINT) AS lazy_pattern_count,
+  array_to_string(list_transform(list_filter(range(1, len(ns) + 1), lambda i: ns[i] > 0), lambda i: ([{patterns}])[i] || '=' || CAST(ns[i] AS VARCHAR)), ';') AS hits FROM z"""
 
 
 def lazy(literals, regexes) -> str:

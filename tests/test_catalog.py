@@ -44,3 +44,13 @@ def test_full_reports(spark):
     assert {m for _, m in found} == set(R.CALIBRATION_METRICS)
     for (corpus, metric), mean in found.items():
         assert abs(mean - merged[merged["quality"] == corpus][metric].mean()) < 2e-6
+
+
+def test_seeds_reach_every_rule(spark):
+    """Over the seeded documents every count is above 0 somewhere, and so are literals and all but the rarest regexes."""
+    from proseline.functions.lazy import STANDARD_REGEXES
+
+    counts = QUERIES["lint_counts_seeded"](spark, DATA).toPandas()
+    assert (counts.drop(columns="doc_id").sum() > 0).all()
+    hits = ";".join(r["hits"] for r in QUERIES["lazy_hits_seeded"](spark, DATA).collect())
+    assert all(f"{p}=" in hits for p in STANDARD_REGEXES) and len({h.split("=")[0] for h in hits.split(";")}) > 200
