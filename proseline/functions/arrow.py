@@ -55,13 +55,22 @@ def grams(h: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return out[inside], own[:m][inside]
 
 
+def text_bits(own: np.ndarray) -> np.uint64:
+    """How many bits below the text's number a key has for the hash (50 in batches of 10,000 texts)."""
+    return np.uint64(64 - max(1, int(own[-1]).bit_length())) if len(own) else np.uint64(63)
+
+
+def text_keys(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One key to sort by: the text in the upper bits, what is left of the hash below."""
+    bits = text_bits(own)
+    return (own.astype(np.uint64) << bits) | (h >> (np.uint64(64) - bits))
+
+
 def group_sizes(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each distinct hash of a text occurs, and the text of each."""
-    # one key to sort: the text in the upper bits, what is left of the hash (50 bits in batches of 10,000 texts) below
-    bits = np.uint64(64 - max(1, int(own[-1]).bit_length())) if len(own) else np.uint64(63)
-    key = np.sort((own.astype(np.uint64) << bits) | (h >> (np.uint64(64) - bits)))
+    key = np.sort(text_keys(h, own))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return np.diff(np.append(first, len(key))), (key[first] >> bits).astype(np.int64)
+    return np.diff(np.append(first, len(key))), (key[first] >> text_bits(own)).astype(np.int64)
 
 
 def repetition_rates(text: Column) -> Column:
@@ -194,9 +203,10 @@ def repeated_phrases(low: Column, sizes: range, least: int, stopwords: tuple[str
         words = [word.findall(t) if t else [] for t in texts]
         h, own = grams(*hashes(words), sizes[0])
         begin = np.searchsorted(own, np.arange(len(words) + 1))
-        order = np.lexsort((h, own))
-        h, of_text = h[order], own[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (of_text[1:] != of_text[:-1])]) if len(h) else np.zeros(0, bool)
+        key = text_keys(h, own)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(h) else np.zeros(0, bool)
         group = np.cumsum(fresh) - 1
         often = order[np.bincount(group, minlength=1)[group] >= least] if len(h) else order
         often.sort()

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters of SPACE.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def rx(pattern: str, flags: str = "") -> Column:
@@ -31,7 +33,7 @@ def find_all(text: Column, pattern: str, flags: str = "", group: int = 0) -> Col
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rx(rf"\A{SPACE}+|{SPACE}+\z"), F.lit(""))
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(text: Column) -> Column:
