@@ -8,7 +8,7 @@ alignments are joined back, and documents are put together from them.
 
 How it is done. Documents are read in blocks of at most ``BLOCK_BYTES``. A block keeps each of its segments once and its documents as
 numbers of segments (dictionary encoding), so what is shuffled grows with the distinct segments of blocks, not with the words; a hot segment is one row
-a block. Distinct segments are tokenised in batches; an alignment is kept as its links in order, with a flag where a token of A or B begins, from
+a block. Segments are shuffled and sorted, so that each is tokenised once, for all blocks that have it; an alignment is kept as its links in order, with a flag where a token of A or B begins, from
 which tokens and groups follow. The joined alignments come back by block, where the
 block's documents are composed in numpy: a block also counts in how many of its documents each pair of ids is linked, once for each
 pair. Sums of these give the corpus-wide counts, which come back by block in the same way.
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, release, shards, table, utf8
 
-BLOCK_BYTES, BATCH = 12_000_000, 20_000
+BLOCK_BYTES, BATCH, SLICE = 12_000_000, 10_000, 300_000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 #: White space beyond ASCII, as UTF-8: no cut is made after it (nor after ASCII white space and the separators 1C to 1F).
 _WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *[b"\xe2\x80" + bytes([k]) for k in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)], b"\xe2\x81\x9f", b"\xe3\x80\x80"]
@@ -139,8 +139,8 @@ def cut(data: np.ndarray, starts: np.ndarray, breaks: bytes) -> np.ndarray:
     return np.union1d(at, starts)
 
 
-def align(segments: list[str], pair: Pair) -> pa.RecordBatch:
-    """Segments with their links (``Pair.link``), packed; null where the tokens' bytes are not the segment's."""
+def align(segments: list[str], pair: Pair) -> pa.Array:
+    """The links (``Pair.link``) of segments, packed; null where the tokens' bytes are not the segment's."""
     raw = [s.encode() for s in segments]
     data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
     n = len(raw)
@@ -169,7 +169,7 @@ def align(segments: list[str], pair: Pair) -> pa.RecordBatch:
     n_links = np.bincount(np.repeat(a["own"][full], many), minlength=n)
     offsets = pa.array(np.concatenate([[0], np.cumsum(n_links)]) * pair.link.itemsize, pa.int32())
     packed = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(links.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(segments, pa.string()), pc.if_else(pa.array(fine), packed, pa.scalar(None, pa.binary()))], ["seg", "packed"])
+    return pc.if_else(pa.array(fine), packed, pa.scalar(None, pa.binary()))
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -276,30 +276,36 @@ def _compose(rest: list[str], link: np.dtype):
             at += k
         start = np.cumsum(many) - many
         pairs, local = np.unique(links["a"].astype(np.int64) << 32 | links["b"], return_inverse=True)
-        # each document's distinct segments, then its distinct pairs, with how often they are there
-        key, often = np.unique(own * n_segs + ids, return_counts=True)
-        doc, seg = key // n_segs, key % n_segs
-        width = max(1, len(pairs))
-        key = np.repeat(doc, many[seg]) * width + local[spread(start[seg], many[seg])]
-        order = np.argsort(key, kind="stable")
-        key, often = key[order], np.repeat(often, many[seg])[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        often = np.add.reduceat(often, first) if len(key) else often
-        doc, pair = key[first] // width, key[first] % width
-        upto = np.cumsum(np.bincount(doc, minlength=n)).tolist()
-        in_docs = np.bincount(pair, minlength=len(pairs))
+        # each document's distinct segments, then its distinct pairs, with how often they are there; some documents at a time
+        width, ends = max(1, len(pairs)), np.cumsum(size)
+        in_docs, steps, times, d = np.zeros(len(pairs), np.int64), [], [], 0
+        while d < n:
+            done = int(ends[d - 1]) if d else 0
+            to = max(d + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+            mine = slice(done, int(ends[to - 1]))
+            key, often = np.unique((own[mine] - d) * n_segs + ids[mine], return_counts=True)
+            doc, seg = key // n_segs, key % n_segs
+            key = np.repeat(doc, many[seg]) * width + local[spread(start[seg], many[seg])]
+            order = np.argsort(key, kind="stable")
+            key, often = key[order], np.repeat(often, many[seg])[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            often = np.add.reduceat(often, first) if len(key) else often
+            doc, pair = key[first] // width, key[first] % width
+            in_docs += np.bincount(pair, minlength=len(pairs))
+            upto = np.cumsum(np.bincount(doc, minlength=to - d)).tolist()
+            for i, j in zip([0, *upto], upto, strict=False):
+                steps.append(squeeze(np.diff(pair[i:j], prepend=0)))
+                times.append(squeeze(often[i:j]))
+            d = to
         here = np.flatnonzero(in_docs)
-        number = np.zeros(len(pairs), np.int64)
-        number[here] = np.arange(len(here))
         m, block = len(here), docs.column("of").combine_chunks()
-        squeezed = lambda v, step: pa.array([squeeze(np.diff(v[i:j], prepend=0) if step else v[i:j]) for i, j in zip([0, *upto], upto, strict=False)], pa.binary())
         none = pa.nulls(n, pa.int32())
-        columns = [*[docs.column(c).combine_chunks() for c in rest], block, *[pa.array(s) for s in sums], pa.array(digests, pa.string()), squeezed(number[pair], True), squeezed(often, False), none, pa.nulls(n, pa.int64()), none]
+        columns = [*[docs.column(c).combine_chunks() for c in rest], block, *[pa.array(s) for s in sums], pa.array(digests, pa.string()), pa.array(steps, pa.binary()), pa.array(times, pa.binary()), none, pa.nulls(n, pa.int64()), none]
         names = [*rest, "block", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "often", "at", "pair", "docs"]
         release()
         tail = [pa.nulls(m, c.type) for c in columns]
         tail[len(rest)] = pa.array(np.full(m, block[0].as_py() if n else 0), pa.int64())
-        tail[-3:] = [pa.array(np.arange(m), pa.int32()), pa.array(pairs[here], pa.int64()), pa.array(in_docs[here], pa.int32())]
+        tail[-3:] = [pa.array(here, pa.int32()), pa.array(pairs[here], pa.int64()), pa.array(in_docs[here], pa.int32())]
         return pa.table([pa.chunked_array([c, t]) for c, t in zip(columns, tail, strict=True)], names)
 
     return run
@@ -309,8 +315,9 @@ def _finish(rest: list[str]):
     """A block's documents with the counts of its pairs."""
 
     def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        pairs = pairs.sort_by("at")
-        count, best = pairs.column("count").to_numpy().astype(np.int64), pairs.column("best").to_numpy().astype(np.int64)
+        at = pairs.column("at").to_numpy()
+        count, best = (np.zeros(int(at.max(initial=-1)) + 1, np.int64) for _ in range(2))
+        count[at], best[at] = pairs.column("count").to_numpy(), pairs.column("best").to_numpy()
         which, size = unsqueezed(docs.column("pairs"))
         often = unsqueezed(docs.column("often"))[0]
         upto = np.cumsum(size)
@@ -339,24 +346,30 @@ def align_corpus(docs: DataFrame, a: str, b: bytes, *, text_col: str = "text", s
     kind = lambda ddl: T.StructType([*fields, *T._parse_datatype_string(ddl).fields])
     pair = Pair(a, b)
     blocks = scratch.save(plain.mapInArrow(_cutter("text", inner, pair.breaks), kind("block long, ids binary, at int, seg string")), "zstd")
-    segs = blocks.where("at IS NOT NULL").select("block", "at", "seg")
+    # a segment's rows (one for each block) come one after the other in one task's stream, which aligns it once
+    segs = blocks.where("at IS NOT NULL").select("seg", "block", "at").repartition("seg").sortWithinPartitions("seg")
 
     def tokenise(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pair = Pair(*held.value)
+        pair, last = Pair(*held.value), (None, None)
         for batch in batches:
             for part in shards((batch.slice(k, BATCH) for k in range(0, len(batch), BATCH)), "seg", BLOCK_BYTES // 4):
-                yield align(part.column(0).to_pylist(), pair)
+                coded = part.column(0).dictionary_encode()
+                segments, first = coded.dictionary.to_pylist(), None
+                if segments[0] == last[0]:
+                    segments, first = segments[1:], last[1]
+                packed = align(segments, pair)
+                packed = packed if first is None else pa.concat_arrays([first, packed])
+                last = (coded.dictionary[len(packed) - 1].as_py(), packed.slice(len(packed) - 1))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), packed.take(coded.indices)], ["block", "at", "packed"])
         release()
 
-    aligned = scratch.save(segs.select("seg").distinct().mapInArrow(tokenise, "seg string, packed binary"), "zstd")
-    back = segs.join(aligned, "seg").drop("seg")
+    back = segs.mapInArrow(tokenise, "block long, at int, packed binary")
     whole = blocks.where("at IS NULL").select(*inner, F.col("block").alias("of"), "ids")
     composed = scratch.save(whole.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_compose(inner, pair.link), kind("block long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs binary, often binary, at int, pair long, docs int")), "zstd")
     scratch.drop(blocks)
-    scratch.drop(aligned)
     linked = composed.where("at IS NOT NULL").select("block", "at", "pair", "docs")
     counts = linked.groupBy("pair").agg(F.sum("docs").alias("count")).withColumn("a", F.shiftright("pair", 32))
     counts = scratch.save(counts)
