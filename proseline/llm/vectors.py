@@ -1,6 +1,6 @@
 """Embedding near-duplicates with an inverted multi-index.
 
-Unit vectors are cut in halves, each half with a codebook of its own (k-means on a bounded sample); the product of the
+Unit vectors are cut in halves, each half with a codebook of its own (k-means on a bounded sample: ``SAMPLE`` vectors, or 8 for each codeword); the product of the
 codebooks is a grid of cells. Every vector is stored in the cell of its nearest codewords and, as a query, visits the
 cells nearest to it in the order of the summed distances (multi-sequence traversal: of the sorted codewords i and j only
 pairs with (i+1)(j+1) <= T can be among the first T). How many cells are visited is set by recall, which is always measured, in two
@@ -39,7 +39,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = squared(x, centres).argmin(1)
+        own = nearest(x, centres)
         n = np.bincount(own, minlength=len(centres))
         sums = np.stack([np.bincount(own, x[:, d], len(centres)) for d in range(x.shape[1])], 1)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
@@ -52,6 +52,22 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, a slice of rows at a time."""
+    step = max(1, 4_000_000 // max(1, len(centres)))
+    return np.concatenate([np.zeros(0, np.int64), *[squared(x[a : a + step], centres).argmin(1) for a in range(0, len(x), step)]])
+
+
+def codewords(n: int) -> int:
+    """How many each half has, for n vectors."""
+    return int(np.clip(round(np.sqrt(n / 8)), 2, MAX_CODEWORDS))
+
+
+def cells_before(near: np.ndarray, far: np.ndarray, total: float) -> int:
+    """How many cells have a smaller sum of distances. far: sorted."""
+    return int(np.searchsorted(far, (total - 1e-12) - near, side="left").sum())
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows at length 1; scaled first, so that tiny and huge ones keep their direction."""
     x = x / np.abs(x).max(1, keepdims=True)
@@ -60,7 +76,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 class MultiIndex:
     def __init__(self, sample: np.ndarray, n: int):
-        k = int(np.clip(round(np.sqrt(n / 8)), 2, MAX_CODEWORDS))
+        k = codewords(n)
         self.half = max(1, sample.shape[1] // 2)
         self.books = [kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)] if sample.shape[1] > 1 else [kmeans(sample, k), np.zeros((1, 0))]
         self.width = len(self.books[1])
@@ -101,7 +117,7 @@ def planted_ranks(index: MultiIndex, x: np.ndarray, threshold: float, seed: int
     size = np.sqrt((r * r).sum(1, keepdims=True))
     y = np.where(size > 0, threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * r / np.where(size > 0, size, 1), x)
     own, d = index.visit(x, 1)[:, 0], index.distances(y)
-    return np.array([int((d[0][k][:, None] + d[1][k] < d[0][k][c // index.width] + d[1][k][c % index.width] - 1e-12).sum()) for k, c in enumerate(own)])
+    return np.array([cells_before(d[0][k], np.sort(d[1][k]), d[0][k][c // index.width] + d[1][k][c % index.width]) for k, c in enumerate(own)])
 
 
 def _cells_needed(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids: list, threshold: float, recall: float) -> tuple[int, float]:
@@ -111,6 +127,7 @@ def _cells_needed(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids:
     def run(batches):
         index, queries, ids = held.value
         d = index.distances(queries)
+        far = np.sort(d[1], axis=1)
         for batch in batches:
             if not len(batch):
                 continue
@@ -121,7 +138,7 @@ def _cells_needed(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids:
             q, cell = q[other], index.visit(x, 1)[y[other], 0]
             if len(q):
                 kinds, n = np.unique(np.stack([q, cell]), axis=1, return_counts=True)
-                ranks = [int((d[0][a][:, None] + d[1][a] < d[0][a][c // index.width] + d[1][a][c % index.width] - 1e-12).sum()) for a, c in kinds.T]
+                ranks = [cells_before(d[0][a], far[a], d[0][a][c // index.width] + d[1][a][c % index.width]) for a, c in kinds.T]
                 yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(n, pa.int64())], ["rank", "n"])
 
     found = reps.select("rep", "embedding").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
@@ -176,7 +193,7 @@ def _block(key, batch: pa.Table, threshold: float) -> pa.Table:
 def _links(reps: DataFrame, n: int, threshold: float, recall: float, scratch: Scratch) -> tuple[DataFrame, float]:
     """Links of reps (rep, n, embedding), all of one length, and the recall measured."""
     spark = reps.sparkSession
-    sample = reps.withColumn("h", F.xxhash64("rep")).orderBy("h", "rep").limit(SAMPLE).select("rep", "embedding").toArrow()
+    sample = reps.withColumn("h", F.xxhash64("rep")).orderBy("h", "rep").limit(max(SAMPLE, 8 * codewords(n))).select("rep", "embedding").toArrow()
     x, ids = _matrix(sample.column("embedding")), sample.column("rep").to_pylist()
     index = MultiIndex(x, n)
     t, measured = _cells_needed(reps, index, x[:QUERIES], ids[:QUERIES], threshold, recall)
