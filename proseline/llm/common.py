@@ -58,6 +58,10 @@ class Held:
     def __init__(self, spark: SparkSession, value):
         self.packed, self.read = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
 
+    def drop(self) -> None:
+        """Frees it, once nothing reads it any more."""
+        self.packed.destroy()
+
     @property
     def value(self):
         if not self.read:

@@ -71,9 +71,14 @@ class Filters:
     """The trained network in the form that scores: what each embedding row adds to each filter at each of its positions."""
 
     def __init__(self, embeddings, weights, bias, out, out_bias, shifts):
+        self.learned = embeddings, weights
         self.tables = [[[(e @ w[o]).astype(np.float32) for o in range(len(w))] for w in weights] for e in embeddings]
         self.bias, self.out, self.out_bias, self.shifts = bias, out, out_bias, shifts
 
+    def __reduce__(self):
+        """What travels is what was learned; the tables, six times as large, are made anew."""
+        return Filters, (*self.learned, self.bias, self.out, self.out_bias, self.shifts)
+
     def logits(self, rows: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """rows of the words of n texts in order; each text is followed by blanks, which add nothing."""
         pad = max(WIDTHS)
@@ -267,6 +272,7 @@ def calibrate(docs: DataFrame, marks: DataFrame, model: Filters) -> np.ndarray:
 
     rows = docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("grp", T.IntegerType()), T.StructField("bin", T.IntegerType())]))
     counts = rows.join(marks.select("doc_id", "toxic"), "doc_id").groupBy("grp", "toxic", "bin").count().collect()  # at most 2 * FARTHEST * BINS + 1 bins
+    held.drop()
     groups, toxic, bins, n = (np.array(x) for x in zip(*counts, strict=True))
     return thresholds(groups, toxic.astype(bool), bins, n)
 
