@@ -13,9 +13,10 @@ of distinct words), so the probabilities of all words and the end add up to 1. L
 marginal probability is the product over its words and its end.
 
 Scale. Word counts are added up in each task before the shuffle; they are all that is learned, and grow with the corpus. Lattices are
-computed once for each distinct word. Of the word table the ``HOT`` most frequent words (a bounded number of bounded length) are
-broadcast and settle most of a document's words where it is read; the rest is joined by word, a row for each document and distinct
-word, which keeps frequent words out of the join. A hotter word that is too long for the broadcast is left to AQE's skew join.
+computed once for each distinct word. Of the word table the ``HOT`` most frequent words (a bounded number, those of more than ``HOT_BYTES``
+bytes by their SHA-256) are broadcast and settle most of a document's words where it is read; the rest is joined by word, a row for each
+document and distinct word. A word in the join, however long, is none of the ``HOT`` most frequent, so it has fewer than one in ``HOT``
+of all words, and no key of the join is hot.
 A document's number is drawn once and written with its rows, so a repeated task can't mix documents up.
 
 Defined results: null, empty and blank texts have one token, the end. Words of any length are scored whole. Without training
@@ -26,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -201,6 +203,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "learn").mapInArrow(run, "word binary, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
+def hot_key(word: bytes) -> bytes:
+    """What stands for a word in the table of frequent ones: itself, or, if it is long, its digest after a line break (which no word holds)."""
+    return word if len(word) <= HOT_BYTES else END + hashlib.sha256(word).digest()
+
+
+def frequent(rated: DataFrame) -> dict[bytes, tuple]:
+    """base, score, known of the HOT most frequent words, by their keys, and of the end."""
+    key = F.when(F.octet_length("word") <= HOT_BYTES, F.col("word")).otherwise(F.concat(F.lit(END), F.unhex(F.sha2("word", 256))))
+    short = rated.select(key.alias("key"), "a", "base", "score", "known")
+    end = F.col("key") == F.lit(END)  # every document has it, whether it is among the most frequent or not
+    rows = short.where(~end).orderBy(F.desc("a"), "key").limit(HOT).unionByName(short.where(end)).drop("a").toArrow()
+    return {k: (b, s, n) for k, b, s, n in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True)}
+
+
 class Model:
     """What scores a word: totals (tokens n, distinct tokens v, both with the end), discount, pieces and their scores."""
 
@@ -264,11 +280,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str
 
     rated = scratch.save(counts.select("word", "c", "a").mapInArrow(rate, "word binary, base double, score double, known long, a long"))
     scratch.drop(counts)
-    # at most HOT words of at most HOT_BYTES bytes; the end is the one that every document has
-    hot = rated.where((F.octet_length("word") <= HOT_BYTES) & (F.col("word") != F.lit(END))).orderBy(F.desc("a"), "word").limit(HOT)
-    hot = hot.unionByName(rated.where(F.col("word") == F.lit(END))).select("word", "base", "score", "known").toArrow()
-    hot = {w: (b, s, k) for w, b, s, k in zip(*(hot.column(i).to_pylist() for i in range(4)), strict=True)}
-    held_hot = Held(spark, hot)
+    held_hot = Held(spark, frequent(rated))
     n_train = int(model.n)
 
     def run(batches):
@@ -281,7 +293,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: str, *, id_col: str
                 words = split(text)
                 base, score, known = hot.get(END, (0.0, 0.0, 0))
                 for word, n in Counter(words).items():
-                    got = hot.get(word)
+                    got = hot.get(hot_key(word))
                     if got is None:
                         t_rid.append(rid)
                         t_word.append(word)

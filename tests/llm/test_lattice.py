@@ -114,3 +114,28 @@ def test_model_is_a_distribution_over_words():
     _, logs = model.word_logs([b"aa", b"bb", END], np.array([4, 3, 3]))
     _, unseen = model.word_logs([bytes([x]) for x in range(33, 127)], np.zeros(94, np.int64))
     assert 0.5 < (10**logs).sum() + (10**unseen).sum() <= 1.0 + 1e-9
+
+
+def test_frequent_long_words(spark, monkeypatch):
+    """A long separator in every document is settled by the table of frequent words and not joined; scores stay those by brute force."""
+    monkeypatch.setattr(lattice, "HOT", 2)
+    texts = [f"{'-' * 300} w{i} {'é' * 70} x{i % 7}" for i in range(30)] + ["-" * 128, "-" * 129]
+    tables, joined = [], []
+    hot, shards = lattice.frequent, lattice.Scratch.save
+    monkeypatch.setattr(lattice, "frequent", lambda rated: tables.append(hot(rated)) or tables[-1])
+
+    def save(self, df):
+        out = shards(self, df)
+        if "rid" in out.columns:
+            joined.append({bytes(r["word"]) for r in out.where("word IS NOT NULL").select("word").collect()})
+        return out
+
+    monkeypatch.setattr(lattice.Scratch, "save", save)
+    import pyspark.sql.functions as F
+
+    got = {r["id"]: r["score"] for r in lattice.score_texts(docs(spark, texts), F.lit(True), PATH).collect()}
+    long = [b"-" * 300, "é".encode() * 70]
+    assert set(tables[0]) == {END, *map(lattice.hot_key, long)} and all(len(k) <= lattice.HOT_BYTES for k in tables[0])
+    assert not joined[0] & set(long) and {b"-" * 128, b"-" * 129, b"w0"} <= joined[0]
+    for i, want in enumerate(brute_scores(texts, [True] * len(texts), whole_vocabulary())):
+        assert math.isclose(got[i], want, rel_tol=1e-9)
