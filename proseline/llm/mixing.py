@@ -11,7 +11,8 @@ class becomes one residual and a reserve of about 64 documents that are left asi
 last, from the longest class down, so a long document's fraction is settled against many shorter ones.
 
 Scale: one pass over the texts for the sizes (map-side aggregated to rows of id, source, size), then narrow rows only. Each
-level shuffles at most 1/64 of the level before; the last fold has about 64 rows for each size class of a source, whatever the
+level shuffles at most 1/64 of the level before. Rows that repeat (null ids, say) are counted before they are numbered, and more than ``REPEATS``
+of one kind are numbered in runs by many tasks. The last fold has about 64 rows for each size class of a source, whatever the
 source's size. Source statistics are grouped sums; ranking the sources and filling the targets is a window over one row for each source.
 
 Defined results: a null text has size 0; a document of size 0 takes 0 words; sources sort by code point with null last;
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 FAN = 64
+#: So many repeats of one row are numbered by one task.
+REPEATS = 1 << 16
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,7 +59,7 @@ def _uniform(*parts: str) -> str:
 
 def _fold(seed: int) -> str:
     """SQL: folds the array ``docs`` of (h, doc_id, dup, size, x) to the one still fractional and those settled."""
-    a, b, none = "acc.cur", "e", "CAST(array() AS array<struct<doc_id:{t},dup:int,size:bigint,copies:int>>)"
+    a, b, none = "acc.cur", "e", "CAST(array() AS array<struct<doc_id:{t},dup:bigint,size:bigint,copies:int>>)"
     up, down = f"least({a}.size - {a}.x, {b}.x)", f"least({a}.x, {b}.size - {b}.x)"
     rises = f"({_uniform(f'{a}.doc_id', f'{a}.dup', f'{b}.doc_id', f'{b}.dup', f'{seed}L')} * ({up} + {down}) < {down})"
     settled = lambda r, copies: f"named_struct('doc_id', {r}.doc_id, 'dup', {r}.dup, 'size', {r}.size, 'copies', {copies})"
@@ -72,13 +75,22 @@ def _fold(seed: int) -> str:
       END)"""
 
 
+def numbered(counts: DataFrame) -> DataFrame:
+    """The rows of counts (doc_id, source, size, count) each as often as its count says, with dup from 1 up. counts should be a saved table."""
+    row, numbers = ["doc_id", "source", "size"], lambda low, high: F.explode(F.sequence(low, high)).alias("dup")
+    few = counts.where(F.col("count") <= REPEATS).select(*row, numbers(F.lit(1).cast("long"), F.col("count")))
+    runs = counts.where(F.col("count") > REPEATS).select(*row, "count", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / REPEATS))).alias("run"))
+    runs = runs.repartition(*row, "run")
+    return few.unionByName(runs.select(*row, numbers(F.col("run") * REPEATS + 1, F.least("count", (F.col("run") + 1) * REPEATS))))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: one row for each document."""
     scratch = scratch or Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(SIZE_PATTERN)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").count()
-    rows = rows.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("dup"))
-    rows = scratch.save(rows)
+    counts = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").count())
+    rows = scratch.save(numbered(counts))
+    scratch.drop(counts)
     cls = F.floor(F.log2(F.col("size"))).cast("int")
     held = rows.where("size > 0").groupBy("source", cls.alias("cls")).count().groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("cls", "count"))).alias("_held"), F.max("count").alias("_most"))
     share = targets(rows, weights, total, most).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))

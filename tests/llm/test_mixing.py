@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from proseline.llm import mixing
 from proseline.llm.mixing import mix, op3_mixing
 from tests.llm.helpers import docs, real
 
@@ -94,3 +95,19 @@ def test_classes_fold_to_small_residuals(spark):
     for s in ("a", "b"):
         rs = [r for r in rows if r["source"] == s]
         assert abs(sum(r["size"] * r["copies"] for r in rs) - rs[0]["target"]) < 100
+
+
+def test_repeats_in_runs(spark, monkeypatch):
+    """Rows that repeat often are numbered by many tasks, to the same result."""
+    df = docs(spark, ["one two three"] * 90 + ["a b"] * 40 + ["c"] * 4 + [None] * 9).selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "'s' AS source")
+    df = df.unionByName(docs(spark, ["x y z"] * 8).selectExpr("doc_id % 2 AS doc_id", "text", "'t' AS source"))
+    key = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    plain = mix(df).collect()
+    check(plain, None)
+    assert len(plain) == 151
+    monkeypatch.setattr(mixing, "REPEATS", 4)
+    assert key(mix(df).collect()) == key(plain)
+    counts = df.selectExpr("doc_id", "source", "CAST(length(text) AS LONG) AS size").groupBy("doc_id", "source", "size").count()
+    rows = mixing.numbered(counts)
+    assert rows.groupBy("doc_id", "source", "size").agg({"dup": "max", "*": "count"}).where("`max(dup)` <> `count(1)`").count() == 0
+    assert rows.distinct().count() == rows.count() == 151
