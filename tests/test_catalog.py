@@ -54,3 +54,13 @@ def test_seeds_reach_every_rule(spark):
     assert (counts.drop(columns="doc_id").sum() > 0).all()
     hits = ";".join(r["hits"] for r in QUERIES["lazy_hits_seeded"](spark, DATA).collect())
     assert all(f"{p}=" in hits for p in STANDARD_REGEXES) and len({h.split("=")[0] for h in hits.split(";")}) > 200
+
+
+def test_objective_has_unicode_word_characters_in_its_sql(spark, tmp_path):
+    """A word that begins with a letter beyond ASCII is one for the patterns of the SQL too."""
+    texts = ["La casa es no ñcota un, no no ra la mi de todo.", "No é verdad para mi, not bien y ya no más aquí.", "The ñslowly moved one, and the slowly\u00a0moved one stood here."]
+    rows = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    rows.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    compare(spark, "objective", QUERIES["objective"], ORACLE_SQL["objective"], str(tmp_path))
+    values = {r["trial"]: r["mean_score"] for r in QUERIES["objective"](spark, str(tmp_path)).collect()}
+    assert len(values) == len(texts)
