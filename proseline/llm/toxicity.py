@@ -72,11 +72,17 @@ class Filters:
 
     def __init__(self, embeddings, weights, bias, out, out_bias, shifts):
         self.learned = embeddings, weights
-        self.tables = [[[(e @ w[o]).astype(np.float32) for o in range(len(w))] for w in weights] for e in embeddings]
+        self.made = None
         self.bias, self.out, self.out_bias, self.shifts = bias, out, out_bias, shifts
 
+    @property
+    def tables(self) -> list:
+        embeddings, weights = self.learned
+        self.made = self.made or [[[(e @ w[o]).astype(np.float32) for o in range(len(w))] for w in weights] for e in embeddings]
+        return self.made
+
     def __reduce__(self):
-        """What travels is what was learned; the tables, six times as large, are made anew."""
+        """What travels is what was learned; the tables, six times as large, are made where they are first used."""
         return Filters, (*self.learned, self.bias, self.out, self.out_bias, self.shifts)
 
     def logits(self, rows: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -85,12 +91,12 @@ class Filters:
         place = np.arange(rows.shape[1]) + doc * pad
         size = rows.shape[1] + n * pad
         start = np.searchsorted(doc, np.arange(n)) + np.arange(n) * pad
-        out = np.full(n, float(self.out_bias))
+        out, tables = np.full(n, float(self.out_bias)), self.tables
         for k, width in enumerate(WIDTHS):
             z = np.zeros((size, FILTERS), np.float32)
             for o in range(width):  # the word at a place is the o-th of the window that begins o places before
                 ok = slice(None) if not len(place) or place[0] >= o else place >= o
-                z[(place - o)[ok]] += sum(t[k][o][r[ok]] for t, r in zip(self.tables, rows, strict=True))
+                z[(place - o)[ok]] += sum(t[k][o][r[ok]] for t, r in zip(tables, rows, strict=True))
             pooled = np.maximum.reduceat(z, start, axis=0) if n else z
             out += np.maximum(pooled + self.bias[k], 0) @ self.out[k]
         return out
@@ -178,12 +184,14 @@ def fit(texts: list[np.ndarray], groups: np.ndarray, toxic: np.ndarray, seed: in
     for h in range(PARTS):
         frequent = e[h][:, 0] != 0
         e[h][~(touched[h] | frequent)] = 0
+    del mean, square, params, touched, grads, flat
     model = Filters(e, weights, bias, out, float(out_bias), np.zeros(len(FUNCTION_WORDS) + 1))
     logits = np.empty(len(texts))
     for at in range(0, len(texts), BATCH):
         part = texts[at : at + BATCH]
         logits[at : at + BATCH] = model.logits(np.concatenate(part, axis=1), np.repeat(np.arange(len(part)), [t.shape[1] for t in part]), len(part))
     model.shifts[:] = thresholds(groups, toxic, np.floor(logits * BINS), np.ones(len(texts)))
+    model.made = None  # the driver, which trains, does not score documents
     return model
 
 

@@ -129,3 +129,16 @@ def test_removed_by_the_other_folds_labels(spark, monkeypatch):
     toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
     clean = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
     assert len(clean - kept) <= 0.05 * len(clean) and len(toxic - kept) >= 0.6 * len(toxic), (len(clean - kept), len(clean), len(toxic - kept), len(toxic))
+
+
+def test_a_trained_model_keeps_no_tables_on_the_driver():
+    """They are made where texts are scored, from what was learned, and do not travel."""
+    import pickle
+
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 1 << toxicity.ROWS_LOG2, (toxicity.PARTS, 20)).astype(np.uint16) for _ in range(40)]
+    model = toxicity.fit(texts, np.zeros(40, int), np.arange(40) % 2 == 0)
+    assert model.made is None
+    sent = pickle.loads(pickle.dumps(model))
+    of = lambda m: m.logits(texts[0], np.zeros(20, int), 1)[0]
+    assert sent.made is None and of(sent) == of(model) and sent.made is not None
