@@ -286,7 +286,7 @@ def _follow(block: int, i: np.ndarray, complete: np.ndarray, value: np.ndarray,
     return out
 
 
-def first_stop(trials: DataFrame, patience: int, delta: float) -> tuple[str | None, float | None]:
+def first_stop(trials: DataFrame, patience: int, delta: float, block_rows: int = FOLD_ROWS) -> tuple[str | None, float | None]:
     """Where the fold over trials (trial, complete, value) stops, and the best value then. A completed trial improves if there is no best yet or its
     value is over the best by more than delta; ``patience`` completed trials or twice as many in all without improvement stop it.
 
@@ -299,7 +299,7 @@ def first_stop(trials: DataFrame, patience: int, delta: float) -> tuple[str | No
     kind = trials.schema["trial"].dataType.simpleString()
     start = trials.sparkSession.createDataFrame([(True, None, 0)], "complete boolean, value double, i long").select(F.lit(None).cast(kind).alias("trial"), "complete", "value", "i")
     rows = saved(rows.select("trial", "complete", "value", "i").unionByName(start))
-    size = max(FOLD_ROWS, 2 * patience + 1)
+    size = max(block_rows, 2 * patience + 1)
     total = rows.count()
     both = F.array(F.floor(F.col("i") / size), F.when((F.col("i") % size <= 2 * patience) & (F.col("i") >= size), F.floor(F.col("i") / size) - 1))
     spread = rows.withColumn("block", F.explode(F.array_compact(both)))

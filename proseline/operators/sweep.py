@@ -13,7 +13,7 @@ from proseline.functions.lazy import STANDARD, PatternSet
 from proseline.functions.score import composite, score
 from proseline.functions.text import valid_response
 
-from .ordered import first_stop, running_medians
+from .ordered import FOLD_ROWS, first_stop, running_medians
 
 NATIVE_PARAMETERS = ("temperature", "top_p", "max_tokens", "presence_penalty", "frequency_penalty")
 TRIAL_DEFAULTS = {
@@ -124,15 +124,15 @@ def failures(responses: DataFrame, valid: Column) -> DataFrame:
     return responses.groupBy("trial").agg(F.count("*").alias("prompts"), F.count_if(~valid).alias("failed_prompts"), (F.count_if(valid) == 0).alias("all_failed"))
 
 
-def convergence(trials: DataFrame, patience: int, delta: float) -> DataFrame:
+def convergence(trials: DataFrame, patience: int, delta: float, chunk: int = FOLD_ROWS) -> DataFrame:
     """Where a study stops: (stop_trial, best). Trials in order; only a completed one can improve, and only by more than delta over the
     best that counted; patience completed trials without improvement, or twice as many completed and pruned ones, end it. stop_trial is
     null if it goes on.
 
-    Order-dependent, but composed from blocks of trials (``ordered.first_stop``): no task holds more than a block, and no job follows another's result.
+    Order-dependent, but composed from blocks of trials (``ordered.first_stop``): no task holds more than a block (of ``chunk`` trials, or as many as patience needs), and no job follows another's result.
     """
     kept = trials.where("state IN ('COMPLETE', 'PRUNED')").select("trial", (F.col("state") == "COMPLETE").alias("complete"), "value")
-    stop, best = first_stop(kept, patience, delta)
+    stop, best = first_stop(kept, patience, delta, chunk)
     return trials.sparkSession.createDataFrame([(None if stop is None else int(stop), best)], "stop_trial bigint, best double")
 
 
