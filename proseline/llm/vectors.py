@@ -35,11 +35,12 @@ SAMPLE, QUERIES, CHUNK = 20_000, 256, 512
 MAX_CODEWORDS, MAX_DIMS, LEAST_CELLS = 16_384, 16, 4
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3, find=None) -> np.ndarray:
+    """find: what gives each row's centre, if not nearest."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = nearest(x, centres)
+        own = (find or nearest)(x, centres)
         n = np.bincount(own, minlength=len(centres))
         sums = np.stack([np.bincount(own, x[:, d], len(centres)) for d in range(x.shape[1])], 1)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]

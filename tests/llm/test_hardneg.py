@@ -87,3 +87,29 @@ def test_best_ties_and_large_scores():
     assert best.least(np.arange(3)).tolist() == [7, -np.inf, -np.inf]
     big = np.array([[2.0**60, 1.0]])
     assert exact(big, np.array([[1.0, 1.0], [2.0**60, 0.0]]), np.array([0, 0]), np.array([0, 1])).tolist() == [2**60 + 1, 2**63 - 1]
+
+
+def test_adding_sorts_only_the_lists_added_to(monkeypatch):
+    """A block's work doesn't grow with the number of anchors that other blocks have (all lists were sorted anew before)."""
+    best, sizes, sort = Best(3), [], np.lexsort
+    own = np.repeat(np.arange(5000), 3)
+    best.add(own, np.tile([9, 8, 7], 5000), np.arange(15000), np.zeros(15000, bool))
+    monkeypatch.setattr(hardneg.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    best.add(np.array([17, 17, 40]), np.array([10, 8, 1]), np.array([1, 2, 3]), np.zeros(3, bool))
+    assert sum(sizes) <= 9
+    assert best.least(np.array([16, 17, 40])).tolist() == [7, 8, 7]
+    assert best.kept[2][17 * 3 : 18 * 3].tolist() == [1, 51, 2]
+
+
+def test_one_row_group_is_many_tasks(spark, tmp_path, monkeypatch):
+    """Rows of a file with one row group are dealt out, so that the scans are not one task."""
+    monkeypatch.setattr(hardneg, "SPREAD", 500)
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(3)), rng.normal(size=3).tolist()) for i in range(2000)]
+    made = spark.createDataFrame([(i, v, label, "x") for i, label, v in rows], KIND).coalesce(1)
+    kept = []
+    plain = hardneg.prepared
+    monkeypatch.setattr(hardneg, "prepared", lambda df, *rest: kept.append(df.rdd.getNumPartitions()) or plain(df, *rest))
+    got = op12_hard_negatives(spark, folder(spark, tmp_path, embeddings=made))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(brute_force([(i, label, np.float32(v).tolist()) for i, label, v in rows]), key=str)
+    assert kept == [4]
