@@ -64,3 +64,20 @@ def test_objective_has_unicode_word_characters_in_its_sql(spark, tmp_path):
     compare(spark, "objective", QUERIES["objective"], ORACLE_SQL["objective"], str(tmp_path))
     values = {r["trial"]: r["mean_score"] for r in QUERIES["objective"](spark, str(tmp_path)).collect()}
     assert len(values) == len(texts)
+
+
+def test_average_by_trial_has_the_worst_band_and_every_hit(spark, tmp_path):
+    """Both were left out. Bands that tie go by the first prompt, equal entries of several prompts are counted, and the list accounts for all hits."""
+    plain = "The river ran past the mill and the boy walked home along it before the rain came down that night. "
+    listy = plain + "I delve into the tapestry, a testament to the vibrant landscape. Moreover, it is crucial, pivotal and robust. "
+    texts = [plain, listy, plain + "Wait... what!!! No!!!! ", plain + "Wait... what!!! ", "", None, listy * 3, plain + "as an ai "]
+    rows = spark.createDataFrame([(i, t, "en", ["a", "a", "b", "b", "c", "c", None, "d"][i], len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    compare(spark, "average_by_trial", QUERIES["average_by_trial"], ORACLE_SQL["average_by_trial"], str(tmp_path))
+    got = {r["trial"]: r for r in QUERIES["average_by_trial"](spark, str(tmp_path)).collect()}
+    assert got["c"]["lint_band"] == "unknown" and got["c"]["lazy_patterns_found"] == ""
+    assert got["a"]["lint_band"] != "clean"
+    assert "=2x1" in got["b"]["lazy_patterns_found"] and "=1x" in got["b"]["lazy_patterns_found"]
+    for r in got.values():
+        entries = [e.rsplit("=", 1)[1].split("x") for e in r["lazy_patterns_found"].split(";") if e]
+        assert sum(int(n) * int(times) for n, times in entries) == r["lazy_pattern_count"]

@@ -145,3 +145,19 @@ def test_stream(spark, tmp_path):
         assert sorted(r["n"] for r in spark.table("quality").collect()) == [3, 5]
     finally:
         query.stop()
+
+
+def test_average_by_trial_list_and_missing_columns(spark):
+    hits = lambda *x: [{"pattern": p, "n": n} for p, n in x]
+    rows = [("t", 2, 0.5, "saturated", hits(("the", 2), ("the", 2), ("a", 1))), ("t", 1, 0.7, "moderate", hits(("the", 2), ("the", 3))), ("u", 1, 0.1, None, None), (None, 1, 0.2, "heavy", hits(("b", 1)))]
+    df = spark.createDataFrame(rows, "trial string, o long, quality_score double, lint_band string, lazy_patterns_found array<struct<pattern:string,n:bigint>>")
+    trials = R.average_by_trial(df, order="o")
+    got = {r["trial"]: r for r in trials.collect()}
+    assert {k: r["lint_band"] for k, r in got.items()} == {"t": "moderate", "u": "unknown", None: "heavy"}
+    assert [tuple(x) for x in got["t"]["lazy_patterns_found"]] == [("a", 1, 1), ("the", 2, 3), ("the", 3, 1)]
+    assert got["u"]["lazy_patterns_found"] == [] and len(got[None]["lazy_patterns_found"]) == 1
+    assert got["t"]["telling_verb_density"] == 0 and got["t"]["response_length"] == 0 and got["t"]["lazy_pattern_count"] == 0
+    frequencies = lambda x: sorted(tuple(r)[:3] for r in R.pattern_frequency(x).collect())
+    assert frequencies(trials) == frequencies(df) == [("a", 1, 1), ("b", 1, 0), ("the", 9, 1)]  # a null trial is none
+    bare = R.average_by_trial(df.drop("lint_band", "lazy_patterns_found")).collect()
+    assert all(r["lint_band"] == "unknown" and r["lazy_patterns_found"] == [] for r in bare)
