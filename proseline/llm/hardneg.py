@@ -167,7 +167,8 @@ class Best:
 
     def add(self, own: np.ndarray, score: np.ndarray, ids: np.ndarray, null: np.ndarray) -> None:
         self._hold(own)
-        good = (self.count[own] < self.n) | (score >= self.score[own, self.n - 1])
+        last = self.score[own, self.n - 1]
+        good = (self.count[own] < self.n) | (score > last) | ((score == last) & (ids <= self.id[own, self.n - 1]))
         own, score, ids, null = own[good], score[good], ids[good], null[good].astype(np.int64)
         lists = np.unique(own)
         k, at = np.nonzero(np.arange(self.n) < self.count[lists][:, None])
